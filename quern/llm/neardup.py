@@ -12,8 +12,10 @@ similarity is at least 0.75; groups are the connected components of the links.
    the member that shares most buckets with others, so pairs grow linearly with a bucket's size.
    Candidate pairs are verified on full sets; union-find on the verified links gives components.
 3. Buckets whose members still lie in more than one component are compared completely, block against
-   block (``BLOCK`` members each, an even share of the bucket), within tasks; only verified links leave
-   them.  No pair of a bucket stays untested unless its two ends are already connected.
+   block (``BLOCK`` members each, an even share), within tasks; only verified links leave them.  The
+   members of a bucket's largest component meet the others only, not one another, so a large group with
+   a few strangers stays linear.  No pair of a bucket stays untested unless its two ends are already
+   connected.
 
 Defined cases: null or wordless text has the empty set, is linked with nothing and is kept.  Rows with
 equal ids and texts are one document: each row is returned, with the same component.  A null id links
@@ -38,7 +40,7 @@ BANDS, ROWS = 24, 4
 POSITIONS = BANDS * ROWS
 #: Linked if SIM_NUM * union <= SIM_DEN * intersection.
 SIM_NUM, SIM_DEN = 75, 100
-BLOCK = 128
+BLOCK = 256
 
 _U = np.uint64
 _SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
@@ -211,6 +213,27 @@ def link_block(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
 
+def deal_blocks(members: DataFrame) -> DataFrame:
+    """Members of open buckets, dealt to the cells (key, kind, lo, hi) in which blocks meet.
+
+    Kind 0: a block of the largest component's members (block 0) meets a block of the others (block 1).
+    Kind 1: two blocks of the others meet, or one meets itself.
+    """
+    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
+    parts = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1)).cast("int")
+    sizes = sizes.select("key", F.col("top.label").alias("major"), parts(F.col("top.n")).alias("majors"), parts(F.col("n") - F.col("top.n")).alias("minors"))
+    at = members.select("key", "rep", "label").join(sizes, "key")
+    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    major = at.where("label = major").withColumn("lo", own(F.col("majors"))).withColumn("hi", upto(F.col("minors")))
+    minor = at.where("label <> major").withColumn("mine", own(F.col("minors")))
+    across = minor.withColumn("lo", upto(F.col("majors"))).withColumn("hi", F.col("mine"))
+    among = minor.withColumn("other", upto(F.col("minors"))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    cell = lambda df, kind, block: df.select("key", F.lit(kind).alias("kind"), "lo", "hi", block.alias("block"), "rep", "label")
+    return cell(major, 0, F.lit(0)).union(cell(across, 0, F.lit(1))).union(cell(among, 1, F.col("mine")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: see the module's text."""
     spark = docs.sparkSession
@@ -245,12 +268,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     open_members = placed.join(open_keys, "key").checkpoint()
     if not open_members.isEmpty():
-        n = F.greatest(F.ceil(F.col("members") / F.lit(BLOCK)), F.lit(1)).cast("int")
-        dealt = open_members.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "label")
-        dealt = dealt.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
-        more = dealt.groupBy("key", "lo", "hi").applyInArrow(link_block, "a long, b long").distinct().checkpoint()
+        dealt = deal_blocks(open_members).join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+        more = dealt.groupBy("key", "kind", "lo", "hi").applyInArrow(link_block, "a long, b long").distinct().checkpoint()
         if not more.isEmpty():
             labels = connected_components(links.union(more))
 
