@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 #: A worker remembers this many recent chunks and as many older ones (a bound on memory, not on results).
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 #: The symbol after a word's last byte.
 _END = 256
 #: White space that str.split() knows beyond the Unicode property.
