@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, common, langid, neardup
+from quern.llm import bpe, common, langid, neardup, quality_classifier, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,11 +27,27 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(common.documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = common.id_fold("doc_id", 5) == 0
+    model = toxicity.train(docs, labels.where(~held_out))
+    return toxicity.classify(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = common.id_fold("doc_id", 3) == 1
+    model = quality_classifier.train(docs, labels.where(~held_out))
+    return quality_classifier.classify(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op4_minhash_dedup": op4_minhash_dedup,
+        "op6_toxicity": op6_toxicity,
+        "op9_quality_classifier": op9_quality_classifier,
     }
 
 

@@ -2,7 +2,8 @@
 
 A bounded sample of labelled rows (``TRAIN_ROWS``, smallest id hashes first) gives a weighted lexicon: the
 words, and stems of ``STEMS`` letters that longer words begin with (written with a star), whose document frequency under the label stands out: log-odds of at least ``MIN_ODDS`` even two
-standard errors lower, and at least ``MIN_DOCS`` documents that no stronger word explains.
+standard errors lower, and at least ``MIN_DOCS`` documents that no stronger word explains (or a
+share of ``COMMON`` of the label's documents).
 Features: densities and counts of lexicon words, their nearness to second-person words, shares of
 capitals and of punctuation marks, rate of obfuscated words (lexicon words once digits and signs are
 read as letters and separators dropped), and length.  Trees are grown by histograms on four fifths of
@@ -20,12 +21,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import common
 
-TRAIN_ROWS, MOST_WORDS, MIN_ODDS, MIN_DOCS = 12_000, 500, 2.5, 8
+TRAIN_ROWS, MOST_WORDS, MIN_ODDS, MIN_DOCS, COMMON = 12_000, 500, 2.5, 8, 0.05
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 STEMS = (4, 5, 6)
 #: A word at most this many words from a second-person word is near it.
@@ -249,21 +250,25 @@ class Model:
 def learn_lexicon(sample: DataFrame, positives: int, negatives: int) -> dict[str, float]:
     """Words whose document frequency under label 1 stands out, with their log-odds; ``sample`` is bounded."""
     tokens = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    stems = [F.transform(F.filter(tokens, lambda t, k=k: F.length(t) > k), lambda t, k=k: F.concat(F.substring(t, 1, k), F.lit("*"))) for k in STEMS]
-    split = F.array_distinct(F.concat(tokens, *stems))
+
+    def stems(k: int) -> Column:
+        return F.transform(F.filter(tokens, lambda t: F.length(t) > k), lambda t: F.concat(F.substring(t, 1, k), F.lit("*")))
+
+    split = F.array_distinct(F.concat(tokens, *map(stems, STEMS)))
     counts = sample.select("label", F.explode(split).alias("word")).where("length(word) > 1").groupBy("word").agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("a") >= MIN_DOCS)
     odds = lambda k, of: F.log((k + 0.5) / (F.lit(of) - k + 0.5))
     b = F.col("n") - F.col("a")
     weighed = counts.withColumn("odds", odds(F.col("a"), positives) - odds(b, negatives)).withColumn("low", F.col("odds") - 2 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (b + 0.5)))
     rows = weighed.where(F.col("low") >= MIN_ODDS).orderBy(F.desc("low"), "word").limit(MOST_WORDS).collect()
     odds_of = {r["word"]: float(r["odds"]) for r in rows}
+    common_words = {r["word"] for r in rows if r["a"] >= COMMON * positives}
     # Words that only go along with stronger ones (in copies of one text, say) explain no further document.
     holding = sample.where("label = 1").select(F.array_intersect(split, F.lit(list(odds_of) or [""])).alias("words")).collect()
     open_docs = [set(r["words"]) for r in holding]
     lexicon: dict[str, float] = {}
     for word in odds_of:
         left = [d for d in open_docs if word not in d]
-        if len(open_docs) - len(left) >= MIN_DOCS:
+        if word in common_words or len(open_docs) - len(left) >= MIN_DOCS:
             lexicon[word], open_docs = odds_of[word], left
     return lexicon
 
