@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import common
@@ -111,9 +111,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     place = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(span))
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(span, 64 + span * 3 * PER_LANG // r["count"]))) for r in counts])
     near = labelled.withColumn("place", place).where((F.col("place") < share) & F.col("text").rlike(r"\p{L}"))
-    rows = []
-    for r in counts:
-        rows += near.where(F.col("lang") == r["lang"]).orderBy("place", "id").limit(PER_LANG).select("text", "lang").collect()
+    # Some three times PER_LANG rows of each language come here, so the window's groups are bounded.
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "id", "text")))
+    rows = near.where(F.col("rank") <= PER_LANG).orderBy("lang", "rank").select("text", "lang").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, common, langid, neardup, quality_classifier, toxicity
+from quern.llm import bpe, common, langid, neardup, quality_classifier, quality_rules, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(common.documents(spark, sf_dir))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = common.id_fold("doc_id", 3) == 1
@@ -47,6 +51,7 @@ def queries() -> dict[str, Query]:
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op6_toxicity": op6_toxicity,
+        "op7_quality_rules": op7_quality_rules,
         "op9_quality_classifier": op9_quality_classifier,
     }
 
