@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 UNKNOWN = "und"
-#: Rows of each language in the sample, landmarks of each, most languages learned.
-PER_LANG, LANDMARKS, MOST_LANGS = 160, 24, 200
+#: Rows of each language in the sample, landmarks of each, most languages learned; most rows and landmarks of all.
+PER_LANG, LANDMARKS, MOST_LANGS = 160, 24, 100
+ALL_ROWS, ALL_LANDMARKS = 3000, 480
 RIDGE = 1e-2
 #: Hashed places of 1-, 2-, 3- and 4-grams.
 PLACES = (1 << 9, 1 << 12, 1 << 14, 1 << 14)
@@ -84,7 +85,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     names = sorted(set(langs))
     x = np.concatenate([presence(r) for r in common.runs(pa.array(texts, pa.string()))])
     y = np.array([names.index(v) for v in langs])
-    chosen = np.concatenate([np.flatnonzero(y == k)[:LANDMARKS] for k in range(len(names))])
+    chosen = np.concatenate([np.flatnonzero(y == k)[: min(LANDMARKS, ALL_LANDMARKS // len(names))] for k in range(len(names))])
     marks = (x[chosen] / np.sqrt(np.maximum(x[chosen].sum(axis=1, keepdims=True), 1.0))).T.copy()
     model = Model(names, marks, np.zeros((len(chosen), len(names)), dtype=np.float32))
     k_nm = model.kernel(x).astype(np.float64)
@@ -107,13 +108,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not counts:
         return None
     # A share of the id hashes that holds some three times the rows needed; the smallest hashes of these are taken.
-    span = 1 << 30
+    span, each = 1 << 30, min(PER_LANG, ALL_ROWS // len(counts))
     place = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(span))
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(span, 64 + span * 3 * PER_LANG // r["count"]))) for r in counts])
+    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(span, 64 + span * 3 * each // r["count"]))) for r in counts])
     near = labelled.withColumn("place", place).where((F.col("place") < share) & F.col("text").rlike(r"\p{L}"))
     # Some three times PER_LANG rows of each language come here, so the window's groups are bounded.
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "id", "text")))
-    rows = near.where(F.col("rank") <= PER_LANG).orderBy("lang", "rank").select("text", "lang").collect()
+    rows = near.where(F.col("rank") <= each).orderBy("lang", "rank").select("text", "lang").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 
 
