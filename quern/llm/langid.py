@@ -144,3 +144,26 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), has_letter.alias("has_letter"))
     out = read.mapInArrow(over, "doc_id long, lang_pred string, score double, has_letter boolean")
     return out.select("doc_id", F.when(F.col("has_letter"), F.col("lang_pred")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"), F.when(F.col("has_letter"), F.col("score")).otherwise(F.lit(0.0)).alias("score"))
+
+
+def filter_documents(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in whose text a language is found with a score of ``least``.
+
+    Without a model (no labelled row) every text with a letter stays.
+    """
+    spark = docs.sparkSession
+    common.prepare(spark)
+    lettered = docs.where(F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
+    if model is None:
+        return lettered
+    shipped = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH):
+                part = batch.slice(lo, BATCH)
+                scores = [shipped.value.predict(presence(run))[1] for run in common.runs(part.column(at))]
+                yield part.filter(pa.array(np.concatenate(scores) >= least))
+
+    return lettered.mapInArrow(over, docs.schema)

@@ -280,3 +280,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, one document of each group; of equal rows one stays."""
+    found = near_duplicates(docs, id_col, text_col)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    left = docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("twice_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("twice_id").checkpoint()
+    if repeated.isEmpty():
+        return left
+    same = F.col(id_col) == F.col("twice_id")
+    return left.join(repeated, same, "left_anti").union(left.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -19,16 +19,15 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, common
+from quern.llm import common
 
-CAPACITY = 2048
+#: Tokens of a sequence, words unless lengths are given.
+CAPACITY = 1024
 SHARD_ROWS = 16_000
 
 PACKED = "doc_id long, piece int, piece_start long, piece_tokens int, shard int, bin int, bin_offset int"
@@ -133,26 +132,23 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD
     return dealt.groupBy("shard").applyInArrow(pack, PACKED)
 
 
-def with_lengths(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None) -> DataFrame:
-    """Items of whole texts: their token counts, and as cluster, unless one is given, a hash of the text's words.
+def with_lengths(docs: DataFrame, length: Column | None = None, cluster: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Items of whole texts: their lengths, and as cluster, unless one is given, a hash of the text's words.
 
-    The counts stand after a checkpoint, as the packing reads them twice.
+    ``length`` is any count of tokens; by default words count as tokens, which needs no tokenizer (join the
+    rows of ``bpe.token_counts`` for another unit).  The items stand after a checkpoint, as packing reads
+    them twice.
     """
-    shipped = bpe.ship(docs.sparkSession, vocabulary)
-    words = F.lower(F.trim(F.regexp_replace(F.col(text_col).cast("string"), r"[\x20\x09-\x0D]+", " ")))
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"), (F.xxhash64(words) if cluster is None else cluster).cast("string").alias("cluster"))
-    read = read.withColumn("cluster", F.when(F.length("text") > 0, F.col("cluster")))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("source", pa.string()), ("cluster", pa.string())])
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe.coder_of(shipped.value)
-        for batch in batches:
-            counts = pa.array([coder.count(x.as_py()) for x in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, batch.column(2), batch.column(3)], schema=schema)
-
-    return read.mapInArrow(over, "doc_id long, n_tokens long, source string, cluster string").checkpoint()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"), *([] if length is None else [length.cast("long").alias("n_tokens")]), F.col(source_col).cast("string").alias("source"), *([] if cluster is None else [cluster.cast("string").alias("cluster")]))
+    same = F.xxhash64(F.lower(F.array_join("words", " "))).cast("string")
+    return read.select(
+        "doc_id", F.size("words").cast("long").alias("n_tokens") if length is None else F.col("n_tokens"), "source",
+        F.when(F.size("words") > 0, same if cluster is None else F.col("cluster")).alias("cluster"),
+    ).checkpoint()
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Every document's pieces with their bins: ``PACKED``."""
-    return best_fit(with_lengths(docs, vocabulary), capacity)
+    return best_fit(with_lengths(docs), capacity)

@@ -158,3 +158,18 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(over, "doc_id long, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def filter_documents(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores at least ``least``."""
+    spark = docs.sparkSession
+    common.prepare(spark)
+    shipped = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in common.runs(batch.column(at)):
+                yield batch.slice(run.first, run.rows).filter(pa.array(shipped.value.score(run) >= least))
+
+    return docs.mapInArrow(over, docs.schema)

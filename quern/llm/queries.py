@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, common, html_extract, langid, neardup, packing, quality_classifier, quality_rules, toxicity
+from quern.llm import ann, bpe, common, html_extract, langid, lm, neardup, packing, quality_classifier, quality_rules, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(common.documents(spark, sf_dir))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return lm.score(docs, lm.train(docs))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = common.id_fold("doc_id", 3) == 1
@@ -53,6 +58,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -62,7 +71,9 @@ def queries() -> dict[str, Query]:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_toxicity": op6_toxicity,
         "op7_quality_rules": op7_quality_rules,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_quality_classifier": op9_quality_classifier,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
