@@ -75,8 +75,8 @@ QUERIES = {
     "bar_invariants": (
         bar_invariants,
         f"WITH {TICKS}, {bars_sql()}, g AS (SELECT count(*) AS read, count(*) FILTER (WHERE price IS NULL OR qty IS NULL) AS null_values, count(*) FILTER (WHERE qty <= 0) AS zero_quantities, count(*) FILTER (WHERE price <= 0) AS zero_prices, count(*) FILTER (WHERE NOT is_best_match) AS not_best_match FROM ticks) "
-        "SELECT read, CAST(sum(n_ticks) AS BIGINT) AS binned, CAST(read - sum(n_ticks) AS BIGINT) AS lost, null_values, count(*) FILTER (WHERE high < greatest(open, close, low)) AS high_breaches, count(*) FILTER (WHERE low > least(open, close, high)) AS low_breaches, "
-        "count(*) FILTER (WHERE taker_buy_qty > volume) AS taker_breaches, zero_quantities, zero_prices, not_best_match FROM bars, g GROUP BY ALL",
+        "SELECT any_value(read) AS read, CAST(sum(n_ticks) AS BIGINT) AS binned, CAST(any_value(read) - sum(n_ticks) AS BIGINT) AS lost, any_value(null_values) AS null_values, count(*) FILTER (WHERE high < greatest(open, close, low)) AS high_breaches, count(*) FILTER (WHERE low > least(open, close, high)) AS low_breaches, "
+        "count(*) FILTER (WHERE taker_buy_qty > volume) AS taker_breaches, any_value(zero_quantities) AS zero_quantities, any_value(zero_prices) AS zero_prices, any_value(not_best_match) AS not_best_match FROM bars, g",
     ),
     "tie_group_profile": (
         lambda spark, d: bars.tie_groups(inputs.ticks(spark, d).withColumn("event_time_us", bars.bucket("event_time_us", bars.MINUTE))),

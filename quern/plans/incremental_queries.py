@@ -63,8 +63,8 @@ def kv_items(spark, d):
 
 def orphan_sweep(spark, d):
     item = lambda df: df.select(F.concat(F.lit("run#"), F.col("wave")).alias("pk"), F.concat(F.lit("o#"), F.col("o_orderkey")).alias("sk"))
-    held = item(offers(spark, d))
-    return kv.orphans(held, held.where("pk IN ('run#1996', 'run#1997')").where(F.crc32("sk") % 3 != 0))
+    base = offers(spark, d)
+    return kv.orphans(item(base), item(base.where("wave IN (1996, 1997) AND o_orderkey % 3 <> 0")))
 
 
 def union_by_name(spark, d):
@@ -103,7 +103,7 @@ QUERIES = {
         f"WITH {inputs.grid_sql()}, shown AS (SELECT *, CASE WHEN rate_ceil IS NULL THEN '' ELSE 'rate_ceil=' || rate_ceil::DECIMAL(12,1) || ';' END AS c, CASE WHEN rate_floor IS NULL THEN '' ELSE 'rate_floor=' || rate_floor::DECIMAL(12,1) || ';' END AS f FROM arms) "
         f"SELECT 'r1#arms' AS pk, 'risk_band#' || risk_band || '#arm_index#' || arm_index AS sk, 'arm_id=' || arm_id || ';arm_index=' || arm_index || ';' || c || f || 'risk_band=' || risk_band AS attrs FROM shown UNION ALL SELECT 'r1#arms', '#model', 'artifact=arms;artifact_rows={len(GRID.rows())};run=r1;version=3'",
     ),
-    "orphan_sweep": (orphan_sweep, None),
+    "orphan_sweep": (orphan_sweep, f"WITH {_OFFERS} SELECT 'run#' || wave AS pk, 'o#' || o_orderkey AS sk FROM offers WHERE wave IN (1996, 1997) AND o_orderkey % 3 = 0"),
     "star_stage_fact": (star_stage_fact, f"WITH {FACTS} SELECT offer_id, wave, arm_id, took_up = 1 AS took_up FROM facts WHERE wave >= 2"),
     "fact_parity": (
         fact_parity,
