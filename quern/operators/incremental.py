@@ -33,17 +33,17 @@ def run_name(value: str) -> str:
 
 
 def extract_query(table: str, load_column: str | None, last: str | None, full_load: bool) -> str:
-    """The SELECT of an extract: everything, or the rows after the watermark, newest first."""
+    """The SELECT of an extract: everything (a full load, or no watermark yet), or the rows after the watermark, newest first."""
     query = f"SELECT * FROM {identifier(table)}"
     if full_load:
         return query
     if load_column is None:
         raise ValueError("an incremental extract needs a load column")
     column = identifier(load_column)
-    if last is not None:
-        escaped = last.replace("'", "''")
-        query += f" WHERE {column} > '{escaped}'"
-    return f"{query} ORDER BY {column} DESC"
+    if last is None:
+        return query
+    escaped = last.replace("'", "''")
+    return f"{query} WHERE {column} > '{escaped}' ORDER BY {column} DESC"
 
 
 def extract(df: DataFrame, load_column: str | None, last: str | None, full_load: bool = False) -> DataFrame:
