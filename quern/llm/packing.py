@@ -28,7 +28,7 @@ from quern.llm import common
 
 #: Tokens of a sequence, words unless lengths are given.
 CAPACITY = 1024
-SHARD_ROWS = 16_000
+SHARD_ROWS = 4_000
 
 PACKED = "doc_id long, piece int, piece_start long, piece_tokens int, shard int, bin int, bin_offset int"
 
