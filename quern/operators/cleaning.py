@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from itertools import chain as flat
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
+#: Rows of a slice of a globally ordered table, and most slices.
+SLICE_ROWS, MOST_SLICES = 500_000, 10_000
 
 
 def lookup(mapping: dict, key: str | Column) -> Column:
@@ -90,34 +93,48 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
-def running_count(df: DataFrame, order: str, event: Column, into: str, slices: int = 64) -> DataFrame:
+def sliced(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``_slice``: ranges of ``order`` of some ``SLICE_ROWS`` rows each, in order, cut at its quantiles.
+
+    The cuts are looked up by binary search; there are at most ``MOST_SLICES``.
+    """
+    rows = df.count()
+    n = min(MOST_SLICES, max(1, -(-rows // SLICE_ROWS)))
+    cuts = sorted(set(df.approxQuantile(order, [k / n for k in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    if not cuts:
+        return df.withColumn("_slice", F.lit(0.0))
+    splits = [-float("inf"), *cuts, float("inf")]
+    return Bucketizer(splits=splits, inputCol=order, outputCol="_slice").transform(df)
+
+
+def _before() -> Window:
+    """All slices before one: a window over the table of slices, of at most ``MOST_SLICES`` rows."""
+    return Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_count(df: DataFrame, order: str, event: Column, into: str) -> DataFrame:
     """The number of ``event`` rows up to each row in the global order of ``order``, without one window over all rows.
 
-    Rows are range-partitioned into slices by ``order``'s quantiles; a slice's own running count and the
-    total of the slices before it (a table of ``slices`` rows, broadcast) add up.
+    A slice's own running count and the total of the slices before it add up.
     """
-    cuts = sorted(set(df.approxQuantile(order, [k / slices for k in range(1, slices)], 0.001)))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    cut = df.withColumn("_slice", part).withColumn("_event", F.when(event, 1).otherwise(0))
-    totals = cut.groupBy("_slice").agg(F.sum("_event").alias("_n"))
-    before = totals.alias("a").join(totals.select(F.col("_slice").alias("_other"), F.col("_n").alias("_m")), F.col("_other") < F.col("_slice"), "left").groupBy("_slice").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_before"))
+    cut = sliced(df, order).withColumn("_event", F.when(event, 1).otherwise(0))
+    before = cut.groupBy("_slice").agg(F.sum("_event").alias("_n")).select("_slice", F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_before"))
     own = F.sum("_event").over(Window.partitionBy("_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    # One row a slice: at most ``slices``.
     return cut.withColumn("_own", own).join(F.broadcast(before), "_slice").withColumn(into, F.col("_own") + F.col("_before")).drop("_slice", "_event", "_own", "_before")
 
 
-def previous(df: DataFrame, order: str, column: str, into: str, slices: int = 64) -> DataFrame:
+def previous(df: DataFrame, order: str, column: str, into: str) -> DataFrame:
     """The column's value in the row before, in the global order of ``order``, by slices as in ``running_count``."""
-    cuts = sorted(set(df.approxQuantile(order, [k / slices for k in range(1, slices)], 0.001)))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    cut = df.withColumn("_slice", part)
-    lasts = cut.groupBy("_slice").agg(F.max_by(column, order).alias("_last"))
-    # The slice before may be empty: take the nearest one below.
-    pairs = lasts.select(F.col("_slice").alias("_other"), F.col("_last"))
-    before = lasts.select("_slice").join(pairs, F.col("_other") < F.col("_slice")).groupBy("_slice").agg(F.max_by("_last", "_other").alias("_carry"))
-    lagged = F.lag(column).over(Window.partitionBy("_slice").orderBy(order))
-    first = F.row_number().over(Window.partitionBy("_slice").orderBy(order)) == 1
-    return cut.withColumns({"_lag": lagged, "_first": first}).join(F.broadcast(before), "_slice", "left").withColumn(into, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop("_slice", "_lag", "_first", "_carry")
+    cut = sliced(df, order)
+    before = cut.groupBy("_slice").agg(F.max_by(column, order).alias("_last")).select("_slice", F.last("_last").over(_before()).alias("_carry"))
+    slice_order = Window.partitionBy("_slice").orderBy(order)
+    made = cut.withColumns({"_lag": F.lag(column).over(slice_order), "_first": F.row_number().over(slice_order) == 1}).join(F.broadcast(before), "_slice")
+    return made.withColumn(into, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop("_slice", "_lag", "_first", "_carry")
+
+
+def mint_ids(df: DataFrame, order: str, into: str = "row_id") -> DataFrame:
+    """Stable 1-based numbers in the order of a unique column."""
+    return running_count(df, order, F.lit(True), into)
 
 
 def rollovers(df: DataFrame, order: str, column: str, into: str) -> DataFrame:
@@ -132,3 +149,26 @@ def join_small(df: DataFrame, small: DataFrame, on: str, most_rows: int = 100_00
     if n != keys:
         raise ValueError(f"{on} is not unique: the join would change the row count")
     return df.join(F.broadcast(small) if n <= most_rows else small, on, "left")
+
+
+def rename(df: DataFrame, mapping: dict[str, str | Column]) -> DataFrame:
+    """The mapped columns only, in its order: business name to source column or expression."""
+    return df.select(*[(F.col(source) if isinstance(source, str) else source).alias(name) for name, source in mapping.items()])
+
+
+def checked_flags(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Flags as smallint, NULL kept; a fractional or other value than 0 and 1 raises."""
+    bad = df.where(" OR ".join(f"{c} NOT IN (0, 1)" for c in columns)).limit(1)
+    if not bad.isEmpty():
+        raise ValueError(f"one of {columns} holds a value that is no flag")
+    return df.withColumns({c: F.col(c).cast("smallint") for c in columns})
+
+
+def summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Spark's summary (all statistics as strings) of the columns."""
+    return df.select(*columns).summary()
+
+
+def bucketize(df: DataFrame, column: str, splits: list[float], into: str) -> DataFrame:
+    """The declared half-open interval of each value (the last closed)."""
+    return Bucketizer(splits=splits, inputCol=column, outputCol=into).transform(df)

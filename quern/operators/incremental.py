@@ -170,6 +170,19 @@ def missing_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     return count(left.exceptAll(right), "only_left").join(count(right.exceptAll(left), "only_right"))
 
 
+def at_scale(df: DataFrame, scales: dict[str, int], precision: int = 38) -> DataFrame:
+    """Result columns as decimals of their table's declared scales, so that every store rounds them alike."""
+    return df.withColumns({c: F.col(c).cast(f"decimal({precision},{scale})") for c, scale in scales.items()})
+
+
+def split_columns(df: DataFrame, parts: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """A lossless split of a table by columns: every column is in some part, or the split raises."""
+    lost = set(df.columns) - {c for names in parts.values() for c in names}
+    if lost:
+        raise ValueError(f"the split would lose {sorted(lost)}")
+    return {name: df.select(*names) for name, names in parts.items()}
+
+
 def ddl(table: str, columns: dict[str, str], key: list[str]) -> str:
     """A CREATE TABLE statement from declared columns."""
     lines = [f"    {identifier(c)} {kind}" for c, kind in columns.items()] + [f"    PRIMARY KEY ({', '.join(map(identifier, key))})"]

@@ -1,6 +1,7 @@
 """The three batch pipelines end to end, as plain functions, and a small command line.
 
     python -m quern.pipelines bars --ticks SYMBOL=PATH ... --start-us N --end-us N --interval-us N --output PATH
+    python -m quern.pipelines path --kind continuous|categorical|online --bars PATH --output PATH
     python -m quern.pipelines contacts --input PATH --curated-output PATH --kpi-output PATH
     python -m quern.pipelines --self-check
 """
@@ -28,8 +29,8 @@ CONTACTS = T.StructType(
 MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
 SCHOOL_YEARS = {"illiterate": 0, "basic.4y": 4, "basic.6y": 6, "basic.9y": 9, "high.school": 12, "professional.course": 13, "university.degree": 16}
 SECTORS = {
-    "White collar": ("admin.", "management"), "Manual": ("blue-collar",), "Business owner": ("entrepreneur", "self-employed"), "Service": ("housemaid", "services"),
-    "Not working": ("retired", "student", "unemployed"), "Technical": ("technician",),
+    "admin.": "White collar", "blue-collar": "Manual", "entrepreneur": "Business owner", "housemaid": "Service", "management": "White collar", "retired": "Not working",
+    "self-employed": "Business owner", "services": "Service", "student": "Not working", "technician": "Technical", "unemployed": "Not working",
 }
 FIRST_YEAR, NO_CONTACT = 2008, 999
 IMPUTED = ["job", "marital", "education", "housing", "loan"]
@@ -78,7 +79,7 @@ def engineer_contacts(df: DataFrame) -> DataFrame:
     df = cleaning.rollovers(df, "row_id", "month_num", "years_on")
     df = df.withColumn("contact_date", F.make_date((F.col("years_on") + FIRST_YEAR).cast("int"), "month_num", F.lit(1)))
     df = df.withColumns({"quarter": F.quarter("contact_date"), "is_q4": flag(F.quarter("contact_date") == 4), "months_elapsed": F.months_between("contact_date", F.lit(f"{FIRST_YEAR}-05-01").cast("date")).cast("int")})
-    sectors = df.sparkSession.createDataFrame([(job, s) for s, jobs in SECTORS.items() for job in jobs], "job string, sector string")
+    sectors = df.sparkSession.createDataFrame(list(SECTORS.items()), "job string, sector string")
     df = cleaning.join_small(df.drop("years_on"), sectors, "job")
     if not df.where(F.col("contact_date").isNull()).isEmpty():
         raise ValueError("some rows have no contact date: the file order was lost")
@@ -140,6 +141,10 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("--start-us", "--end-us", "--interval-us"):
         one.add_argument(name, type=int, required=True)
     one.add_argument("--output", required=True)
+    path = sub.add_parser("path")
+    path.add_argument("--kind", choices=("continuous", "categorical", "online"), required=True)
+    for name in ("--bars", "--output"):
+        path.add_argument(name, required=True)
     two = sub.add_parser("contacts")
     for name in ("--input", "--curated-output", "--kpi-output"):
         two.add_argument(name, required=True)
@@ -153,6 +158,11 @@ def main(argv: list[str] | None = None) -> int:
         paths = dict(x.split("=", 1) for x in args.ticks)
         made = run_bars(build_session(local_cores=args.local), paths, calendar, args.output)
         print(json.dumps({"bars": made.count(), "slots": calendar.slots}))
+    elif args.job == "path":
+        from quern import paths
+
+        made = getattr(paths, args.kind)(build_session(local_cores=args.local), args.bars, args.output)
+        print(json.dumps({name: df.count() for name, df in made.items()}))
     elif args.job == "contacts":
         print(json.dumps(run_contacts(build_session(local_cores=args.local), args.input, args.curated_output, args.kpi_output)))
     else:

@@ -35,7 +35,9 @@ def test_modes_break_ties_by_value_and_skip_unknown(spark):
     assert sorted(str(r[0]) for r in cleaning.impute_modes(df, ["x"]).collect()) == ["None", "a", "a", "a", "a", "b"]
 
 
-def test_global_running_count_and_previous(spark):
+@pytest.mark.parametrize("slice_rows", [13, 500_000])
+def test_global_running_count_and_previous(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(cleaning, "SLICE_ROWS", slice_rows)
     rng = np.random.default_rng(3)
     values = [int(v) for v in rng.integers(0, 24, 500)]
     df = spark.createDataFrame(list(enumerate(values)), "i long, h int").repartition(7)
@@ -45,10 +47,22 @@ def test_global_running_count_and_previous(spark):
         day += bool(i and v < values[i - 1])
         want[i] = day
     assert got == want
+    assert sorted(map(tuple, cleaning.mint_ids(df.where("i > 9"), "i", "n").select("i", "n").collect())) == [(i, i - 9) for i in range(10, 500)]
     one = spark.createDataFrame([(5, 1)], "i long, h int")
     assert [r["day"] for r in cleaning.rollovers(one, "i", "h", "day").collect()] == [0]
 
 
+def test_small_cleaners(spark):
+    df = spark.createDataFrame([(1, 0.0), (0, 1.5), (None, 3.0)], "f int, x double")
+    assert dict(cleaning.checked_flags(df, ["f"]).dtypes)["f"] == "smallint"
+    with pytest.raises(ValueError):
+        cleaning.checked_flags(df, ["x"])
+    assert cleaning.rename(df, {"y": "x", "z": F.col("x") * 2}).columns == ["y", "z"]
+    assert [r["b"] for r in cleaning.bucketize(df, "x", [0.0, 1.0, 2.0, 3.0], "b").collect()] == [0.0, 1.0, 2.0]
+    assert cleaning.summary(df, ["x"]).where("summary = 'max'").first()["x"] == "3.0"
+    assert cleaning.cast_failures(spark.createDataFrame([("1",), ("x",), (None,)], "t string"), "t", "int").first().asDict() == {"given": 2, "lost": 1}
+
+
 def test_joins_that_would_multiply_rows_raise(spark):
     df, twice = spark.range(3), spark.createDataFrame([(1, "a"), (1, "b")], "id long, v string")
     with pytest.raises(ValueError):
@@ -169,7 +183,7 @@ def test_sources(spark, tmp_path):
 
 def test_contacts_pipeline(spark, tmp_path):
     names = [f.replace("_", ".") if f in ("emp_var_rate", "cons_price_idx", "cons_conf_idx", "nr_employed") else f for f in pipelines.CONTACTS.fieldNames()]
-    jobs = [j for js in pipelines.SECTORS.values() for j in js]
+    jobs = list(pipelines.SECTORS)
     lines = [";".join(f'"{n}"' for n in names)]
     for i in range(60):
         month = ["may", "dec", "mar", "nov"][i // 15]
