@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -48,6 +49,17 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoint-"))
 
 
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the checkpoint folder and read again: unlike after a checkpoint, its size is known.
+
+    A join then broadcasts it if that size is under the session's limit, without moving the other side.
+    """
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
