@@ -10,13 +10,16 @@ The cell width and the number of visited buckets are fitted on a bounded sample
 (``SAMPLE`` of smallest id hashes): the fewest visits that find ``TARGET`` of the sample's true
 neighbours, which lie farther apart than those of the whole table.
 
+Equal vectors are one entry of the index, held by its ``k + 1`` smallest ids: ties go to smaller ids, so no
+other row of the entry can be among the ``k`` nearest of anything.  A vector that a third of the rows
+share is thus a few rows (each task passes on as many at most before the shuffle).
+
 Queries are dealt to buckets, not to vectors: a task holds a share of at most some ``BLOCK`` vectors of a
 bucket with the queries that visit it, and returns the best ``k`` of each query only.  A hot bucket is
 split into as many shares as its size asks for.
 
 Defined cases: vectors that are null, empty, zero, of another length than most of the sample, or that hold
-null or non-finite components take no part (neither as query nor as candidate).  Equal vectors are
-candidates of their own, ties go to the smaller id.  Rows with equal ids and vectors are one candidate.
+null or non-finite components take no part (neither as query nor as candidate).  Ties go to the smaller id.  Rows with equal ids and vectors are one candidate.
 With fewer than ``k`` candidates all found are returned.  Null ids take no part.
 """
 
@@ -188,13 +191,15 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
                     keys = shipped.value.keys(shipped.value.probes(asked[table, q]), table)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([query.as_py()] * len(keys), pa.int64())], schema=schema)
 
-    placed = rows.select("vec_id", "v").mapInArrow(place, "key long, vec_id long").checkpoint()
+    by_vector = Window.partitionBy("v").orderBy("vec_id")
+    entries = rows.select("vec_id", "v").withColumn("nth", F.dense_rank().over(by_vector)).where(F.col("nth") <= k + 1).select("vec_id", "v").checkpoint()
+    placed = entries.mapInArrow(place, "key long, vec_id long").checkpoint()
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("shares"))
     visits = rows.where("asks").select("vec_id", "v").mapInArrow(visit, "key long, query_id long")
     # Only buckets that hold vectors are visited; a visit goes to each share of its bucket.
     visits = visits.join(sizes, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "query_id")
     visits = visits.join(rows.select(F.col("vec_id").alias("query_id"), "v"), "query_id").select("key", "share", F.col("query_id").alias("id"), "v", F.lit(True).alias("asks"))
-    held = placed.join(sizes, "key").join(rows.select("vec_id", "v"), "vec_id")
+    held = placed.join(sizes, "key").join(entries, "vec_id")
     held = held.select("key", F.pmod(F.xxhash64("vec_id"), F.col("shares")).cast("int").alias("share"), F.col("vec_id").alias("id"), "v", F.lit(False).alias("asks"))
 
     def best(table: pa.Table) -> pa.Table:
