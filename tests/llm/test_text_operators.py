@@ -343,19 +343,19 @@ def test_neighbours(spark):
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var x="</p><p>no</p>";</script></head><body>
 <header><a href="/">Site</a></header><nav><ul><li>Menu<li>More</ul></nav><div class="cookie-notice">We use cookies</div>
 <div class="layout has-sidebar"><article><h1>Title&nbsp;&amp; more %d</h1><p>First   part<br>goes on <b>bold<p>Second &lt;part&gt; %d
-<aside>Aside</aside><div class="share-buttons">Share</div><ul><li>one</li><li>two</ul><form><input value=x>Send</form><!-- <p>gone</p> --><p>Last%s</article>
+<aside>Aside</aside><div class="share-buttons">Share</div><ul><li>one %d</li><li>two %d</ul><form><input value=x>Send</form><!-- <p>gone</p> --><p>Last %d%s</article>
 <section id="comments"><article><p>Reader says</p></article></section></div><div class="sidebar">Side</div><footer>&copy; foot</footer></body></html>"""
 
 
 def test_extraction(spark):
-    pages = [(i, "http://a.example/x", PAGE % (i, i, "")) for i in range(12)]
+    pages = [(i, "http://a.example/x", PAGE % (i, i, i, i, i, "")) for i in range(12)]
     plain = "<body><div class='top'>Same banner on all</div><div class='text'><p>Own words %d</p></div><div class='end'>All the same end</div></body>"
     pages += [(100 + i, "https://B.example:80/p?q", plain % i) for i in range(12)]
     pages += [(200, None, None), (201, "nonsense", ""), (202, "http://c.example", "just text & no tags < 3"), (203, "http://c.example", "<div>" * 3000 + "deep" + "</div>" * 10), (204, "http://c.example", "<p>open <b>never <i>closed <script>lost"), (205, "http://c.example", "<p>" + "long " * 200_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash")).repartition(4)
     rows = {r["page_id"]: r for r in html_extract.extract(df).collect()}
     assert len(rows) == len(pages) and all(r["n_chars"] == len(r["text"]) for r in rows.values())
-    assert rows[3]["text"] == "Title & more 3\n\nFirst part goes on bold\n\nSecond <part> 3\n\none\n\ntwo\n\nLast"
+    assert rows[3]["text"] == "Title & more 3\n\nFirst part goes on bold\n\nSecond <part> 3\n\none 3\n\ntwo 3\n\nLast 3"
     assert rows[105]["text"] == "Own words 5"
     assert rows[200]["text"] == rows[201]["text"] == "" and rows[200]["url"] is None
     assert rows[202]["text"] == "just text & no tags < 3" and rows[203]["text"] == "deep" and rows[204]["text"] == "open never closed" and rows[205]["n_chars"] == 5 * 200_000 - 1
@@ -363,7 +363,7 @@ def test_extraction(spark):
 
 
 def test_a_host_of_equal_pages_keeps_its_article(spark):
-    pages = [(i, "http://a.example/x", PAGE % (1, 1, "")) for i in range(20)]
+    pages = [(i, "http://a.example/x", PAGE % (1, 1, 1, 1, 1, "")) for i in range(20)]
     rows = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert all(r["text"].startswith("Title & more 1") for r in rows)
 
