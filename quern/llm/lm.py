@@ -8,9 +8,8 @@ from the corpus counts.  A document's log-likelihood is the sum over its words o
 
     log P(class | both sides) + log P(bucket | class).
 
-Training runs in numpy on the documents whose id hash is 0 modulo ``TRAIN_ONE_IN``, so it grows with the
-corpus: every partition runs stochastic steps over its share from the same start, and the partitions'
-parameters are averaged by their numbers of words, in a tree of sums.  Nothing that grows with the
+Training runs in numpy on every document: every partition runs stochastic steps over its share from the
+same start, and the partitions' parameters are averaged by their numbers of words, in a tree of sums.  Nothing that grows with the
 corpus comes to the driver: it holds the counts (of fixed size) and one set of parameters.
 
 Defined cases: null or wordless text has 0 tokens, log-likelihood 0 and no mean.  Texts are read whole;
@@ -34,7 +33,7 @@ from quern.llm import common
 RANGES, BUCKETS, SINGLES = 32, 1 << 20, 64
 CLASSES = SINGLES + RANGES
 SIDE, VOCABULARY, WIDTH, HIDDEN = 2, 8192, 12, 24
-TRAIN_ONE_IN, ROUNDS, BATCH, RATE = 16, 2, 2048, 0.1
+ROUNDS, BATCH, RATE = 2, 2048, 0.1
 SEED = 7
 #: Parameters travel in pieces of this many numbers; sums join this many partitions at a time.
 PIECE, FAN_IN = 1 << 14, 16
@@ -124,19 +123,20 @@ class Network:
     def step(self, context: np.ndarray, target: np.ndarray, squares: list[np.ndarray]) -> None:
         """One Adagrad step on the mean loss of a batch."""
         embed, w1, b1, w2, b2 = self.parts
-        x, hidden, scores = self.forward(context)
-        slope = np.exp(scores)
+        x, hidden, slope = self.forward(context)
+        np.exp(slope, out=slope)
         slope /= slope.sum(axis=1, keepdims=True)
         slope[np.arange(len(target)), target] -= 1.0
         slope /= len(target)
         back = (slope @ w2.T) * (1.0 - hidden**2)
-        into = (back @ w1.T).reshape(len(context), 2 * SIDE, WIDTH)
+        into = (back @ w1.T).reshape(-1, WIDTH)
         for part, square, grad in ((w1, squares[1], x.T @ back), (b1, squares[2], back.sum(0)), (w2, squares[3], hidden.T @ slope), (b2, squares[4], slope.sum(0))):
             square += grad**2
             part -= RATE * grad / (np.sqrt(square) + 1e-6)
-        rows, inverse = np.unique(context, return_inverse=True)
-        grad = np.zeros((len(rows), WIDTH), dtype=np.float32)
-        np.add.at(grad, inverse.reshape(-1), into.reshape(-1, WIDTH))
+        ids = context.reshape(-1)
+        rows = np.flatnonzero(np.bincount(ids, minlength=VOCABULARY + 1))
+        # A count a column: many times faster than adding row by row.
+        grad = np.stack([np.bincount(ids, weights=column, minlength=VOCABULARY + 1)[rows] for column in into.T], axis=1).astype(np.float32)
         squares[0][rows] += grad**2
         embed[rows] -= RATE * grad / (np.sqrt(squares[0][rows]) + 1e-6)
 
@@ -198,7 +198,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     # At most BUCKETS rows.
     got = counts.toArrow()
     vocabulary = Vocabulary.of(got.column("bucket").to_numpy().astype(np.int64), got.column("n").to_numpy())
-    chosen = texts.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(TRAIN_ONE_IN)) == 0).select("text").withColumn("part", F.spark_partition_id())
+    read = texts.select("text").withColumn("part", F.spark_partition_id())
     network = Network.start()
     for _ in range(ROUNDS):
         shipped = spark.sparkContext.broadcast((vocabulary.classes, network.flat))
@@ -221,7 +221,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
             if seen:
                 yield _pieces(local.flat, part, float(seen))
 
-        sums = chosen.mapInArrow(learn, _PIECES).checkpoint()
+        sums = read.mapInArrow(learn, _PIECES).checkpoint()
         parts = (sums.agg(F.max("part")).first()[0] or 0) + 1
         while parts > 1:
             group = F.floor(F.col("part") / F.lit(FAN_IN))
@@ -229,6 +229,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
             parts = -(-parts // FAN_IN)
         rows = sorted(sums.collect(), key=lambda r: r["piece"])
         if not rows:
+            # No document has a word, so none is scored by the network.
             break
         network = Network(np.concatenate([np.frombuffer(r["numbers"], np.float32) for r in rows]))
     return Model(vocabulary, network)

@@ -278,6 +278,14 @@ def test_language_model(spark, docs, none):
     assert np.allclose(shares[np.bincount(model.vocabulary.classes, minlength=lm.CLASSES) > 0], 1, atol=1e-3) and (x > 0).all()
 
 
+def test_every_document_trains_the_network(spark):
+    """Few documents, none of which hashes to 0 modulo 16, still move the network from its start."""
+    df = spark.createDataFrame([(i, EN) for i in range(40)], "doc_id long, text string")
+    df = df.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(16)) != 0).repartition(2)
+    model = lm.train(df)
+    assert df.count() > 20 and np.abs(model.network.flat - lm.Network.start().flat).max() > 0.1
+
+
 def test_packing_against_a_plain_search(spark, docs, none):
     rng = random.Random(3)
     for _ in range(20):
