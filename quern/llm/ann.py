@@ -8,7 +8,11 @@ success.  Candidates of all tables are merged and reranked by exact distance in
 
 The cell width and the number of visited buckets are fitted on a bounded sample of vectors
 (``SAMPLE`` of smallest id hashes): the fewest visits that find ``TARGET`` of the sample's true
-neighbours, which lie farther apart than those of the whole table.
+neighbours, which lie farther apart than those of the whole table.  Where ``MOST_VISITS`` do not reach
+it, the index takes fewer projections and then wider cells until they do.
+
+A query left with fewer than ``k`` candidates (a far or isolated vector, whose visited buckets are empty) is
+compared with all entries, block by block.
 
 Equal vectors are one entry of the index, held by its ``k + 1`` smallest ids: ties go to smaller ids, so no
 other row of the entry can be among the ``k`` nearest of anything.  A vector that a third of the rows
@@ -20,7 +24,7 @@ split into as many shares as its size asks for.
 
 Defined cases: vectors that are null, empty, zero, of another length than most of the sample, or that hold
 null or non-finite components take no part (neither as query nor as candidate).  Ties go to the smaller id.  Rows with equal ids and vectors are one candidate.
-With fewer than ``k`` candidates all found are returned.  Null ids take no part.
+A table of fewer than ``k`` candidates gives all of them.  Null ids take no part.
 """
 
 from __future__ import annotations
@@ -116,19 +120,29 @@ def exact_distances(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, total: int) -> Index:
-    """An index for ``total`` vectors like those of ``sample``."""
+    """An index for ``total`` vectors like those of ``sample``, coarse enough that ``MOST_VISITS`` reach ``TARGET``."""
+    functions, widths = int(np.clip(round(np.log2(max(total, 2) / BLOCK)), 4, 24)), 2.0
+    while True:
+        index, reached = attempt(sample, functions, widths)
+        if reached:
+            return index
+        # Fewer projections, then wider cells: in the end all vectors share a bucket.
+        functions, widths = (functions - 1, widths) if functions > 1 else (1, 2.0 * widths)
+
+
+def attempt(sample: np.ndarray, functions: int, widths: float) -> tuple[Index, bool]:
+    """An index of cells of so many deviations, and whether it finds ``TARGET`` of the sample's neighbours."""
     rng = np.random.default_rng(SEED)
     n, d = sample.shape
-    functions = int(np.clip(round(np.log2(max(total, 2) / BLOCK)), 4, 24))
     directions = rng.standard_normal((TABLES, functions, d))
     offsets = rng.random((TABLES, functions))
     spread = float(np.std(np.einsum("tfd,nd->tnf", directions, sample))) if n > 1 else 1.0
     # Cells of two deviations: a projection falls in two or three of them.
-    index = Index(directions, offsets, max(2.0 * spread, 1e-12), 1)
+    index = Index(directions, offsets, max(widths * spread, 1e-12), 1)
     queries = sample[:: max(1, n // SAMPLE_QUERIES)]
     k = min(K, n - 1)
     if k < 1:
-        return index
+        return index, True
     square = (sample**2).sum(axis=1)
     near = np.argsort(square[None, :] - 2 * queries @ sample.T, axis=1, kind="stable")[:, : k + 1]
     index.visits = min(MOST_VISITS, 3**functions)
@@ -143,8 +157,10 @@ def fit(sample: np.ndarray, total: int) -> Index:
             at = np.array([rank.get(int(key), index.visits) for key in keys[near[q]]])
             first[q, near[q]] = np.minimum(first[q, near[q]], at)
     needed = np.sort(np.concatenate([first[q, near[q]][1:] for q in range(len(queries))]))
-    index.visits = int(min(index.visits, needed[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))))] + 1))
-    return index
+    last = int(needed[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))))])
+    reached = last < index.visits
+    index.visits = int(min(index.visits, last + 1))
+    return index, reached
 
 
 def usable(vector: Column) -> Column:
@@ -231,6 +247,20 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
 
     found = held.union(visits).groupBy("key", "share").applyInArrow(best, "query_id long, ids array<long>, scores array<double>")
     pairs = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("p")).select("query_id", F.col("p.ids").alias("vec_id"), F.col("p.scores").alias("score"))
-    pairs = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).checkpoint()
+    held_by = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    asking = rows.where("asks").select(F.col("vec_id").alias("query_id"), "v").join(held_by, "query_id", "left")
+    short = asking.where(F.coalesce("n", F.lit(0)) < k).select("query_id", "v").checkpoint()
+    some = short.count()
+    if some:
+        # Every share of the short queries meets every block of entries.
+        blocks, shares = -(-entries.count() // BLOCK), -(-some // BLOCK)
+        dealt = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("long")
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        scanned = short.select(every(blocks).alias("key"), dealt("query_id", shares).alias("share"), F.col("query_id").alias("id"), "v", F.lit(True).alias("asks"))
+        all_of = entries.select(dealt("vec_id", blocks).alias("key"), every(shares).alias("share"), F.col("vec_id").alias("id"), "v", F.lit(False).alias("asks"))
+        more = all_of.union(scanned).groupBy("key", "share").applyInArrow(best, "query_id long, ids array<long>, scores array<double>")
+        more = more.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("p")).select("query_id", F.col("p.ids").alias("vec_id"), F.col("p.scores").alias("score"))
+        pairs = pairs.union(more).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

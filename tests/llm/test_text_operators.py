@@ -348,6 +348,32 @@ def test_neighbours(spark):
     assert ann.nearest(few.limit(0), F.col("vec_id") == 0).collect() == []
 
 
+def test_far_vectors_still_have_ten_neighbours(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 16))
+    x[0], x[1] = 1e6, -3e5
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(400)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") < 2).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in (0, 1):
+        best = sorted((float(np.sqrt(((x[i] - x[q]) ** 2).sum())), i) for i in range(400) if i != q)[:10]
+        assert got[q] == [i for _, i in best]
+
+
+def test_the_index_is_coarsened_until_its_visits_reach_the_target(monkeypatch):
+    monkeypatch.setattr(ann, "MOST_VISITS", 16)
+    x = np.random.default_rng(4).standard_normal((600, 24))
+    index = ann.fit(x, 1 << 40)
+    assert index.visits <= 16
+    cells, hits, asked = np.floor(index.positions(x)), 0, range(0, 600, 6)
+    for q in asked:
+        near = np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[1:11]
+        seen = [set(index.keys(index.probes(index.positions(x[q : q + 1])[t, 0]), t).tolist()) for t in range(ann.TABLES)]
+        hits += sum(any(int(index.keys(cells[t][i : i + 1], t)[0]) in seen[t] for t in range(ann.TABLES)) for i in near)
+    assert hits >= 0.96 * 10 * len(asked)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var x="</p><p>no</p>";</script></head><body>
 <header><a href="/">Site</a></header><nav><ul><li>Menu<li>More</ul></nav><div class="cookie-notice">We use cookies</div>
 <div class="layout has-sidebar"><article><h1>Title&nbsp;&amp; more %d</h1><p>First   part<br>goes on <b>bold<p>Second &lt;part&gt; %d
