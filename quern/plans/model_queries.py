@@ -31,7 +31,7 @@ def median_imputer(spark, d):
 
 def fpgrowth_rules(spark, d):
     made = bandit.baskets(inputs.hourly(spark, d))
-    return models.association_rules(made, 0.05, 0.6).select(F.array_join(F.array_sort("antecedent"), ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"), "confidence", "lift", "support")
+    return models.association_rules(made).select(F.array_join(F.array_sort("antecedent"), ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"), "confidence", "lift", "support")
 
 
 def token_l1_path(spark, d):

@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import DATA, needs_data
 from quern import pipelines
 from quern.operators import bandit, cleaning, features, incremental, kv, models
+from quern.plans import catalogue
 from quern.sources import tables
 from quern.verdicts import BANDIT, firewall_fires, verdict
 
@@ -212,6 +214,13 @@ def test_features_on_small_frames(spark):
     assert pipelines.impute_continuous(df.withColumn("x", F.when(F.col("g") == "a", F.col("x"))), "x", ["y"]).count() == 2
 
 
+@needs_data
+def test_registered_rules_go_down_to_the_support_of_an_hour(spark):
+    rules = catalogue.queries()["fpgrowth_rules"](spark, str(DATA)).collect()
+    assert any(r["support"] < 0.05 for r in rules) and any(r["confidence"] < 0.6 for r in rules)
+    assert all(r["support"] >= 0.003 and r["confidence"] >= 0.5 for r in rules)
+
+
 def test_streams(spark, tmp_path):
     from quern.streaming.bars import streaming_bars, streaming_posterior
 
