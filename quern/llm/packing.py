@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import common
+from quern.llm import common, neardup
 
 #: Tokens of a sequence, words unless lengths are given.
 CAPACITY = 1024
@@ -132,6 +132,14 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD
     return dealt.groupBy("shard").applyInArrow(pack, PACKED)
 
 
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def words_hash(words: Column) -> Column:
+    return F.xxhash64(F.lower(F.array_join(words, " ")))
+
+
 def with_lengths(docs: DataFrame, length: Column | None = None, cluster: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Items of whole texts: their lengths, and as cluster, unless one is given, a hash of the text's words.
 
@@ -140,15 +148,34 @@ def with_lengths(docs: DataFrame, length: Column | None = None, cluster: Column
     them twice.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words = words_of(text)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"), *([] if length is None else [length.cast("long").alias("n_tokens")]), F.col(source_col).cast("string").alias("source"), *([] if cluster is None else [cluster.cast("string").alias("cluster")]))
-    same = F.xxhash64(F.lower(F.array_join("words", " "))).cast("string")
+    same = words_hash(F.col("words")).cast("string")
     return read.select(
         "doc_id", F.size("words").cast("long").alias("n_tokens") if length is None else F.col("n_tokens"), "source",
         F.when(F.size("words") > 0, same if cluster is None else F.col("cluster")).alias("cluster"),
     ).checkpoint()
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Every document's pieces with their bins: ``PACKED``."""
-    return best_fit(with_lengths(docs), capacity)
+def near_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, near: the near-duplicate component of each text, keyed by its id or, where that is null, by its words' hash.
+
+    Rows of one id are one document, as in ``neardup``.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), words_hash(words_of(text))).alias("key"), text.alias("text"))
+    return neardup.near_duplicates(keyed, "key").groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").cast("string").alias("near"))
+
+
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, clusters: DataFrame | None = None) -> DataFrame:
+    """Every document's pieces with their bins: ``PACKED``.
+
+    ``clusters`` are rows of (key, near) as ``near_clusters`` makes them; without them only copies conflict.
+    """
+    items = with_lengths(docs)
+    if clusters is not None:
+        # The cluster of copies is their words' hash, so it is also the key of rows without an id.
+        items = items.withColumn("key", F.coalesce("doc_id", F.col("cluster").cast("long"))).join(clusters, "key", "left")
+        near = F.when(F.col("cluster").isNotNull(), F.coalesce("near", "cluster"))
+        items = items.select("doc_id", "n_tokens", "source", near.alias("cluster")).checkpoint()
+    return best_fit(items, capacity)

@@ -32,7 +32,8 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(common.documents(spark, sf_dir))
+    docs = common.documents(spark, sf_dir)
+    return packing.pack_documents(docs, clusters=packing.near_clusters(docs))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

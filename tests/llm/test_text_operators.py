@@ -323,6 +323,20 @@ def test_packing_against_a_plain_search(spark, docs, none):
     assert packing.pack_documents(none).collect() == []
 
 
+def test_near_copies_do_not_share_a_bin(spark, tmp_path):
+    """Near copies of null sources, one of them without an id, and strangers that may lie with them."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(words[:50] + [f"x{k}"] + words[50:]), None) for k in range(6)] + [(None, " ".join(words), None)]
+    rows += [(100 + k, " ".join(f"s{k}v{i}" for i in range(40)), None) for k in range(6)] + [(200, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op5_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    near = [(r["shard"], r["bin"]) for r in got if r["doc_id"] is None or r["doc_id"] < 6]
+    assert len(near) == len(set(near)) == 7
+    assert len({(r["shard"], r["bin"]) for r in got}) == 7
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((1500, 16))
