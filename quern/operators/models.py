@@ -77,7 +77,7 @@ def elastic_net(df: DataFrame, columns: list[str], target: str, fold: str = "fol
     # Every fit reads this frame again.
     made = sized(made.select("features", "label", fold)).persist()
     try:
-        line = LinearRegression(standardization=True, maxIter=50)
+        line = LinearRegression(standardization=True, maxIter=100)
         grid = ParamGridBuilder().addGrid(line.regParam, CONTINUOUS_GRID[0]).addGrid(line.elasticNetParam, CONTINUOUS_GRID[1]).build()
         search = CrossValidator(estimator=line, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="rmse"), numFolds=folds, foldCol=fold, parallelism=parallelism).fit(made)
         best = int(min(range(len(grid)), key=lambda k: search.avgMetrics[k]))
@@ -121,7 +121,7 @@ def multinomial(df: DataFrame, columns: list[str], time: str = "bar_us") -> Data
         base, rows = majority_accuracy(dev, test), []
         for reg in CLASS_GRID[0]:
             for net in CLASS_GRID[1]:
-                fit = LogisticRegression(family="multinomial", regParam=reg, elasticNetParam=net, maxIter=30).fit
+                fit = LogisticRegression(family="multinomial", regParam=reg, elasticNetParam=net, maxIter=50).fit
                 folds = [(made.where(F.col(time) < cut(a)), made.where((F.col(time) >= cut(a)) & (F.col(time) < cut(b)))) for a, b in EXPANDING]
                 folds += [tuple(dev.randomSplit([0.8, 0.2], seed)) for seed in SHUFFLES] + [(dev, test)]
                 with ThreadPool(PARALLEL_FITS) as pool:
@@ -151,7 +151,7 @@ def scaling_search(df: DataFrame, columns: list[str], time: str = "bar_us", reg:
             dev, test = scaler.transform(dev), scaler.transform(test)
         else:
             dev, test = dev.withColumnRenamed("raw", "features"), test.withColumnRenamed("raw", "features")
-        model = LogisticRegression(family="multinomial", regParam=reg, elasticNetParam=net, maxIter=30).fit(dev)
+        model = LogisticRegression(family="multinomial", regParam=reg, elasticNetParam=net, maxIter=50).fit(dev)
         rows.append((name, accuracy(model, test), majority_accuracy(dev, test), len(columns)))
         made.unpersist()
     best = max(r[1] for r in rows)
@@ -170,7 +170,7 @@ def token_path(baskets: DataFrame, target: DataFrame, on: str, tokens: list[str]
     made = assemble(wide, [f"t{k}" for k in range(len(tokens))]).persist()
     rows = []
     for reg in strengths:
-        model = LinearRegression(regParam=reg, elasticNetParam=1.0, standardization=False, maxIter=50).fit(made)
+        model = LinearRegression(regParam=reg, elasticNetParam=1.0, standardization=False, maxIter=100).fit(made)
         rows.append((reg, int(sum(1 for w in model.coefficients if w != 0.0))))
     made.unpersist()
     return baskets.sparkSession.createDataFrame(rows, "reg_param double, kept int")

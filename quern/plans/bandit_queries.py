@@ -120,8 +120,8 @@ QUERIES = {
         f"WITH {FACTS} SELECT wave, count(*) AS n, count(*) FILTER (WHERE wave = 1) AS null_flag_a, count(*) FILTER (WHERE NOT rate > 100000) AS null_flag_b FROM facts GROUP BY 1",
     ),
     "boolean_from_int": (boolean_from_int, f"WITH {FACTS} SELECT CASE WHEN wave > 1 THEN took_up = 1 END AS flag, count(*) AS n FROM facts GROUP BY 1"),
-    "thompson_replay": (lambda spark, d: bandit.replays(rewarded(spark, d), SYMBOLS, replicates=20), None),
-    "thompson_replay_summary": (lambda spark, d: bandit.replay_summary(bandit.replays(rewarded(spark, d), SYMBOLS, replicates=20)), None),
-    "thompson_policy": (lambda spark, d: spark.createDataFrame(bandit.evaluate(every(spark, d), GRID, draws=20_000, replicates=200)[0]), None),
-    "bootstrap_ci": (lambda spark, d: spark.createDataFrame(bandit.evaluate(every(spark, d), GRID, draws=20_000, replicates=200)[1]), None),
+    "thompson_replay": (lambda spark, d: bandit.replays(rewarded(spark, d), SYMBOLS), None),
+    "thompson_replay_summary": (lambda spark, d: bandit.replay_summary(bandit.replays(rewarded(spark, d), SYMBOLS)), None),
+    "thompson_policy": (lambda spark, d: spark.createDataFrame(bandit.evaluate(every(spark, d), GRID)[0]), None),
+    "bootstrap_ci": (lambda spark, d: spark.createDataFrame(bandit.evaluate(every(spark, d), GRID)[1]), None),
 }

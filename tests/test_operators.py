@@ -221,6 +221,22 @@ def test_registered_rules_go_down_to_the_support_of_an_hour(spark):
     assert all(r["support"] >= 0.003 and r["confidence"] >= 0.5 for r in rules)
 
 
+@needs_data
+def test_registered_replays_and_draws_are_the_whole_number(spark, monkeypatch):
+    made = catalogue.queries()["thompson_replay"](spark, str(DATA))
+    assert made.select("replicate").distinct().count() == 200
+    seen, evaluate = [], bandit.evaluate
+
+    def noted(*args, **more):
+        seen.append(more)
+        return evaluate(*args, **more)
+
+    monkeypatch.setattr(bandit, "evaluate", noted)
+    for name in ("thompson_policy", "bootstrap_ci"):
+        assert catalogue.queries()[name](spark, str(DATA)).count() > 0
+    assert seen == [{}, {}]
+
+
 def test_streams(spark, tmp_path):
     from quern.streaming.bars import streaming_bars, streaming_posterior
 
