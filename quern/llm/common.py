@@ -1,8 +1,8 @@
 """What the corpus operators share: worker set-up, checkpoints, splits and vectorised word hashing.
 
 Texts are handled as whole UTF-8 byte runs in numpy.  A run holds as many neighbouring rows of an
-Arrow batch as fit in ``RUN_BYTES`` (a longer text stands alone), so memory is bounded by the longest
-single text, not by the batch.
+Arrow batch as fit in ``RUN_BYTES`` (a longer text stands alone).  Words of a long text are hashed piece by
+piece, so beyond the text itself memory holds eight bytes a word of it.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ RUN_BYTES = 1 << 20
 
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
-_BASE = 0x100000001B3
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 #: ``[^\x20\x09-\x0D]+`` over UTF-8 bytes: these six bytes never occur inside a longer sequence.
 WORD_BYTE = np.ones(256, dtype=bool)
@@ -88,23 +86,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+#: Positions of a word whose letter values are looked up; later ones are computed.
+_NEAR = 64
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least ``n`` + 1 of each."""
-    global _powers
-    if _powers is None or len(_powers[0]) <= n:
-        size = max(n + 1, RUN_BYTES + 1)
-        made = []
-        for base in (_BASE, _BASE_INV):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        if size > 16 * RUN_BYTES:
-            return made[0], made[1]
-        _powers = (made[0], made[1])
-    return _powers
+def _letter_values(position: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """A pseudo-random number for each letter at each position of a word."""
+    return mix(((position.astype(np.uint64) << _U(8)) | letter) * _MULT + _U(0x2545F4914F6CDD1D))
+
+
+_VALUES = _letter_values(np.repeat(np.arange(_NEAR), 256), np.tile(np.arange(256, dtype=np.uint64), _NEAR))
 
 
 @dataclass
@@ -173,12 +164,62 @@ def words_of(run: Run) -> Words:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, equal for equal bytes wherever they stand."""
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + _U(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _MULT)
+    """A 64-bit hash of each span, equal for equal bytes wherever they stand; spans rise and do not overlap.
+
+    Each byte at each position has a random number of its own, and a span's hash is the sum of its bytes'
+    numbers: no algebra between positions that a repetitive text could meet, as a polynomial has.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    lengths = ends - starts
+    bounds = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(lengths, out=bounds[1:])
+    shift = np.repeat(bounds[:-1], lengths)
+    position = np.arange(bounds[-1])
+    position -= shift
+    letter = data[position + np.repeat(starts, lengths)]
+    values = _VALUES[(np.minimum(position, _NEAR - 1) << 8) | letter]
+    far = np.flatnonzero(position >= _NEAR)
+    if len(far):
+        values[far] = _letter_values(position[far], letter[far].astype(np.uint64))
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values, out=sums[1:])
+    return mix(sums[bounds[1:]] - sums[bounds[:-1]] + lengths.astype(np.uint64) * _MULT)
+
+
+def pieces(run: Run, limit: int | None = None) -> Iterator[Run]:
+    """A run in pieces of some ``limit`` bytes (``RUN_BYTES``), each ending before a space where there is one.
+
+    Only a run of one long text comes in several; its words are those of the pieces in turn (a longer word stands whole),
+    so what is computed byte by byte needs memory for a piece, not for the text.
+    """
+    limit = limit or RUN_BYTES
+    if len(run.data) <= 2 * limit or run.rows > 1:
+        yield run
+        return
+    first, n = 0, len(run.data)
+    while first < n:
+        last = min(first + limit, n)
+        while last < n:
+            spaces = np.flatnonzero(~WORD_BYTE[run.data[last : last + 4096]])
+            if len(spaces):
+                last += int(spaces[0])
+                break
+            last = min(last + 4096, n)
+        yield Run(run.first, run.data[first:last], np.array([0, last - first], dtype=np.int64))
+        first = last
+
+
+def word_hashes(run: Run) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of a run, and the rows' bounds in them."""
+    made = []
+    for piece in pieces(run):
+        words = words_of(piece)
+        made.append((hash_spans(LOWER_BYTE[piece.data], words.starts, words.ends), words.bounds))
+    if len(made) == 1:
+        return made[0]
+    h = np.concatenate([h for h, _ in made])
+    return h, np.array([0, len(h)], dtype=np.int64)
 
 
 def chain(hashes: np.ndarray, width: int) -> np.ndarray:

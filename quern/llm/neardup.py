@@ -48,9 +48,7 @@ _SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long
 
 def shingle_hashes(run: common.Run) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of a run's rows (repeats included) and the rows' bounds in them."""
-    data = common.LOWER_BYTE[run.data]
-    words = common.words_of(run)
-    return shingles_of_words(common.hash_spans(data, words.starts, words.ends), words.bounds)
+    return shingles_of_words(*common.word_hashes(run))
 
 
 def shingles_of_words(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
