@@ -1,16 +1,23 @@
 """Document scores by masked pseudo-likelihood under a bidirectional window network.
 
-Words are lower-cased and hashed to ``BUCKETS`` places, a range for each class of word endings.  Bucket
-counts are taken over the whole corpus.  The ``SINGLES`` most frequent buckets are classes of their own;
-the others fall in the class of their range.  The network reads the ``SIDE`` words on each side of a
-masked word (embeddings, one hidden layer) and predicts its class; the word's share of its class comes
-from the corpus counts.  A document's log-likelihood is the sum over its words of
+A lower-cased word is a path of three choices: its class (one of the ``SINGLES`` most frequent words, or one
+of ``RANGES`` classes of word endings) and, below a class of endings, two digits of its hash.  The network
+reads the ``SIDE`` words on each side of the masked word (embeddings, one hidden layer) and predicts each
+choice given those before it: a softmax over classes, one over the first digit given the class, one over the
+second given both.  Each softmax starts from the corpus shares of its choices, so the network learns how
+the words around move them.  What is left, the word's share among those of equal digits, comes from the corpus
+counts (``BUCKETS`` hashed places).  A document's log-likelihood is the sum over its words of
 
-    log P(class | both sides) + log P(bucket | class).
+    log P(class | both sides) + log P(digit 1 | class, both sides) + log P(digit 2 | digit 1, class, both sides) + log share
 
-Training runs in numpy on every document: every partition runs stochastic steps over its share from the
-same start, and the partitions' parameters are averaged by their numbers of words, in a tree of sums.  Nothing that grows with the
-corpus comes to the driver: it holds the counts (of fixed size) and one set of parameters.
+and the probabilities of all words sum to 1 in every context.
+
+Training runs in numpy on every document, once.  Documents are dealt by a hash of id and text to ``ROUNDS``
+rounds and in each to shards of some ``SHARD_ROWS``; a shard's documents are read in the order of their
+hashes.  Every shard runs stochastic steps from the round's start, and the shards' parameters are averaged by
+their numbers of words, in a tree of sums over shard numbers.  So the model depends on the documents, not on
+how their table is partitioned.  Nothing that grows with the corpus comes to the driver: it holds the counts
+(of fixed size) and one set of parameters.
 
 Defined cases: null or wordless text has 0 tokens, log-likelihood 0 and no mean.  Texts are read whole;
 windows end at a document's ends.  Repeated rows score alike; extra columns are ignored; an empty table
@@ -29,13 +36,14 @@ from pyspark.sql import functions as F
 
 from quern.llm import common
 
-#: Ranges of word endings, buckets in all, classes of single buckets.
-RANGES, BUCKETS, SINGLES = 32, 1 << 20, 64
-CLASSES = SINGLES + RANGES
+#: Classes of word endings, classes of single words, values of a digit, places that share both digits.
+RANGES, SINGLES, DIGIT, TAILS = 32, 64, 64, 8
+CLASSES, NODES, LEAVES = SINGLES + RANGES, RANGES * DIGIT, RANGES * DIGIT * DIGIT
+BUCKETS = LEAVES * TAILS
 SIDE, VOCABULARY, WIDTH, HIDDEN = 2, 8192, 12, 24
-ROUNDS, BATCH, RATE = 2, 2048, 0.1
+ROUNDS, SHARD_ROWS, BATCH, CHUNK, RATE = 2, 4096, 4096, 1 << 16, 0.1
 SEED = 7
-#: Parameters travel in pieces of this many numbers; sums join this many partitions at a time.
+#: Parameters travel in pieces of this many numbers; sums join this many shards at a time.
 PIECE, FAN_IN = 1 << 14, 16
 #: Words scored by one matrix product.
 BLOCK = 8192
@@ -45,54 +53,76 @@ _U = np.uint64
 
 def buckets_of(run: common.Run) -> tuple[np.ndarray, np.ndarray]:
     """Each word's bucket, and the rows' bounds."""
-    data = common.LOWER_BYTE[run.data]
-    words = common.words_of(run)
-    h = common.hash_spans(data, words.starts, words.ends)
-    if not len(h):
-        return np.zeros(0, np.int64), words.bounds
-    last = data[words.ends - 1].astype(np.uint64)
-    before = np.where(words.ends - words.starts > 1, data[np.maximum(words.ends - 2, 0)], 0).astype(np.uint64)
-    ending = common.mix(last * _U(256) + before) % _U(RANGES)
-    per = BUCKETS // RANGES
-    return (ending * _U(per) + h % _U(per)).astype(np.int64), words.bounds
+    made = []
+    for piece in common.pieces(run):
+        data = common.LOWER_BYTE[piece.data]
+        words = common.words_of(piece)
+        h = common.hash_spans(data, words.starts, words.ends)
+        if len(h):
+            last = data[words.ends - 1].astype(np.uint64)
+            before = np.where(words.ends - words.starts > 1, data[np.maximum(words.ends - 2, 0)], 0).astype(np.uint64)
+            ending = common.mix(last * _U(256) + before) % _U(RANGES)
+            per = BUCKETS // RANGES
+            h = ending * _U(per) + h % _U(per)
+        made.append((h.astype(np.int32), words.bounds))
+    if len(made) == 1:
+        return made[0]
+    buckets = np.concatenate([b for b, _ in made])
+    return buckets, np.array([0, len(buckets)], dtype=np.int64)
 
 
 def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BUCKETS, dtype=np.int64)
+    """Counts of the buckets, and as bucket -1 that of the texts with a word."""
+    counts, rows = np.zeros(BUCKETS, dtype=np.int64), 0
     for batch in batches:
         for run in common.runs(batch.column(0)):
-            counts += np.bincount(buckets_of(run)[0], minlength=BUCKETS)
-    some = np.flatnonzero(counts)
-    for lo in range(0, len(some), 100_000):
-        part = some[lo : lo + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], schema=pa.schema([("bucket", pa.int32()), ("n", pa.int64())]))
+            buckets, bounds = buckets_of(run)
+            rows += int(np.count_nonzero(np.diff(bounds)))
+            counts += np.bincount(buckets, minlength=BUCKETS)
+    some = np.concatenate([[-1], np.flatnonzero(counts)])
+    values = np.concatenate([[rows], counts[some[1:]]])
+    for lo in range(0, len(some) if rows else 0, 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(some[lo : lo + 100_000].astype(np.int32)), pa.array(values[lo : lo + 100_000])], schema=pa.schema([("bucket", pa.int32()), ("n", pa.int64())]))
 
 
 @dataclass
 class Vocabulary:
-    """By bucket: its class, and its log share of the class."""
+    """The corpus' log shares: of the classes, of digit 1 in its class, of digit 2 in its node, of a bucket in its leaf."""
 
     classes: np.ndarray
-    shares: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    tails: np.ndarray
+    #: The single class of a bucket, or -1.
+    single: np.ndarray
 
     @staticmethod
     def of(buckets: np.ndarray, n: np.ndarray) -> Vocabulary:
-        counts = np.zeros(BUCKETS)
+        # A bucket never counted (in another corpus) counts as half a word.
+        counts = np.full(BUCKETS, 0.5)
         counts[buckets] = n
-        classes = (SINGLES + np.arange(BUCKETS) // (BUCKETS // RANGES)).astype(np.uint8)
+        single = np.full(BUCKETS, -1, dtype=np.int8)
         top = buckets[np.lexsort((buckets, -n))][:SINGLES]
-        classes[top] = np.arange(len(top), dtype=np.uint8)
-        # A bucket never counted (in another corpus) counts as half a word.
-        smoothed = np.maximum(counts, 0.5)
-        totals = np.bincount(classes, weights=smoothed, minlength=CLASSES)
-        return Vocabulary(classes, np.log(smoothed / totals[classes]).astype(np.float32))
+        single[top] = np.arange(len(top))
+        alone = np.zeros(SINGLES)
+        alone[: len(top)] = counts[top]
+        counts[top] = 0.0
+        leaves = np.maximum(counts.reshape(LEAVES, TAILS).sum(1), 1e-9)
+        nodes = leaves.reshape(NODES, DIGIT).sum(1)
+        ranges = nodes.reshape(RANGES, DIGIT).sum(1)
+        both = np.maximum(np.concatenate([alone, ranges]), 1e-9)
+        log = lambda part, whole: np.log(part / whole).astype(np.float32)
+        tails = np.log(np.maximum(counts, 1e-300) / np.repeat(leaves, TAILS))
+        tails[top] = 0.0
+        return Vocabulary(log(both, both.sum()), log(nodes.reshape(RANGES, DIGIT), ranges[:, None]), log(leaves.reshape(NODES, DIGIT), nodes[:, None]), tails.astype(np.float32), single)
 
 
 class Network:
-    """embed (VOCABULARY + 1, WIDTH; the last for beyond the ends), w1, b1, w2, b2, as one flat array of numbers."""
+    """Embeddings (the last one for beyond the ends), hidden layer, and for each choice its output, as one flat array."""
 
-    SHAPES = ((VOCABULARY + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
-    SIZE = sum(int(np.prod(s)) for s in SHAPES)
+    SHAPES = ((VOCABULARY + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (RANGES, HIDDEN), (HIDDEN, DIGIT), (NODES, HIDDEN), (HIDDEN, DIGIT))
+    #: Places in SHAPES that are read by row: only the rows met are moved.
+    SPARSE = (0, 5, 7)
 
     def __init__(self, flat: np.ndarray) -> None:
         self.flat = np.array(flat, dtype=np.float32)
@@ -107,54 +137,147 @@ class Network:
         rng = np.random.default_rng(SEED)
         return Network(np.concatenate([(rng.standard_normal(int(np.prod(s))) * (0.1 if len(s) == 2 else 0.0)) for s in Network.SHAPES]))
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        embed, w1, b1, w2, b2 = self.parts
-        x = embed[context].reshape(len(context), -1)
-        hidden = np.tanh(x @ w1 + b1)
-        scores = hidden @ w2 + b2
-        scores -= scores.max(axis=1, keepdims=True)
-        return x, hidden, scores
-
-    def log_likelihood(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, _, scores = self.forward(context)
-        found = scores[np.arange(len(target)), target]
-        return found - np.log(np.exp(scores, out=scores).sum(axis=1))
-
-    def step(self, context: np.ndarray, target: np.ndarray, squares: list[np.ndarray]) -> None:
-        """One Adagrad step on the mean loss of a batch."""
-        embed, w1, b1, w2, b2 = self.parts
-        x, hidden, slope = self.forward(context)
-        np.exp(slope, out=slope)
-        slope /= slope.sum(axis=1, keepdims=True)
-        slope[np.arange(len(target)), target] -= 1.0
-        slope /= len(target)
-        back = (slope @ w2.T) * (1.0 - hidden**2)
-        into = (back @ w1.T).reshape(-1, WIDTH)
-        for part, square, grad in ((w1, squares[1], x.T @ back), (b1, squares[2], back.sum(0)), (w2, squares[3], hidden.T @ slope), (b2, squares[4], slope.sum(0))):
-            square += grad**2
-            part -= RATE * grad / (np.sqrt(square) + 1e-6)
-        ids = context.reshape(-1)
-        rows = np.flatnonzero(np.bincount(ids, minlength=VOCABULARY + 1))
-        # A count a column: many times faster than adding row by row.
-        grad = np.stack([np.bincount(ids, weights=column, minlength=VOCABULARY + 1)[rows] for column in into.T], axis=1).astype(np.float32)
-        squares[0][rows] += grad**2
-        embed[rows] -= RATE * grad / (np.sqrt(squares[0][rows]) + 1e-6)
-
-
-def windows(buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The ids of the words around each word, VOCABULARY beyond its row's ends."""
-    ids = (common.mix(buckets.astype(np.uint64)) % _U(VOCABULARY)).astype(np.int64)
-    counts = np.diff(bounds)
-    first, last = np.repeat(bounds[:-1], counts), np.repeat(bounds[1:], counts)
-    at = np.arange(len(ids))
-    out = np.full((len(ids), 2 * SIDE), VOCABULARY, dtype=np.int64)
-    for k, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        near = at + shift
-        inside = (near >= first) & (near < last)
-        out[inside, k] = ids[near[inside]]
+
+@dataclass
+class Forward:
+    """A batch's activations: its rows below a class of endings, and each choice's hidden values and shifted scores."""
+
+    below: np.ndarray
+    inputs: np.ndarray
+    hidden: list[np.ndarray]
+    scores: list[np.ndarray]
+
+
+@dataclass
+class Choices:
+    """The three choices of words: class, digit 1, digit 2 (the digits only where the class is one of endings)."""
+
+    classes: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+
+    @staticmethod
+    def of(buckets: np.ndarray, vocabulary: Vocabulary) -> Choices:
+        single = vocabulary.single[buckets]
+        return Choices(np.where(single >= 0, single, SINGLES + buckets // (BUCKETS // RANGES)), buckets // (DIGIT * TAILS) % DIGIT, buckets // TAILS % DIGIT)
+
+    def take(self, at) -> Choices:
+        return Choices(self.classes[at], self.first[at], self.second[at])
+
+
+def forward(network: Network, vocabulary: Vocabulary, context: np.ndarray, chosen: Choices) -> Forward:
+    embed, w1, b1, w2, b2, e2, u2, e3, u3 = network.parts
+    x = embed[context].reshape(len(context), -1)
+    pre = x @ w1 + b1
+    below = np.flatnonzero(chosen.classes >= SINGLES)
+    ranges = chosen.classes[below] - SINGLES
+    nodes = ranges * DIGIT + chosen.first[below]
+    part = pre[below]
+    hidden = [np.tanh(pre), np.tanh(part + e2[ranges]), np.tanh(part + e3[nodes])]
+    scores = [hidden[0] @ w2, hidden[1] @ u2, hidden[2] @ u3]
+    scores[0] += b2 + vocabulary.classes
+    scores[1] += vocabulary.first[ranges]
+    scores[2] += vocabulary.second[nodes]
+    for s in scores:
+        s -= s.max(axis=1, keepdims=True)
+    return Forward(below, x, hidden, scores)
+
+
+def log_likelihood(network: Network, vocabulary: Vocabulary, context: np.ndarray, chosen: Choices) -> np.ndarray:
+    """The log-probability of each word's three choices."""
+    made = forward(network, vocabulary, context, chosen)
+    out = np.zeros(len(context))
+    for k, (at, want) in enumerate(((slice(None), chosen.classes), (made.below, chosen.first[made.below]), (made.below, chosen.second[made.below]))):
+        scores = made.scores[k]
+        found = scores[np.arange(len(want)), want]
+        out[at] += found - np.log(np.exp(scores, out=scores).sum(axis=1))
     return out
 
 
+def _by_row(ids: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows met, and the sums of ``values`` by row; a count a column is many times faster than adding row by row."""
+    rows = np.flatnonzero(np.bincount(ids, minlength=size))
+    return rows, np.stack([np.bincount(ids, weights=column, minlength=size)[rows] for column in values.T], axis=1).astype(np.float32)
+
+
+def step(network: Network, vocabulary: Vocabulary, context: np.ndarray, chosen: Choices, squares: list[np.ndarray]) -> None:
+    """One Adagrad step on the mean loss of a batch."""
+    embed, w1, b1, w2, b2, e2, u2, e3, u3 = network.parts
+    made = forward(network, vocabulary, context, chosen)
+    below, n = made.below, np.float32(len(context))
+    slopes = []
+    for scores, want in zip(made.scores, (chosen.classes, chosen.first[below], chosen.second[below]), strict=True):
+        np.exp(scores, out=scores)
+        scores /= scores.sum(axis=1, keepdims=True)
+        scores[np.arange(len(want)), want] -= 1.0
+        scores /= n
+        slopes.append(scores)
+    back = [(slope @ out.T) * (1.0 - h * h) for slope, out, h in zip(slopes, (w2, u2, u3), made.hidden, strict=True)]
+    whole = back[0]
+    whole[below] += back[1] + back[2]
+    into = (whole @ w1.T).reshape(-1, WIDTH)
+    ranges = chosen.classes[below] - SINGLES
+    grads = {1: made.inputs.T @ whole, 2: whole.sum(0), 3: made.hidden[0].T @ slopes[0], 4: slopes[0].sum(0), 6: made.hidden[1].T @ slopes[1], 8: made.hidden[2].T @ slopes[2]}
+    for k, grad in grads.items():
+        squares[k] += grad**2
+        network.parts[k] -= RATE * grad / (np.sqrt(squares[k]) + 1e-6)
+    met = ((0, context.reshape(-1), into), (5, ranges, back[1]), (7, ranges * DIGIT + chosen.first[below], back[2]))
+    for k, ids, values in met:
+        rows, grad = _by_row(ids, values, len(network.parts[k]))
+        square = squares[k][rows] + grad**2
+        squares[k][rows] = square
+        network.parts[k][rows] -= RATE * grad / (np.sqrt(square) + 1e-6)
+
+
+def padded(buckets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words with ``SIDE`` ends before, between and after the rows, and each word's place in them."""
+    at = np.arange(len(buckets)) + SIDE * np.repeat(np.arange(1, len(bounds)), np.diff(bounds))
+    out = np.full(len(buckets) + SIDE * len(bounds), VOCABULARY, dtype=np.int32)
+    out[at] = (common.mix(buckets.astype(np.uint64)) % _U(VOCABULARY)).astype(np.int32)
+    return out, at
+
+
+def around(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ids of the words around those at some places."""
+    return ids[at[:, None] + np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])]
+
+
+class Learner:
+    """One shard's network, trained on its documents as they come, in chunks of some ``CHUNK`` words."""
+
+    def __init__(self, shard: int, start: np.ndarray, vocabulary: Vocabulary) -> None:
+        self.shard, self.vocabulary, self.network = shard, vocabulary, Network(start)
+        self.squares = [np.full(s, 1e-4, dtype=np.float32) for s in Network.SHAPES]
+        self.rng = np.random.default_rng([SEED, shard])
+        self.held: list[np.ndarray] = []
+        self.words = self.waiting = 0
+
+    def add(self, buckets: np.ndarray) -> None:
+        if len(buckets):
+            self.held.append(buckets)
+            self.waiting += len(buckets)
+        if self.waiting >= CHUNK:
+            self.learn()
+
+    def learn(self) -> None:
+        if not self.held:
+            return
+        buckets = np.concatenate(self.held)
+        ids, at = padded(buckets, np.concatenate([[0], np.cumsum([len(x) for x in self.held])]))
+        self.words, self.waiting, self.held = self.words + len(buckets), 0, []
+        # A long document's words come in several parts, each mixed within itself.
+        for lo in range(0, len(buckets), 2 * CHUNK):
+            order = lo + self.rng.permutation(min(2 * CHUNK, len(buckets) - lo))
+            for cut in range(0, len(order), BATCH):
+                some = order[cut : cut + BATCH]
+                step(self.network, self.vocabulary, around(ids, at[some]), Choices.of(buckets[some], self.vocabulary), self.squares)
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        self.learn()
+        if self.words:
+            yield _pieces(self.network.flat, self.shard, float(self.words))
+
+
 _PIECES = "part long, piece int, weight double, numbers binary"
 
 
@@ -165,11 +288,11 @@ def _pieces(network: np.ndarray, part: int, weight: float) -> pa.RecordBatch:
 
 
 def average(table: pa.Table) -> pa.Table:
-    """The weighted mean of one piece over at most FAN_IN partial means."""
-    weights = table.column("weight").to_numpy()
-    numbers = np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in table.column("numbers")])
+    """The weighted mean of one piece over at most FAN_IN partial means, in the order of their parts."""
     order = np.argsort(table.column("part").to_numpy(), kind="stable")
-    mean = (numbers[order] * weights[order, None]).sum(0) / max(weights.sum(), 1e-12)
+    weights = table.column("weight").to_numpy()[order]
+    numbers = np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in table.column("numbers")])[order]
+    mean = (numbers * weights[:, None]).sum(0) / max(weights.sum(), 1e-12)
     return pa.table({"part": pa.array([table.column("part")[0].as_py() // FAN_IN]), "piece": table.column("piece")[:1], "weight": pa.array([float(weights.sum())]), "numbers": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
 
@@ -181,10 +304,12 @@ class Model:
     def score(self, run: common.Run) -> tuple[np.ndarray, np.ndarray]:
         """Words and log-likelihood of each row."""
         buckets, bounds = buckets_of(run)
-        values = self.vocabulary.shares[buckets].astype(np.float64)
-        context, target = windows(buckets, bounds), self.vocabulary.classes[buckets].astype(np.int64)
+        single = self.vocabulary.single[buckets] >= 0
+        values = np.where(single, 0.0, self.vocabulary.tails[buckets].astype(np.float64))
+        ids, at = padded(buckets, bounds)
         for lo in range(0, len(buckets), BLOCK):
-            values[lo : lo + BLOCK] += self.network.log_likelihood(context[lo : lo + BLOCK], target[lo : lo + BLOCK])
+            some = slice(lo, lo + BLOCK)
+            values[some] += log_likelihood(self.network, self.vocabulary, around(ids, at[some]), Choices.of(buckets[some], self.vocabulary))
         sums = np.concatenate([[0.0], np.cumsum(values)])
         return np.diff(bounds), sums[bounds[1:]] - sums[bounds[:-1]]
 
@@ -195,43 +320,47 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     common.prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = texts.select("text").mapInArrow(count_buckets, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    # At most BUCKETS rows.
+    # At most BUCKETS + 1 rows.
     got = counts.toArrow()
-    vocabulary = Vocabulary.of(got.column("bucket").to_numpy().astype(np.int64), got.column("n").to_numpy())
-    read = texts.select("text").withColumn("part", F.spark_partition_id())
+    buckets, n = got.column("bucket").to_numpy().astype(np.int64), got.column("n").to_numpy()
+    vocabulary = Vocabulary.of(buckets[buckets >= 0], n[buckets >= 0])
     network = Network.start()
-    for _ in range(ROUNDS):
-        shipped = spark.sparkContext.broadcast((vocabulary.classes, network.flat))
+    rows = int(n[buckets < 0].sum())
+    shards = max(1, -(-rows // (ROUNDS * SHARD_ROWS)))
+    place = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    dealt = texts.where(F.length("text") > 0).withColumn("place", place)
+    for turn in range(ROUNDS if rows else 0):
+        shipped = spark.sparkContext.broadcast((vocabulary, network.flat))
 
         def learn(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            classes, flat = shipped.value
-            local = Network(flat)
-            squares = [np.full(s, 1e-4, dtype=np.float32) for s in Network.SHAPES]
-            seen, part = 0, -1
+            known, start = shipped.value
+            learner = None
             for batch in batches:
-                if batch.num_rows:
-                    part = batch.column(1)[0].as_py()
-                for run in common.runs(batch.column(0)):
-                    buckets, bounds = buckets_of(run)
-                    context, target = windows(buckets, bounds), classes[buckets].astype(np.int64)
-                    order = np.random.default_rng(SEED + seen).permutation(len(buckets))
-                    for lo in range(0, len(order), BATCH):
-                        local.step(context[order[lo : lo + BATCH]], target[order[lo : lo + BATCH]], squares)
-                    seen += len(order)
-            if seen:
-                yield _pieces(local.flat, part, float(seen))
-
-        sums = read.mapInArrow(learn, _PIECES).checkpoint()
-        parts = (sums.agg(F.max("part")).first()[0] or 0) + 1
+                shard = batch.column(0).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    if hi > lo and (learner is None or learner.shard != shard[lo]):
+                        if learner is not None:
+                            yield from learner.finish()
+                        learner = Learner(int(shard[lo]), start, known)
+                    for run in common.runs(batch.column(1).slice(lo, hi - lo)):
+                        found, bounds = buckets_of(run)
+                        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                            learner.add(found[a:b])
+            if learner is not None:
+                yield from learner.finish()
+
+        mine = dealt.where(F.pmod("place", F.lit(ROUNDS)) == turn).withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int"))
+        mine = mine.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place", "doc_id", "text")
+        sums = mine.select("shard", "text").mapInArrow(learn, _PIECES).checkpoint()
+        parts = shards
         while parts > 1:
             group = F.floor(F.col("part") / F.lit(FAN_IN))
             sums = sums.groupBy("piece", group.alias("group")).applyInArrow(average, _PIECES)
             parts = -(-parts // FAN_IN)
-        rows = sorted(sums.collect(), key=lambda r: r["piece"])
-        if not rows:
-            # No document has a word, so none is scored by the network.
-            break
-        network = Network(np.concatenate([np.frombuffer(r["numbers"], np.float32) for r in rows]))
+        found = sorted(sums.collect(), key=lambda r: r["piece"])
+        if found:
+            network = Network(np.concatenate([np.frombuffer(r["numbers"], np.float32) for r in found]))
     return Model(vocabulary, network)
 
 
