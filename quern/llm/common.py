@@ -58,6 +58,15 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or it with a number, such that no column of ``df`` has it (in any case of letters)."""
+    taken, k, made = {c.lower() for c in df.columns}, 0, name
+    while made.lower() in taken:
+        k += 1
+        made = f"{name}_{k}"
+    return made
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

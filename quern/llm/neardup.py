@@ -11,15 +11,18 @@ similarity is at least 0.75; groups are the connected components of the links.
 2. Representatives that share a band key form a bucket.  Each member is paired with the bucket's hub,
    the member that shares most buckets with others, so pairs grow linearly with a bucket's size.
    Candidate pairs are verified on full sets; union-find on the verified links gives components.
-3. Buckets whose members still lie in more than one component are compared completely, block against
-   block (``BLOCK`` members each, an even share), within tasks; only verified links leave them.  The
-   members of a bucket's largest component meet the others only, not one another, so a large group with
-   a few strangers stays linear.  No pair of a bucket stays untested unless its two ends are already
-   connected.
+3. Buckets whose members still lie in more than one component are joined completely, block against
+   block (``BLOCK`` members each, an even share), within tasks, by prefixes of the rarest shingles; only verified links
+   leave them.  Blocks of sizes too far apart do not meet.  The members of a bucket's largest component meet the
+   others only, not one another, so a large group with a few strangers stays linear.  No pair of a bucket
+   stays untested unless its two ends are already connected or cannot be alike.
+
+Two sets of similarity 0.75 share no band with probability (1 - 0.75 ** 3) ** 32 = 2.4e-8 (at 0.8 with 1.6e-10).
 
 Defined cases: null or wordless text has the empty set, is linked with nothing and is kept.  Rows with
-equal ids and texts are one document: each row is returned, with the same component.  A null id links
-with nothing (its component is null) and is kept.  An empty table gives an empty result.  Extra columns
+equal ids and texts are one document: each row is returned, with the same component.  Rows of one id with different texts
+are one document too, linked with whatever one of its texts is linked with.  A null id links with nothing (its component
+is null) and is kept.  Very long texts are read whole, in pieces.  An empty table gives an empty result.  Extra columns
 are ignored.
 """
 
@@ -36,11 +39,12 @@ from quern.llm import common
 from quern.llm.components import connected_components
 
 WIDTH = 5
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 32, 3
 POSITIONS = BANDS * ROWS
 #: Linked if SIM_NUM * union <= SIM_DEN * intersection.
 SIM_NUM, SIM_DEN = 75, 100
-BLOCK = 256
+#: Members of a bucket's block.
+BLOCK = 1024
 
 _U = np.uint64
 _SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
@@ -176,16 +180,37 @@ def verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=schema)
 
 
+def prefix_length(n: int) -> int:
+    """How many of a set's elements, rarest first, hold one of every set it is linked with: these share at least 0.75 of it."""
+    return n - -(-SIM_NUM * n // SIM_DEN) + 1
+
+
 def link_block(table: pa.Table) -> pa.Table:
     """Verified links between different components among the members of two blocks of a bucket.
 
+    A similarity join by prefixes: elements are ordered by how few of the members hold them, and only members
+    that share one of their first elements are compared, on full sets.  No pair that is alike is missed.
     Members that a link has joined are not compared any more, so a group gives a spanning tree.
     """
     ids = table.column("rep").to_numpy()
     labels = table.column("label").to_numpy()
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
-    blocks = table.column("block").to_numpy()
-    one_block = len(np.unique(blocks)) == 1
+    tags = table.column("block").to_numpy()
+    one_block = len(np.unique(tags)) == 1
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rarity = np.empty(len(counts), dtype=np.int64)
+    rarity[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    order = np.lexsort((rarity[place], owner))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    nth = np.arange(len(owner)) - starts[owner]
+    first = np.array([prefix_length(int(n)) for n in sizes], dtype=np.int64)
+    held = nth < first[owner]
+    posted, element = owner[held], rarity[place][order][held]
+    turn = np.argsort(element, kind="stable")
+    posted, element = posted[turn], element[turn]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(element)) + 1, [len(element)]])
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -194,42 +219,62 @@ def link_block(table: pa.Table) -> pa.Table:
             x = up
         return x
 
-    sizes = np.array([len(s) for s in sets])
-    order = np.argsort(sizes, kind="stable")
+    tried: set[tuple[int, int]] = set()
     found: tuple[list[int], list[int]] = ([], [])
-    for n, i in enumerate(order):
-        for k in order[n + 1 :]:
-            if SIM_DEN * sizes[i] < SIM_NUM * sizes[k]:
-                break
-            if not one_block and blocks[i] == blocks[k]:
-                continue
-            p, q = find(int(labels[i])), find(int(labels[k]))
-            if p != q and alike(sets[i], sets[k]):
-                root[max(p, q)] = min(p, q)
-                found[0].append(int(ids[i]))
-                found[1].append(int(ids[k]))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        members = posted[lo:hi]
+        # Lists of one component only are most of a large group's: nothing is left to compare in them.
+        if hi - lo < 2 or (labels[members] == labels[members[0]]).all():
+            continue
+        members = members[np.argsort(sizes[members], kind="stable")].tolist()
+        for n, i in enumerate(members):
+            for k in members[n + 1 :]:
+                if SIM_DEN * sizes[i] < SIM_NUM * sizes[k]:
+                    break
+                if not one_block and tags[i] == tags[k]:
+                    continue
+                p, q = find(int(labels[i])), find(int(labels[k]))
+                if p == q or (i, k) in tried:
+                    continue
+                tried.add((i, k))
+                if alike(sets[i], sets[k]):
+                    root[max(p, q)] = min(p, q)
+                    found[0].append(int(ids[i]))
+                    found[1].append(int(ids[k]))
     return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
 
 def deal_blocks(members: DataFrame) -> DataFrame:
-    """Members of open buckets, dealt to the cells (key, kind, lo, hi) in which blocks meet.
+    """Members of open buckets (key, rep, label, n: their set's size), dealt to the cells in which blocks meet.
 
-    Kind 0: a block of the largest component's members (block 0) meets a block of the others (block 1).
-    Kind 1: two blocks of the others meet, or one meets itself.
+    Linked sets differ in size by a third at most, so members are dealt by bands of sizes (powers of 4/3) and blocks meet
+    those of their own and the neighbouring bands only.  Kind 0: a block of the largest component's members meets a
+    block of the others.  Kind 1: two blocks of the others meet, or one meets itself.
     """
-    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIM_DEN / SIM_NUM)) + 1e-9).cast("int")
+    labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top")).select("key", F.col("top.label").alias("major"))
+    at = members.join(labels, "key").select("key", "rep", (F.col("label") == F.col("major")).alias("main"), "label", band.alias("g"))
     parts = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1)).cast("int")
-    sizes = sizes.select("key", F.col("top.label").alias("major"), parts(F.col("top.n")).alias("majors"), parts(F.col("n") - F.col("top.n")).alias("minors"))
-    at = members.select("key", "rep", "label").join(sizes, "key")
-    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    major = at.where("label = major").withColumn("lo", own(F.col("majors"))).withColumn("hi", upto(F.col("minors")))
-    minor = at.where("label <> major").withColumn("mine", own(F.col("minors")))
-    across = minor.withColumn("lo", upto(F.col("majors"))).withColumn("hi", F.col("mine"))
-    among = minor.withColumn("other", upto(F.col("minors"))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
-    cell = lambda df, kind, block: df.select("key", F.lit(kind).alias("kind"), "lo", "hi", block.alias("block"), "rep", "label")
-    return cell(major, 0, F.lit(0)).union(cell(across, 0, F.lit(1))).union(cell(among, 1, F.col("mine")))
+    counts = at.groupBy("key", "g").agg(F.count_if("main").alias("c0"), F.count_if(~F.col("main")).alias("c1"))
+    counts = counts.select("key", F.col("g").alias("h"), "c0", parts(F.col("c0")).alias("n0"), "c1", parts(F.col("c1")).alias("n1"))
+    near = at.select("*", F.explode(F.array(F.col("g") - 1, F.col("g"), F.col("g") + 1)).alias("h"))
+    # The other side's blocks, and the member's own number among its band's.
+    own = counts.select("key", F.col("h").alias("g"), F.when(F.col("c0") > 0, F.col("n0")).alias("own0"), F.when(F.col("c1") > 0, F.col("n1")).alias("own1"))
+    met = near.join(counts, ["key", "h"]).join(own, ["key", "g"])
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("own0")).otherwise(F.col("own1"))).cast("int").alias("mine")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias("other")
+    columns = ["key", "rep", "label", "main", "g", "h"]
+    across = met.where(F.when(F.col("main"), F.col("c1")).otherwise(F.col("c0")) > 0).select(*columns, mine, every(F.when(F.col("main"), F.col("n1")).otherwise(F.col("n0"))))
+    among = met.where((~F.col("main")) & (F.col("c1") > 0)).select(*columns, mine, every(F.col("n1")))
+    cell = lambda df, kind, glo, ghi, lo, hi, block: df.select("key", F.lit(kind).alias("kind"), glo.alias("glo"), ghi.alias("ghi"), lo.alias("lo"), hi.alias("hi"), block.cast("int").alias("block"), "rep", "label")
+    g, h, a, b, main = (F.col(c) for c in ("g", "h", "mine", "other", "main"))
+    pick = lambda test, x, y: F.when(test, x).otherwise(y)
+    first = cell(across, 0, pick(main, g, h), pick(main, h, g), pick(main, a, b), pick(main, b, a), pick(main, F.lit(0), F.lit(1)))
+    level = among.where("g = h")
+    second = cell(level, 1, g, g, F.least(a, b), F.greatest(a, b), a)
+    slant = among.where("g <> h")
+    third = cell(slant, 1, F.least(g, h), F.greatest(g, h), pick(g < h, a, b), pick(g < h, b, a), g)
+    return first.union(second).union(third)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,9 +296,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = hubs.select("key", (-F.col("top.minus")).alias("hub"))
     pairs = members.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct().checkpoint()
 
+    # A row a text: of rows with one id but different texts, every text's set stands for the id.
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = texts.join(needed, "doc_id", "left_semi").mapInArrow(shingle_sets, "doc_id long, shingles binary")
-    sets = sets.groupBy("doc_id").agg(F.any_value("shingles").alias("shingles")).checkpoint()
+    sets = texts.join(needed, "doc_id", "left_semi").mapInArrow(shingle_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id", "shingles"]).checkpoint()
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
@@ -266,8 +311,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     open_members = placed.join(open_keys, "key").checkpoint()
     if not open_members.isEmpty():
-        dealt = deal_blocks(open_members).join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
-        more = dealt.groupBy("key", "kind", "lo", "hi").applyInArrow(link_block, "a long, b long").distinct().checkpoint()
+        sized = sets.select(F.col("doc_id").alias("rep"), (F.octet_length("shingles") / 8).cast("long").alias("n"), "shingles")
+        dealt = deal_blocks(open_members.join(sized.select("rep", "n"), "rep")).distinct().join(sized.select("rep", "shingles"), "rep")
+        more = dealt.groupBy("key", "kind", "glo", "ghi", "lo", "hi").applyInArrow(link_block, "a long, b long").distinct().checkpoint()
         if not more.isEmpty():
             labels = connected_components(links.union(more))
 
@@ -283,10 +329,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, one document of each group; of equal rows one stays."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("twice_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("twice_id").checkpoint()
-    if repeated.isEmpty():
+    # A name that none of the caller's columns has.
+    key = common.free_name(docs, "key")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    same = F.col(id_col) == F.col(key)
+    left = docs.join(gone, same, "left_anti")
+    twice = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(key)).groupBy(key).count().where("count > 1").select(key).checkpoint()
+    if twice.isEmpty():
         return left
-    same = F.col(id_col) == F.col("twice_id")
-    return left.join(repeated, same, "left_anti").union(left.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -114,15 +114,55 @@ def test_near_duplicates_against_brute_force_with_large_groups(spark):
 
 def test_blocks_find_what_hubs_miss(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
-    members = spark.createDataFrame([(1, i, 0 if i < 10 else i) for i in range(17)], "key long, rep long, label long")
-    met = set()
-    cells = {}
-    for r in neardup.deal_blocks(members).collect():
-        cells.setdefault((r["key"], r["kind"], r["lo"], r["hi"]), []).append((r["rep"], r["label"], r["block"]))
-    for (_, _, lo, hi), rows in cells.items():
+    size = lambda i: 40 + 7 * (i % 9)
+    members = spark.createDataFrame([(1, i, 0 if i < 20 else i, size(i)) for i in range(50)], "key long, rep long, label long, n long")
+    met, cells = set(), {}
+    for r in neardup.deal_blocks(members).distinct().collect():
+        cells.setdefault((r["key"], r["kind"], r["glo"], r["ghi"], r["lo"], r["hi"]), []).append((r["rep"], r["label"], r["block"]))
+    for rows in cells.values():
         one = len({b for _, _, b in rows}) == 1
         met |= {frozenset((a[0], b[0])) for a in rows for b in rows if a[0] != b[0] and a[1] != b[1] and (one or a[2] != b[2])}
-    assert met == {frozenset((a, b)) for a in range(17) for b in range(a) if max(a, b) >= 10}
+    alike = {frozenset((a, b)) for a in range(50) for b in range(a) if max(a, b) >= 20 and 4 * min(size(a), size(b)) >= 3 * max(size(a), size(b))}
+    assert alike <= met and len(cells) > 20
+    far = {frozenset((a, b)) for a in range(50) for b in range(a) if 16 * min(size(a), size(b)) < 9 * max(size(a), size(b))}
+    assert far and not far & met
+
+
+def test_a_block_join_finds_every_pair_that_is_alike():
+    rng = np.random.default_rng(12)
+    pool = np.sort(rng.integers(0, 1 << 62, 400).astype(np.uint64))
+    base = pool[:60]
+    sets = [np.sort(np.concatenate([np.delete(base, rng.choice(60, k % 14, replace=False)), rng.choice(pool[60:], k % 11, replace=False)])) for k in range(80)]
+    sets += [np.sort(rng.choice(pool, rng.integers(1, 9), replace=False)) for _ in range(80)]
+    table = pa.table({"rep": list(range(160)), "label": list(range(160)), "shingles": [s.tobytes() for s in sets], "block": [0] * 160})
+    found = neardup.link_block(table)
+    got = components(list(zip(found.column("a").to_pylist(), found.column("b").to_pylist(), strict=True)), range(160))
+    want = components([(a, b) for a in range(160) for b in range(a) if neardup.alike(sets[a], sets[b])], range(160))
+    assert got == want and len(set(want.values())) < 130
+
+
+def test_pairs_at_the_least_similarity_share_a_band():
+    """Pairs of exactly 0.75: 100,000 of them, of which 24 bands of four would lose some ten."""
+    rng = np.random.default_rng(3)
+    lost = 0
+    for _ in range(10):
+        x = common.mix(rng.integers(0, 1 << 62, (10_000, 8)).astype(np.uint64))
+        both = np.concatenate([x[:, :7], x[:, 1:]], axis=1).reshape(-1)
+        keys = neardup.band_keys(neardup.superminhash(both, np.arange(0, len(both) + 1, 7)))
+        lost += int((keys[0::2] != keys[1::2]).all(axis=1).sum())
+    assert lost == 0
+
+
+def test_rows_of_one_id_and_clashing_names(spark):
+    """Every text of a repeated id counts; two one-word texts of 1,024 letters that a polynomial hash takes for one do not link."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    far = "completely other words stand here in this line of text"
+    rows = [(1, EN), (1, far), (2, far), (3, EN + " tonight"), (4, "".join("ab"[b] for b in bits)), (5, "".join("ba"[b] for b in bits))]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k[0]: v for k, v in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    names = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in [(1, EN), (2, EN), (3, far), (3, far)]], "doc_id long, text string, key int, gone_id int, twice_id int")
+    kept = neardup.keep_representatives(names)
+    assert kept.columns == names.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
 def test_superminhash_estimates_jaccard():
@@ -315,16 +355,50 @@ def test_packing_against_a_plain_search(spark, docs, none):
                 end += tokens
             assert end <= cap
     rows = packing.pack_documents(docs).collect()
-    assert {r["doc_id"] for r in rows} == {r[0] for r in ROWS} and sum(r["piece_tokens"] for r in rows) == sum(len(re.findall(WORD, r[1] or "")) for r in ROWS)
+    coder = bpe.Coder(open(bpe.default_vocabulary(), "rb").read())
+    assert {r["doc_id"] for r in rows} == {r[0] for r in ROWS} and sum(r["piece_tokens"] for r in rows) == sum(coder.count(r[1]) for r in ROWS)
     assert sorted(map(tuple, packing.pack_documents(docs.repartition(1)).collect()), key=str) == sorted(map(tuple, rows), key=str)
     assert packing.pack_documents(none).collect() == []
 
 
+def test_rounds_of_packing_keep_every_piece(spark):
+    """Several shards and the second round: whole documents, no bin over its capacity, no source or cluster twice in a bin, repeated ids spread."""
+    rng = random.Random(6)
+    rows = [(i if i % 3 else 7, rng.choice([0, 30, 300, 700, 1024, 2500, rng.randint(1, 1500)]), rng.choice([None, "a", "a", "b", *map(str, range(40))]), rng.choice([None, *map(str, range(300))])) for i in range(3000)]
+    rows += [(None, 5, None, None)] * 500
+    items = spark.createDataFrame(rows, "doc_id long, n_tokens long, source string, cluster string")
+    with_shards = packing.best_fit(items, shard_rows=250).collect()
+    one = packing.best_fit(items, shard_rows=10_000).collect()
+    for found in (with_shards, one):
+        assert sum(r["piece_tokens"] for r in found) == sum(r[1] for r in rows) and len(found) == sum(max(1, -(-r[1] // 1024)) for r in rows)
+        bins = {}
+        for r in found:
+            bins.setdefault((r["shard"], r["bin"]), []).append((r["bin_offset"], r["piece_tokens"]))
+            assert r["piece_start"] == 1024 * r["piece"]
+        for parts in bins.values():
+            end = 0
+            for offset, tokens in sorted(parts):
+                assert offset == end
+                end += tokens
+            assert end <= 1024
+    shards = Counter(r["shard"] for r in with_shards)
+    assert len(shards) > 13 and max(shards.values()) < 600
+    count = lambda found: len({(r["shard"], r["bin"]) for r in found})
+    assert count(one) <= count(with_shards) <= 1.1 * count(one)
+
+
+def test_tokens_are_counted_by_word():
+    coder = bpe.Coder(open(bpe.default_vocabulary(), "rb").read())
+    texts = [r[1] or "" for r in ROWS] + ["a\x1cb c\xa0d <|endoftext|>x <|endoftext|>", "é e\u0301 ΣΑΣ Σ", "日本 " * 40 + "x" * 2000]
+    run = next(common.runs(pa.array(texts)))
+    assert coder.count_rows(run).tolist() == [coder.count(t) for t in texts]
+
+
 def test_near_copies_do_not_share_a_bin(spark, tmp_path):
     """Near copies of null sources, one of them without an id, and strangers that may lie with them."""
     words = [f"w{i}" for i in range(60)]
     rows = [(k, " ".join(words[:50] + [f"x{k}"] + words[50:]), None) for k in range(6)] + [(None, " ".join(words), None)]
-    rows += [(100 + k, " ".join(f"s{k}v{i}" for i in range(40)), None) for k in range(6)] + [(200, None, None)]
+    rows += [(100 + k, " ".join(f"s{k}v{i}" for i in range(12)), None) for k in range(6)] + [(200, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     df.write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.op5_best_fit_packing(spark, str(tmp_path)).collect()
