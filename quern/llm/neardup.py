@@ -43,8 +43,8 @@ BANDS, ROWS = 32, 3
 POSITIONS = BANDS * ROWS
 #: Linked if SIM_NUM * union <= SIM_DEN * intersection.
 SIM_NUM, SIM_DEN = 75, 100
-#: Members of a bucket's block.
-BLOCK = 1024
+#: Members of a bucket's block; so few members are compared pair by pair.
+BLOCK, FEW = 1024, 24
 
 _U = np.uint64
 _SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
@@ -165,10 +165,12 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     small, large = (len(a), len(b)) if len(a) <= len(b) else (len(b), len(a))
     if small == 0 or SIM_DEN * small < SIM_NUM * large:
         return False
-    both = np.concatenate([a, b])
-    both.sort()
-    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-    return SIM_DEN * shared >= SIM_NUM * (len(both) - shared)
+    if len(a) > len(b):
+        a, b = b, a
+    at = b.searchsorted(a)
+    at[at == large] = 0
+    shared = int(np.count_nonzero(b[at] == a))
+    return SIM_DEN * shared >= SIM_NUM * (small + large - shared)
 
 
 def verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,18 +187,8 @@ def prefix_length(n: int) -> int:
     return n - -(-SIM_NUM * n // SIM_DEN) + 1
 
 
-def link_block(table: pa.Table) -> pa.Table:
-    """Verified links between different components among the members of two blocks of a bucket.
-
-    A similarity join by prefixes: elements are ordered by how few of the members hold them, and only members
-    that share one of their first elements are compared, on full sets.  No pair that is alike is missed.
-    Members that a link has joined are not compared any more, so a group gives a spanning tree.
-    """
-    ids = table.column("rep").to_numpy()
-    labels = table.column("label").to_numpy()
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
-    tags = table.column("block").to_numpy()
-    one_block = len(np.unique(tags)) == 1
+def prefix_candidates(sets: list[np.ndarray], labels: np.ndarray) -> Iterator[list[int]]:
+    """Groups of members of several components that share one of their rarest elements: all pairs that can be alike are in some group."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -211,6 +203,21 @@ def link_block(table: pa.Table) -> pa.Table:
     turn = np.argsort(element, kind="stable")
     posted, element = posted[turn], element[turn]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(element)) + 1, [len(element)]])
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        # Lists of one component only are most of a large group's: nothing is left to compare in them.
+        if hi - lo > 1 and (labels[posted[lo:hi]] != labels[posted[lo]]).any():
+            yield posted[lo:hi].tolist()
+
+
+def link_cell(ids: list[int], labels: list[int], tags: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Verified links between different components among the members of two blocks of a bucket (or of one).
+
+    Members that a link has joined are not compared any more, so a group gives a spanning tree.  Many members are joined by
+    prefixes: elements are ordered by how few of them hold them, and only members that share one of their first
+    elements are compared, on full sets; no pair that is alike is missed.
+    """
+    one_block = len(set(tags)) == 1
+    sizes = [len(s) for s in sets]
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -220,28 +227,50 @@ def link_block(table: pa.Table) -> pa.Table:
         return x
 
     tried: set[tuple[int, int]] = set()
-    found: tuple[list[int], list[int]] = ([], [])
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        members = posted[lo:hi]
-        # Lists of one component only are most of a large group's: nothing is left to compare in them.
-        if hi - lo < 2 or (labels[members] == labels[members[0]]).all():
-            continue
-        members = members[np.argsort(sizes[members], kind="stable")].tolist()
+    found: list[tuple[int, int]] = []
+    groups = [list(range(len(ids)))] if len(ids) <= FEW else prefix_candidates(sets, np.array(labels))
+    for members in groups:
+        members.sort(key=lambda i: (sizes[i], i))
         for n, i in enumerate(members):
             for k in members[n + 1 :]:
                 if SIM_DEN * sizes[i] < SIM_NUM * sizes[k]:
                     break
                 if not one_block and tags[i] == tags[k]:
                     continue
-                p, q = find(int(labels[i])), find(int(labels[k]))
+                p, q = find(labels[i]), find(labels[k])
                 if p == q or (i, k) in tried:
                     continue
                 tried.add((i, k))
                 if alike(sets[i], sets[k]):
                     root[max(p, q)] = min(p, q)
-                    found[0].append(int(ids[i]))
-                    found[1].append(int(ids[k]))
-    return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+                    found.append((ids[i], ids[k]))
+    return found
+
+
+def link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``link_cell`` over rows of (cell's six numbers, block, rep, label, shingles) that come ordered by cell.
+
+    A cell is held while its rows come: two blocks' sets at most.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    cell, held = None, ([], [], [], [])
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True))
+        ids, labels, tags = (batch.column(k).to_pylist() for k in (7, 8, 6))
+        # The sets' bytes are copied, so that no batch is kept for a few of its rows.
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(9)]
+        found: list[tuple[int, int]] = []
+        for key, *row in zip(keys, ids, labels, tags, sets, strict=True):
+            if key != cell:
+                found += link_cell(*held) if len(held[0]) > 1 else []
+                cell, held = key, ([], [], [], [])
+            for column, value in zip(held, row, strict=True):
+                column.append(value)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=schema)
+    found = link_cell(*held) if len(held[0]) > 1 else []
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=schema)
 
 
 def deal_blocks(members: DataFrame) -> DataFrame:
@@ -313,7 +342,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not open_members.isEmpty():
         sized = sets.select(F.col("doc_id").alias("rep"), (F.octet_length("shingles") / 8).cast("long").alias("n"), "shingles")
         dealt = deal_blocks(open_members.join(sized.select("rep", "n"), "rep")).distinct().join(sized.select("rep", "shingles"), "rep")
-        more = dealt.groupBy("key", "kind", "glo", "ghi", "lo", "hi").applyInArrow(link_block, "a long, b long").distinct().checkpoint()
+        cell = ["key", "kind", "glo", "ghi", "lo", "hi"]
+        ordered = dealt.select(*cell, "block", "rep", "label", "shingles").repartition(*cell).sortWithinPartitions(*cell, "rep")
+        more = ordered.mapInArrow(link_cells, "a long, b long").distinct().checkpoint()
         if not more.isEmpty():
             labels = connected_components(links.union(more))
 
