@@ -7,9 +7,12 @@ piece, so beyond the text itself memory holds eight bytes a word of it.
 
 from __future__ import annotations
 
+import io
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -32,19 +35,39 @@ LOWER_BYTE = np.arange(256, dtype=np.uint8)
 LOWER_BYTE[65:91] += 32
 
 
+_shipped: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and see that ``checkpoint()`` has a folder.
+    """See that ``checkpoint()`` has a folder, and let Python workers import this package.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is set (tests,
-    one machine) a temporary one is made.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where all runs in this one
+    process (tests) and none is set, a temporary one is made; a cluster without one is an error.  On a cluster the
+    package goes to the workers as a file, by way of that folder.
     """
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    if spark.sparkContext.getCheckpointDir() is None:
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parents[2]
+    alone = re.match(r"local(\[|$)", context.master) is not None
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        if not named and not alone:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+    env = context.environment
+    if str(root) not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (str(root), env.get("PYTHONPATH", "")) if x)
+    if not alone and context.applicationId not in _shipped:
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as files:
+            for path in sorted((root / "quern").rglob("*.py")):
+                files.write(path, path.relative_to(root))
+        target = f"{context.getCheckpointDir()}/quern-{uuid.uuid4().hex}.zip"
+        place = context._jvm.org.apache.hadoop.fs.Path(target)
+        out = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place)
+        out.write(bytearray(packed.getvalue()))
+        out.close()
+        context.addPyFile(target)
+        _shipped.add(context.applicationId)
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
@@ -81,6 +104,19 @@ def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key)).limit(limit)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int) -> DataFrame:
+    """doc_id, label (0 or 1) and whole text of at most ``limit`` different rows, those with the smallest id hashes.
+
+    Labels are bounded before the join and its rows after it, so repeated rows of ``docs`` make no more of them.
+    """
+    usable = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL").distinct()
+    chosen = bounded_sample(usable, "doc_id", limit)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # At most ``limit`` ids and labels: a bounded side.
+    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").distinct()
+    return joined.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "label", F.xxhash64("text"), "text").limit(limit)
+
+
 def u64(x: int) -> np.uint64:
     return _U(x & 0xFFFFFFFFFFFFFFFF)
 
