@@ -8,8 +8,9 @@ over a bounded sample of labelled rows (``TRAIN_ROWS``, smallest id hashes first
 scored as sparse dot products.
 
 A score reads the text alone.  Defined cases: null or wordless text has no feature and scores by the
-bias; with no labelled row every score is 0.5.  Texts are read whole.  Repeated rows score alike; extra
-columns are ignored; labels that are null or not 0 or 1 are left out.
+bias; with no labelled row every score is 0.5.  Texts are read whole, long ones in pieces.  Repeated rows score alike and
+teach once; an id with both labels teaches both; extra columns are ignored; labels that are null or not 0 or 1 are left
+out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,17 +50,15 @@ def shape_hashes(data: np.ndarray, words: common.Words) -> np.ndarray:
 
 def families(run: common.Run) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each family its features' places and the rows' bounds in them."""
-    words = common.words_of(run)
-    h = common.hash_spans(common.LOWER_BYTE[run.data], words.starts, words.ends)
-    shapes = shape_hashes(run.data, words)
-    bounds = words.bounds
+    h, bounds = common.word_hashes(run)
+    shapes = np.concatenate([shape_hashes(piece.data, common.words_of(piece)) for piece in common.pieces(run)])
     counts = np.diff(bounds)
     pair_bounds = np.concatenate([[0], np.cumsum(np.maximum(counts - 1, 0))])
     inner = np.ones(max(len(h) - 1, 0), dtype=bool)
     crossing = bounds[1:-1]
     inner[crossing[(crossing > 0) & (crossing < len(h))] - 1] = False
     again = np.zeros(len(h), dtype=np.uint64)
-    rows = words.rows()
+    rows = np.repeat(np.arange(run.rows), counts)
     for back in (1, 2):
         again[back:] |= ((h[back:] == h[:-back]) & (rows[back:] == rows[:-back])).astype(np.uint64) << _U(back - 1)
     out = []
@@ -123,9 +122,6 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) ->
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model from a bounded sample of ``labels``' rows joined to their whole texts."""
     common.prepare(docs.sparkSession)
-    usable = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
-    chosen = common.bounded_sample(usable, "doc_id", TRAIN_ROWS)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("places", pa.binary()), ("shares", pa.binary())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     schema=schema,
                 )
 
-    # At most TRAIN_ROWS ids and labels: a bounded side.
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    joined = common.labelled_sample(docs, labels, id_col, text_col, label_col, TRAIN_ROWS)
     got = joined.mapInArrow(over, "doc_id long, label int, places binary, shares binary").collect()
     got.sort(key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), bytes(r["places"])))
     return fit([(np.frombuffer(r["places"], np.int32), np.frombuffer(r["shares"], np.float32), r["label"]) for r in got])
