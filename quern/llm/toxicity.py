@@ -7,11 +7,14 @@ share of ``COMMON`` of the label's documents).
 Features: densities and counts of lexicon words, their nearness to second-person words, shares of
 capitals and of punctuation marks, rate of obfuscated words (lexicon words once digits and signs are
 read as letters and separators dropped), and length.  Trees are grown by histograms on four fifths of
-the sample; pool-adjacent-violators on the last fifth makes scores probabilities.
+the sample, each quarter of it under the lexicon of the others; pool-adjacent-violators on the last fifth makes scores
+probabilities.
 
 A score reads the text alone.  Defined cases: null or wordless text has zero features and its score is
 what the model gives for them; with no labelled row, or one label only, every score is the labels'
-share (0 without any).  Texts are read whole.  Repeated rows score alike; extra columns are ignored.
+share (0 without any).  Texts are read whole, long ones in pieces.  Of equal odds the first word by name counts first.  Repeated
+rows score alike and teach once; an id with both labels teaches both; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 
 from quern.llm import common
 
-TRAIN_ROWS, MOST_WORDS, MIN_ODDS, MIN_DOCS, COMMON = 12_000, 500, 2.5, 8, 0.05
+#: Labelled rows learned from; least log-odds and documents of a lexicon word, share that always counts; rows too few to set some aside; parts that
+#: take their lexicon from the others.
+TRAIN_ROWS, MIN_ODDS, MIN_DOCS, COMMON, FEW, CROSSED = 12_000, 2.5, 8, 0.05, 250, 4
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 STEMS = (4, 5, 6)
 #: A word at most this many words from a second-person word is near it.
@@ -105,8 +110,8 @@ def stem_weights(data: np.ndarray, tokens: common.Words, lexicon: Lexicon) -> np
     return out
 
 
-def features(run: common.Run, lexicon: Lexicon) -> np.ndarray:
-    """The rows' features, in the order of ``FEATURES``."""
+def measure(run: common.Run, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' sums (in the order that ``features`` reads them), strongest weights, and their different lexicon words as (row, hash)."""
     data, bytes_of = run.data, run.offsets
     tokens = common.spans(_LETTER[data], bytes_of)
     h = common.hash_spans(common.LOWER_BYTE[data], tokens.starts, tokens.ends)
@@ -120,7 +125,6 @@ def features(run: common.Run, lexicon: Lexicon) -> np.ndarray:
             at = np.clip(np.searchsorted(you, hits) + shift, 0, len(you) - 1)
             near[hits] |= (np.abs(you[at] - hits) <= NEAR) & (rows[you[at]] == rows[hits])
     words = common.words_of(run)
-    n_words, n_tokens = np.diff(words.bounds), np.diff(tokens.bounds)
 
     # Words read with signs as letters, and without whatever is no letter then.
     read = _READ[data]
@@ -144,19 +148,29 @@ def features(run: common.Run, lexicon: Lexicon) -> np.ndarray:
     upper_sums = np.concatenate([[0], np.cumsum(upper)])
     shouted = (tokens.ends - tokens.starts >= 3) & (upper_sums[tokens.ends] - upper_sums[tokens.starts] == tokens.ends - tokens.starts)
 
-    hits, weights, obscured = per_row(hit, tokens.bounds), per_row(weight, tokens.bounds), per_row(hidden, words.bounds)
-    n, t = np.maximum(n_words, 1), np.maximum(n_tokens, 1)
-    size, letters = np.maximum(np.diff(bytes_of), 1), np.maximum(per_row(_LETTER[data], bytes_of), 1)
-    strongest, distinct = np.zeros(run.rows), np.zeros(run.rows)
+    strongest = np.zeros(run.rows)
     at = np.flatnonzero(hit)
     np.maximum.at(strongest, rows[at], weight[at])
-    if len(at):
-        pairs = np.unique(np.stack([rows[at].astype(np.uint64), h[at]]), axis=1)
-        distinct = np.bincount(pairs[0].astype(np.int64), minlength=run.rows).astype(float)
+    pairs = np.unique(np.stack([rows[at].astype(np.uint64), h[at]]), axis=1)
+    spoken = np.zeros(len(h), dtype=bool)
+    spoken[you] = True
+    sums = [per_row(x, tokens.bounds) for x in (hit, weight, near, spoken, shouted)] + [per_row(hidden, words.bounds)]
+    sums += [per_row(x, bytes_of) for x in (upper, _LETTER[data], _MARK[data], data == 33)]
+    return np.stack([*sums, np.diff(words.bounds), np.diff(tokens.bounds), np.diff(bytes_of)], axis=1).astype(float), strongest, pairs
+
+
+def features(run: common.Run, lexicon: Lexicon) -> np.ndarray:
+    """The rows' features, in the order of ``FEATURES``; a long text is measured in pieces (nearness does not cross them)."""
+    parts = [measure(piece, lexicon) for piece in common.pieces(run)]
+    sums = np.sum([p[0] for p in parts], axis=0)
+    strongest = np.max([p[1] for p in parts], axis=0)
+    pairs = parts[0][2] if len(parts) == 1 else np.unique(np.concatenate([p[2] for p in parts], axis=1), axis=1)
+    distinct = np.bincount(pairs[0].astype(np.int64), minlength=run.rows).astype(float)
+    hits, weights, near, you, shouted, obscured, upper, letters, marks, calls, n_words, n_tokens, size = sums.T
+    n, t, letters, size = np.maximum(n_words, 1), np.maximum(n_tokens, 1), np.maximum(letters, 1), np.maximum(size, 1)
     columns = (
-        hits / t, weights / t, np.log1p(hits), distinct, strongest, per_row(near, tokens.bounds) / np.maximum(hits, 1),
-        np.bincount(rows[you], minlength=run.rows)[: run.rows] / t, per_row(upper, bytes_of) / letters, per_row(shouted, tokens.bounds) / t,
-        per_row(_MARK[data], bytes_of) / size, per_row(data == 33, bytes_of) / size, obscured / n, np.log1p(obscured), np.log1p(n_words),
+        hits / t, weights / t, np.log1p(hits), distinct, strongest, near / np.maximum(hits, 1), you / t, upper / letters, shouted / t,
+        marks / size, calls / size, obscured / n, np.log1p(obscured), np.log1p(n_words),
     )
     return np.stack(columns, axis=1)
 
@@ -247,8 +261,12 @@ class Model:
         return np.clip(np.interp(self.forest.raw(features(run, self.lexicon)), self.knots, self.levels), 0.0, 1.0)
 
 
-def learn_lexicon(sample: DataFrame, positives: int, negatives: int) -> dict[str, float]:
-    """Words whose document frequency under label 1 stands out, with their log-odds; ``sample`` is bounded."""
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+    """Words whose document frequency under label 1 stands out, with their log-odds; ``sample`` is bounded, so its words are."""
+    tally = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    positives, negatives = tally.get(1, 0), tally.get(0, 0)
+    if not positives or not negatives:
+        return {}
     tokens = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
 
     def stems(k: int) -> Column:
@@ -259,33 +277,26 @@ def learn_lexicon(sample: DataFrame, positives: int, negatives: int) -> dict[str
     odds = lambda k, of: F.log((k + 0.5) / (F.lit(of) - k + 0.5))
     b = F.col("n") - F.col("a")
     weighed = counts.withColumn("odds", odds(F.col("a"), positives) - odds(b, negatives)).withColumn("low", F.col("odds") - 2 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (b + 0.5)))
-    rows = weighed.where(F.col("low") >= MIN_ODDS).orderBy(F.desc("low"), "word").limit(MOST_WORDS).collect()
+    rows = weighed.where(F.col("low") >= MIN_ODDS).orderBy(F.desc("low"), "word").collect()
     odds_of = {r["word"]: float(r["odds"]) for r in rows}
     common_words = {r["word"] for r in rows if r["a"] >= COMMON * positives}
     # Words that only go along with stronger ones (in copies of one text, say) explain no further document.
     holding = sample.where("label = 1").select(F.array_intersect(split, F.lit(list(odds_of) or [""])).alias("words")).collect()
-    open_docs = [set(r["words"]) for r in holding]
-    lexicon: dict[str, float] = {}
+    within: dict[str, list[int]] = {}
+    for k, r in enumerate(holding):
+        for word in r["words"]:
+            within.setdefault(word, []).append(k)
+    explained, lexicon = set(), {}
     for word in odds_of:
-        left = [d for d in open_docs if word not in d]
-        if word in common_words or len(open_docs) - len(left) >= MIN_DOCS:
-            lexicon[word], open_docs = odds_of[word], left
+        new = [k for k in within.get(word, ()) if k not in explained]
+        if word in common_words or len(new) >= MIN_DOCS:
+            lexicon[word] = odds_of[word]
+            explained.update(new)
     return lexicon
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from a bounded sample of ``labels``' rows joined to their whole texts."""
-    common.prepare(docs.sparkSession)
-    usable = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
-    chosen = common.bounded_sample(usable, "doc_id", TRAIN_ROWS)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # At most TRAIN_ROWS ids and labels: a bounded side; the joined sample is read twice.
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").checkpoint()
-    tally = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ones, zeros = tally.get(1, 0), tally.get(0, 0)
-    if not ones or not zeros:
-        return Model(Lexicon.of({}), Forest(), np.zeros(1), np.array([1.0 if ones else 0.0]))
-    lexicon = Lexicon.of(learn_lexicon(sample, ones, zeros))
+def _measured(sample: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a bounded sample, in an order of its own."""
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("x", pa.binary())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,15 +305,40 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 x = [row.tobytes() for row in features(run, lexicon)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(run.first, run.rows) for k in (0, 1)), pa.array(x, pa.binary())], schema=schema)
 
-    got = sample.mapInArrow(over, "doc_id long, label int, x binary").collect()
-    got.sort(key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), bytes(r["x"])))
-    x = np.stack([np.frombuffer(r["x"], np.float64) for r in got])
-    y = np.array([r["label"] for r in got], dtype=float)
-    held = np.arange(len(y)) % 5 == 0
-    if len(y) < 50 or len(set(y[~held])) < 2:
-        held = np.zeros(len(y), dtype=bool)
-    forest = grow(x[~held], y[~held])
-    knots, levels = isotonic(forest.raw(x[held] if held.any() else x), y[held] if held.any() else y)
+    got = sample.select("doc_id", "label", "text").mapInArrow(over, "doc_id long, label int, x binary").collect()
+    got.sort(key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["label"], bytes(r["x"])))
+    if not got:
+        return np.zeros((0, len(FEATURES))), np.zeros(0)
+    return np.stack([np.frombuffer(r["x"], np.float64) for r in got]), np.array([r["label"] for r in got], dtype=float)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model from a bounded sample of ``labels``' rows joined to their whole texts.
+
+    A fifth of the sample, by a hash of the text, calibrates and teaches nothing else.  The trees learn from features of each
+    quarter of the rest under a lexicon of the other three, so that no row's words were chosen by its own label; the
+    lexicon of all the rest scores.
+    """
+    common.prepare(docs.sparkSession)
+    # By the text, so that copies stand on one side.
+    fold = F.pmod(F.xxhash64(F.lower(F.coalesce("text", F.lit(""))), F.lit(5)), F.lit(10))
+    sample = common.labelled_sample(docs, labels, id_col, text_col, label_col, TRAIN_ROWS).withColumn("fold", fold).checkpoint()
+    tally = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ones, zeros = tally.get(1, 0), tally.get(0, 0)
+    if not ones or not zeros:
+        return Model(Lexicon.of({}), Forest(), np.zeros(1), np.array([1.0 if ones else 0.0]))
+    # With a handful of rows nothing can be set aside.
+    few = ones + zeros < FEW
+    rest = sample if few else sample.where("fold >= 2")
+    lexicon = Lexicon.of(learn_lexicon(rest))
+    part = F.col("fold") % CROSSED
+    crossed = [_measured(rest.where(part == k), Lexicon.of(learn_lexicon(rest.where(part != k)))) for k in range(CROSSED)]
+    x, y = np.concatenate([c[0] for c in crossed]), np.concatenate([c[1] for c in crossed])
+    forest = grow(x, y)
+    held, truth = _measured(rest if few else sample.where("fold < 2"), lexicon)
+    if not len(truth):
+        held, truth = _measured(rest, lexicon)
+    knots, levels = isotonic(forest.raw(held), truth)
     return Model(lexicon, forest, knots, levels)
 
 
