@@ -7,9 +7,13 @@ gives the landmarks (``LANDMARKS`` of each) of a Nystrom map, and one-versus-res
 on the mapped sample gives a weight per landmark and language.  All other rows are scored in batches:
 presence matrix x landmark presence matrix x weights.
 
+Every language of a label is learned: with many of them each has fewer rows and landmarks, but never fewer than
+``LEAST_ROWS`` (if it has them) and ``LEAST_LANDMARKS``, so the model grows with their number, not with the table.
+
 A prediction reads the text alone.  Defined cases: a null text, or one without a letter, is ``und`` with
-score 0; so is every text if the table has no labelled row.  A text of any length is read whole.
-Repeated rows score alike; extra columns are ignored.
+score 0; so is every text if the table has no labelled row.  A text of any length is read whole, piece by piece.  Of
+languages that score alike the first by name wins.  Repeated rows score alike and teach once; extra columns are ignored; an
+empty table gives an empty result and no model.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 UNKNOWN = "und"
-#: Rows of each language in the sample, landmarks of each, most languages learned; most rows and landmarks of all.
-PER_LANG, LANDMARKS, MOST_LANGS = 160, 24, 100
-ALL_ROWS, ALL_LANDMARKS = 3000, 480
+#: Rows of each language in the sample and landmarks of each: so many, or an even share of so many in all, but never fewer than a least.
+PER_LANG, ALL_ROWS, LEAST_ROWS = 160, 3000, 12
+LANDMARKS, ALL_LANDMARKS, LEAST_LANDMARKS = 24, 480, 3
 RIDGE = 1e-2
 #: Hashed places of 1-, 2-, 3- and 4-grams.
 PLACES = (1 << 9, 1 << 12, 1 << 14, 1 << 14)
@@ -47,6 +51,18 @@ _LETTER[65:91] = np.arange(97, 123)
 def presence(run: common.Run) -> np.ndarray:
     """A row of zeros and ones for each text of a run."""
     out = np.zeros((run.rows, DIMENSION), dtype=np.float32)
+    # A long text comes in overlapping pieces, so that no gram is cut and memory is that of a piece.
+    step = common.RUN_BYTES
+    if run.rows == 1 and len(run.data) > 2 * step:
+        for lo in range(0, len(run.data), step):
+            piece = run.data[lo : lo + step + len(PLACES) - 1]
+            _mark(out, common.Run(0, piece, np.array([0, len(piece)], dtype=np.int64)))
+    else:
+        _mark(out, run)
+    return out
+
+
+def _mark(out: np.ndarray, run: common.Run) -> None:
     letters = _LETTER[run.data].astype(np.uint64)
     rows = np.repeat(np.arange(run.rows, dtype=np.int64) * DIMENSION, np.diff(run.offsets))
     ends = np.repeat(run.offsets[1:], np.diff(run.offsets))
@@ -59,7 +75,6 @@ def presence(run: common.Run) -> np.ndarray:
         place = (gram[inside] * _MULT[n - 1]) >> _U(64 - (places.bit_length() - 1))
         flat[rows[: len(gram)][inside] + place.astype(np.int64) + first] = 1.0
         first += places
-    return out
 
 
 @dataclass
@@ -85,7 +100,8 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     names = sorted(set(langs))
     x = np.concatenate([presence(r) for r in common.runs(pa.array(texts, pa.string()))])
     y = np.array([names.index(v) for v in langs])
-    chosen = np.concatenate([np.flatnonzero(y == k)[: min(LANDMARKS, ALL_LANDMARKS // len(names))] for k in range(len(names))])
+    marks_each = max(LEAST_LANDMARKS, min(LANDMARKS, ALL_LANDMARKS // len(names)))
+    chosen = np.concatenate([np.flatnonzero(y == k)[:marks_each] for k in range(len(names))])
     marks = (x[chosen] / np.sqrt(np.maximum(x[chosen].sum(axis=1, keepdims=True), 1.0))).T.copy()
     model = Model(names, marks, np.zeros((len(chosen), len(names)), dtype=np.float32))
     k_nm = model.kernel(x).astype(np.float64)
@@ -104,15 +120,17 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from a bounded sample of the rows with a language; None if there are none."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    # A row a language.
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return None
     # A share of the id hashes that holds some three times the rows needed; the smallest hashes of these are taken.
-    span, each = 1 << 30, min(PER_LANG, ALL_ROWS // len(counts))
-    place = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(span))
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(span, 64 + span * 3 * each // r["count"]))) for r in counts])
+    span, each = 1 << 30, max(LEAST_ROWS, min(PER_LANG, ALL_ROWS // len(counts)))
+    place = F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(span))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(span, 64 + span * 3 * each // r["count"]))])[F.col("lang")]
     near = labelled.withColumn("place", place).where((F.col("place") < share) & F.col("text").rlike(r"\p{L}"))
-    # Some three times PER_LANG rows of each language come here, so the window's groups are bounded.
+    # Rows that are alike teach once, and a language has some three times PER_LANG others here, so the window's groups are bounded.
+    near = near.dropDuplicates(["lang", "place", "id", "text"])
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "id", "text")))
     rows = near.where(F.col("rank") <= each).orderBy("lang", "rank").select("text", "lang").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
