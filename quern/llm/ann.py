@@ -22,7 +22,9 @@ Queries are dealt to buckets, not to vectors: a task holds a share of at most so
 bucket with the queries that visit it, and returns the best ``k`` of each query only.  A hot bucket is
 split into as many shares as its size asks for.
 
-Defined cases: vectors that are null, empty, zero, of another length than most of the sample, or that hold
+Components of any finite size are measured: a difference is scaled by a power of two before it is squared.
+
+Defined cases: an empty table, or one without a usable vector, gives an empty result.  Vectors that are null, empty, zero, of another length than most of the sample, or that hold
 null or non-finite components take no part (neither as query nor as candidate).  Ties go to the smaller id.  Rows with equal ids and vectors are one candidate.
 A table of fewer than ``k`` candidates gives all of them.  Null ids take no part.
 """
@@ -116,7 +118,17 @@ class Index:
 
 
 def exact_distances(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    return np.sqrt(((vectors - queries) ** 2).sum(axis=-1))
+    """Euclidean distances in double precision; each difference is brought near 1 by a power of two first, which
+    changes no digit and keeps the squares of very large or small components finite."""
+    diff = vectors - queries
+    exponent = np.frexp(np.abs(diff).max(axis=-1))[1]
+    return np.ldexp(np.sqrt((np.ldexp(diff, -exponent[..., None]) ** 2).sum(axis=-1)), exponent)
+
+
+def to_unit(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """``x`` by the power of two that brings its largest component near 1, and the exponent."""
+    exponent = int(np.frexp(np.abs(x).max())[1]) if x.size else 0
+    return np.ldexp(x, -exponent), exponent
 
 
 def fit(sample: np.ndarray, total: int) -> Index:
@@ -136,15 +148,16 @@ def attempt(sample: np.ndarray, functions: int, widths: float) -> tuple[Index, b
     n, d = sample.shape
     directions = rng.standard_normal((TABLES, functions, d))
     offsets = rng.random((TABLES, functions))
-    spread = float(np.std(np.einsum("tfd,nd->tnf", directions, sample))) if n > 1 else 1.0
+    unit, exponent = to_unit(sample)
+    spread = float(np.std(np.einsum("tfd,nd->tnf", directions, unit))) if n > 1 else 1.0
     # Cells of two deviations: a projection falls in two or three of them.
-    index = Index(directions, offsets, max(widths * spread, 1e-12), 1)
+    index = Index(directions, offsets, float(np.ldexp(max(widths * spread, 1e-12), exponent)), 1)
     queries = sample[:: max(1, n // SAMPLE_QUERIES)]
     k = min(K, n - 1)
     if k < 1:
         return index, True
-    square = (sample**2).sum(axis=1)
-    near = np.argsort(square[None, :] - 2 * queries @ sample.T, axis=1, kind="stable")[:, : k + 1]
+    square = (unit**2).sum(axis=1)
+    near = np.argsort(square[None, :] - 2 * unit[:: max(1, n // SAMPLE_QUERIES)] @ unit.T, axis=1, kind="stable")[:, : k + 1]
     index.visits = min(MOST_VISITS, 3**functions)
     cells = np.floor(index.positions(sample))
     asked = index.positions(queries)
@@ -228,16 +241,18 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
         vectors = x[~asks][first]
         made: tuple[list, list, list] = ([], [], [])
         if len(pool):
-            square = (vectors**2).sum(axis=1)
-            for query, q in {int(i): x[n] for n, i in enumerate(ids) if asks[n]}.items():
-                rough = square - 2 * (vectors @ q) + q @ q
+            unit, exponent = to_unit(x)
+            held = unit[~asks][first]
+            square = (held**2).sum(axis=1)
+            for query, (q, u) in {int(i): (x[n], unit[n]) for n, i in enumerate(ids) if asks[n]}.items():
+                rough = square - 2 * (held @ u) + u @ u
                 rough[pool == query] = np.inf
                 count = min(k, int(np.isfinite(rough).sum()))
                 if not count:
                     continue
-                limit = np.partition(rough, count - 1)[count - 1]
-                # Rough squares may be off by rounding: all within a margin are measured exactly.
-                near = np.flatnonzero(rough <= limit + 1e-9 * (1 + abs(limit) + q @ q))
+                # Rough squares may be off by rounding: all that may be among the nearest are measured exactly.
+                off = 1e-14 * x.shape[1] * (square + u @ u)
+                near = np.flatnonzero((rough - off <= np.partition(rough + off, count - 1)[count - 1]) & np.isfinite(rough))
                 d = exact_distances(q, vectors[near])
                 order = np.lexsort((pool[near], d))[:k]
                 made[0].append(query)
