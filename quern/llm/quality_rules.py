@@ -3,15 +3,23 @@
 Only DataFrame and SQL functions run here.  Each text's statistics are made in one pass (array functions
 over its words and lines; windows of five words are compared by 64-bit hashes, and only texts that hold
 a repeated window sort them).  Four transformed statistics (smoothed mean word length, and the roots of
-the smoothed rates of symbols, repeated lines and repeated words) form a vector.  For each language and
-source a minimum-covariance-determinant estimate is found by concentration steps: from medians and
-median deviations, the share ``COVERED`` of rows nearest by Mahalanobis distance gives the next mean and
-covariance (a floor on each deviation keeps it regular).  A row is rejected if its squared distance
-exceeds ``CUTOFF``.  All estimates are grouped aggregates, so a hot source is combined before it moves.
+the smoothed rates of symbols, repeated lines and repeated words) form a vector.
+
+For each language and source a minimum-covariance-determinant estimate is found.  Three starts stand on medians and
+median deviations: uncorrelated, with the correlations of squashed scores, and with those of spatial signs.  A
+concentration step takes the share ``COVERED`` of rows nearest by Mahalanobis distance and gives their mean and
+covariance.  After ``TRIAL`` steps of every start the one with the least determinant goes on until its determinant stands
+still.  To each variance the group's mean counting noise is added (what a rate over so many words varies by
+itself), which keeps it regular where nothing varies.  The result is shrunk towards the pooled one with the weight of
+``SHRINK`` rows, so groups of any size are judged alike, and a row is rejected if its squared distance is one that
+fewer than ``LEVEL`` rows of a clean group of this size would reach, by the chi-square distribution.  All estimates are
+grouped aggregates, so a hot source is combined before it moves; a group's estimate is one row, joined as a table of
+known size.
 
 Defined cases: null text counts as empty: all statistics 0, base_failed true.  Null language or source is
-a group of its own; groups of fewer than ``LEAST`` rows that pass the base rules are estimated together.
-Repeated rows are judged alike; extra columns are ignored; an empty table gives an empty result.
+a group of its own; in a group without a row that passes the base rules the pooled estimate holds.
+Repeated rows are judged alike; ties at the edge of a concentration step are all in; extra columns are ignored,
+whatever their names; a text of any length is read whole, in one task's memory; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,13 +30,14 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-LEAST, COVERED, STEPS = 60, 0.75, 2
-#: A squared distance that a clean text all but never reaches, whatever the tails of its statistics.
-CUTOFF = 60.0
+#: Share of rows in a concentration step; steps of every start; most steps of the best one; change of a log determinant that is none.
+COVERED, TRIAL, MOST_STEPS, STILL = 0.75, 2, 20, 1e-3
+#: Rows' worth of the pooled estimate in each group's; clean rows of a group that may be rejected.
+SHRINK, LEVEL = 60, 1e-6
 #: COVERED over the chi-square (6 degrees) mass below the COVERED quantile for 4 degrees.
 CONSISTENCY = 1.485
-#: Least deviation of each statistic.
-FLOORS = (0.35, 0.04, 0.08, 0.08)
+#: Ranks of sketched quantiles are off by at most one in so many.
+ACCURACY = 10_000
 VECTOR = ("x0", "x1", "x2", "x3")
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -37,8 +46,11 @@ _WORD = r"[^\x20\x09-\x0D]"
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The frame's columns and the five statistics of ``text_col``."""
-    kept = [F.col(c) for c in docs.columns if c != text_col]
+    """The frame's columns and the five statistics of ``text_col`` (a column of a statistic's name gives way)."""
+    others = [c for c in docs.columns if c != text_col and c not in STATISTICS]
+    # The frame's columns travel as one, so that none of them meets a name used here.
+    docs = docs.select(F.struct(*[F.col(c) for c in others], F.lit(0).alias("_none")).alias("_row"), F.col(text_col))
+    kept = [F.col("_row")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(_WORD))
     step = docs.select(*kept, text.alias("text"))
@@ -58,7 +70,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     step = step.select(*kept, *STATISTICS[:4], F.when(F.col("placed").isNotNull(), F.sort_array(found)).alias("at"))
     start = F.struct(F.lit(-5).alias("last"), F.lit(0).cast("long").alias("total"))
     covered = F.aggregate("at", start, lambda a, p: F.struct(p.alias("last"), (a["total"] + F.least(F.lit(5), p - a["last"])).alias("total")), lambda a: a["total"])
-    return step.select(*kept, *STATISTICS[:4], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return step.select(*[F.col("_row")[c].alias(c) for c in others], *STATISTICS[:4], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def vector() -> list[Column]:
@@ -71,24 +83,45 @@ def vector() -> list[Column]:
     ]
 
 
-def _with_estimates(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    renamed = estimates.select(F.col("group").alias("of"), *[c for c in estimates.columns if c != "group"])
-    return rows.join(renamed, rows.group == renamed.of).drop("of")
+def noise() -> list[Column]:
+    """What each statistic of a text varies by counting alone: the variance of a mean or of a rate's root over so many words."""
+    words, chars = F.col("n_words"), F.col("word_chars")
+    length = (chars + F.lit(100.0)) / (words + F.lit(20.0))
+    return [
+        (length * length / (words + F.lit(20.0))).alias("v0"),
+        (F.lit(0.25) / (chars + F.lit(50.0))).alias("v1"),
+        (F.lit(0.25) / (F.col("n_dup_lines") + F.lit(5.0) + words / F.lit(10.0))).alias("v2"),
+        # Repeated words come by windows of five.
+        (F.lit(1.25) / (words + F.lit(20.0))).alias("v3"),
+    ]
+
+
+P = len(VECTOR)
+_PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+_MEANS, _COVARIANCES, _FLOORS = [f"m{i}" for i in range(P)], [f"c{i}{j}" for i, j in _PAIRS], [f"f{i}" for i in range(P)]
+_FACTORS = [f"l{i}{j}" for i in range(P) for j in range(i + 1)]
 
 
-def _cholesky(moments: DataFrame) -> DataFrame:
-    """Adds the lower factor l<i><j> of each group's covariance c<i><j> (scaled, with the floors added)."""
-    p = len(VECTOR)
-    out = moments
-    for i in range(p):
+def _joined(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Rows with their group's estimates, a table whose size is known: broadcast if it is small, without moving the rows."""
+    known = common.shared_table(estimates.withColumnRenamed("group", "of"), "estimates")
+    return rows.join(known, rows.group == known.of).drop("of")
+
+
+def _cholesky(estimates: DataFrame) -> DataFrame:
+    """Adds the lower factor l<i><j> of each covariance c<i><j>, and the log determinant."""
+    out = estimates
+    for i in range(P):
         for j in range(i + 1):
-            value = F.coalesce(F.col(f"c{j}{i}"), F.lit(0.0)) * F.lit(CONSISTENCY)
-            if i == j:
-                value = value + F.lit(FLOORS[i] ** 2)
+            value = F.col(f"c{j}{i}")
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(FLOORS[i] ** 2 / 4))) if i == j else value / F.col(f"l{j}{j}"))
-    return out.select("group", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+            # Rounding alone can bring a pivot to 0: no variance is below its floor's thousandth.
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.col(f"f{i}") / 1000)) if i == j else value / F.col(f"l{j}{j}"))
+    total = F.log(F.col("l00"))
+    for i in range(1, P):
+        total = total + F.log(F.col(f"l{i}{i}"))
+    return out.withColumn("logdet", 2 * total)
 
 
 def _distance() -> Column:
@@ -105,22 +138,90 @@ def _distance() -> Column:
     return total
 
 
-def estimates_of(rows: DataFrame) -> DataFrame:
-    """Per ``group``: mean and Cholesky factor of the minimum-covariance-determinant estimate of ``VECTOR``."""
-    p = len(VECTOR)
-    half = lambda c: F.percentile_approx(c, 0.5, 1000)
+def _concentrate(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """One concentration step of every (group, start) in ``factors``."""
+    keys = ["group", "start"]
+    near = _joined(rows, factors.select(*keys, *_MEANS, *_FACTORS, *_FLOORS, "n")).withColumn("d", _distance())
+    limits = near.groupBy(*keys).agg(F.percentile_approx("d", COVERED, ACCURACY).alias("limit"))
+    edges = common.shared_table(factors.join(limits, keys).select(F.col("group").alias("of"), "start", "limit", *_MEANS, *_FACTORS, *_FLOORS, "n"), "edges")
+    inner = rows.join(edges, rows.group == edges.of).drop("of").withColumn("d", _distance()).where("d <= limit")
+    scaled = [(F.covar_pop(VECTOR[i], VECTOR[j]) * CONSISTENCY + (F.first(f"f{i}") if i == j else F.lit(0.0))).alias(f"c{i}{j}") for i, j in _PAIRS]
+    made = inner.groupBy(*keys).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(VECTOR)], *scaled, *[F.first(f).alias(f) for f in _FLOORS], F.first("n").alias("n"))
+    return common.shared_table(_cholesky(made), "factors")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Every group's three starts: (group, start, means, covariances, floors, n) with their factors."""
+    half = lambda c: F.percentile_approx(c, 0.5, ACCURACY)
     middles = rows.groupBy("group").agg(*[half(x).alias(f"m{i}") for i, x in enumerate(VECTOR)])
-    spread = _with_estimates(rows, middles).groupBy("group").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[(half(F.abs(F.col(x) - F.col(f"m{i}"))) * 1.4826).alias(f"s{i}") for i, x in enumerate(VECTOR)])
-    zero = {f"c{i}{j}": F.lit(0.0) for i in range(p) for j in range(i + 1, p)}
-    known = spread.withColumns(zero | {f"c{i}{i}": F.col(f"s{i}") ** 2 for i in range(p)})
-    factors = _cholesky(known).checkpoint()
-    for _ in range(STEPS):
-        near = _with_estimates(rows, factors).withColumn("d", _distance())
-        limits = near.groupBy("group").agg(F.percentile_approx("d", COVERED, 1000).alias("limit"))
-        pairs = [F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)]
-        moments = _with_estimates(near, limits).where("d <= limit").groupBy("group").agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(VECTOR)], *pairs)
-        factors = _cholesky(moments).checkpoint()
-    return factors
+    spread = _joined(rows, middles).groupBy("group").agg(
+        *[F.first(m).alias(m) for m in _MEANS], *[(half(F.abs(F.col(x) - F.col(f"m{i}"))) * 1.4826).alias(f"s{i}") for i, x in enumerate(VECTOR)],
+        *[F.avg(f"v{i}").alias(f"f{i}") for i in range(P)], F.count(F.lit(1)).alias("n"),
+    )
+    spread = spread.withColumns({f"s{i}": F.sqrt(F.col(f"s{i}") ** 2 + F.col(f"f{i}")) for i in range(P)})
+    z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(VECTOR)]
+    length = F.greatest(z[0] * z[0] + z[1] * z[1] + z[2] * z[2] + z[3] * z[3], F.lit(1e-18))
+    scored = _joined(rows, spread).select("group", *[F.tanh(v).alias(f"t{i}") for i, v in enumerate(z)], *[(v / F.sqrt(length)).alias(f"u{i}") for i, v in enumerate(z)])
+    squashed = [F.covar_pop(f"t{i}", f"t{j}").alias(f"q{i}{j}") for i, j in _PAIRS]
+    signs = [F.avg(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"g{i}{j}") for i, j in _PAIRS]
+    both = spread.join(scored.groupBy("group").agg(*squashed, *signs), "group")
+
+    def start(number: int, letter: str | None) -> DataFrame:
+        def covariance(i: int, j: int) -> Column:
+            if i == j:
+                return F.col(f"s{i}") ** 2
+            if letter is None:
+                return F.lit(0.0)
+            # Correlations a tenth nearer to none, so that every start is regular.
+            of = F.sqrt(F.col(f"{letter}{i}{i}") * F.col(f"{letter}{j}{j}"))
+            return F.when(of > 1e-12, 0.9 * F.col(f"{letter}{i}{j}") / of).otherwise(0.0) * F.col(f"s{i}") * F.col(f"s{j}")
+
+        return both.select("group", F.lit(number).alias("start"), *_MEANS, *[covariance(i, j).alias(f"c{i}{j}") for i, j in _PAIRS], *_FLOORS, "n")
+
+    return common.shared_table(_cholesky(start(0, None).union(start(1, "q")).union(start(2, "g"))), "starts")
+
+
+def estimates_of(rows: DataFrame) -> DataFrame:
+    """Per ``group``: n, mean and covariance of the minimum-covariance-determinant estimate of ``VECTOR``, with the floors."""
+    rows = rows.select("group", *VECTOR, *[f"v{i}" for i in range(P)])
+    factors = _starts(rows)
+    for _ in range(TRIAL):
+        factors = _concentrate(rows, factors)
+    best = factors.groupBy("group").agg(F.min(F.struct("logdet", "start")).alias("best")).select("group", F.col("best.start").alias("start"))
+    factors = factors.join(best, ["group", "start"])
+    for _ in range(MOST_STEPS):
+        before = factors.select(F.col("group").alias("of"), F.col("logdet").alias("was"))
+        factors = _concentrate(rows, factors)
+        moved = factors.join(before, F.col("group") == F.col("of")).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        if moved is None or moved < STILL:
+            break
+    return factors.select("group", "n", *_MEANS, *_COVARIANCES, *_FLOORS)
+
+
+def _shrunk(groups: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Every group's estimate, drawn towards the pooled one (within and between groups) by ``SHRINK`` rows' weight."""
+    n = F.col("n").cast("double")
+    total = F.sum(n)
+    pooled = estimates.agg(
+        *[(F.sum(n * F.col(m)) / total).alias(m) for m in _MEANS], *[(F.sum(n * F.col(f)) / total).alias(f) for f in _FLOORS],
+        *[(F.sum(n * (F.col(f"c{i}{j}") + F.col(f"m{i}") * F.col(f"m{j}"))) / total).alias(f"c{i}{j}") for i, j in _PAIRS],
+    ).first()
+    # Without a row that passes the base rules nothing is judged.
+    value = lambda c: F.lit(pooled[c]).cast("double")
+    own = estimates.withColumnRenamed("group", "of")
+    every = groups.join(own, groups.group == own.of, "left").drop("of").withColumn("n", F.coalesce("n", F.lit(0)))
+    mixed = lambda c, whole: (F.coalesce(F.col(c), F.lit(0.0)) * F.col("n") + whole * F.lit(SHRINK)) / (F.col("n") + F.lit(SHRINK))
+    between = {f"c{i}{j}": mixed(f"c{i}{j}", value(f"c{i}{j}") - value(f"m{i}") * value(f"m{j}")) for i, j in _PAIRS}
+    return _cholesky(every.withColumns(between | {m: mixed(m, value(m)) for m in _MEANS} | {f: mixed(f, value(f)) for f in _FLOORS}))
+
+
+def cutoff(n: Column) -> Column:
+    """The chi-square value (4 degrees) that ``LEVEL`` of ``n`` clean rows reach: exp(-x / 2) (1 + x / 2) = LEVEL / n, solved by iteration."""
+    least = F.log(F.greatest(n, F.lit(1)) / F.lit(LEVEL))
+    half = least
+    for _ in range(12):
+        half = least + F.log1p(half)
+    return 2 * half
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -129,12 +230,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     group = F.xxhash64(F.coalesce("lang", F.lit("")), F.isnull("lang"), F.coalesce("source", F.lit("")), F.isnull("source"))
-    made = statistics(read).select("doc_id", group.alias("own"), *STATISTICS, failed.alias("base_failed"), *vector()).checkpoint()
-    passed = made.where("NOT base_failed")
-    large = passed.groupBy("own").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).select(F.col("own").alias("large"))
-    grouped = made.join(large, made.own == large.large, "left").withColumn("group", F.coalesce("large", F.lit(0))).drop("large", "own").checkpoint()
-    factors = estimates_of(grouped.where("NOT base_failed"))
-    named = factors.withColumnRenamed("group", "of")
-    judged = grouped.join(named, grouped.group == named.of, "left")
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
-    return judged.withColumn("distance", _distance()).select("doc_id", *STATISTICS, "base_failed", kept.alias("kept"), "distance")
+    made = statistics(read).select("doc_id", group.alias("group"), *STATISTICS, failed.alias("base_failed"), *vector(), *noise()).checkpoint()
+    estimates = estimates_of(made.where("NOT base_failed"))
+    judged = _shrunk(made.select("group").distinct(), estimates).select("group", F.col("n").alias("rows"), *_MEANS, *_FACTORS)
+    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff(F.col("rows")))
+    return _joined(made, judged).withColumn("distance", _distance()).select("doc_id", *STATISTICS, "base_failed", kept.alias("kept"), "distance")
