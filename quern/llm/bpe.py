@@ -11,7 +11,8 @@ the right spine of the left token's merge tree and the left spine of the right t
 across the border would come first, the pair is not compatible.
 
 Defined cases: null text is encoded as empty; an empty text has no ids and decodes to the empty text.
-Texts are never cut.  Repeated rows are encoded alike; extra columns are ignored.
+Texts of any length are read whole and never cut.  Repeated rows are encoded alike, and of equal ranks the leftmost merge goes
+first, as in the library; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import unicodedata
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,8 +32,13 @@ from pyspark.sql import functions as F
 
 from quern.llm import common
 
-#: A worker remembers this many recent chunks and as many older ones (a bound on memory, not on results).
-REMEMBERED = 400_000
+#: A worker remembers recent chunks up to so many bytes and as many of older ones, and no longer chunk than so many letters
+#: (bounds on memory, not on results).
+REMEMBERED, LONGEST = 96 << 20, 256
+#: What a remembered chunk takes beside its texts, about.
+ENTRY = 400
+#: Words whose counts are remembered; pairs of tokens.
+COUNTED, FITS = 1_000_000, 1_600_000
 #: The symbol after a word's last byte.
 _END = 256
 #: White space that str.split() knows beyond the Unicode property.
@@ -89,6 +96,10 @@ class Coder:
         self._memo: dict[str, tuple[str, str, int]] = {}
         self._older: dict[str, tuple[str, str, int]] = {}
         self._words: dict[str, list[int]] = {}
+        self._held = self._words_held = 0
+        self._counts: dict[int, int] = {}
+        #: Whether a text's tokens are those of its words: no special token holds a space.
+        self.by_word = not any(any(c.isspace() for c in t) for t in self.special)
 
     def _build(self, texts: dict[int, list[int]]) -> None:
         """A trie of all tokens with suffix links; ``_token`` and ``_shorter`` list the tokens ending at a state, longest first.
@@ -159,7 +170,7 @@ class Coder:
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
-        if len(self._fits) > 4 * REMEMBERED:
+        if len(self._fits) > FITS:
             self._fits.clear()
         known = self._fits[a << 20 | b] = self._border_merge(a, b) is None
         return known
@@ -199,9 +210,13 @@ class Coder:
         for piece in self._pieces(chunk):
             ids = self._words.get(piece)
             if ids is None:
-                if len(self._words) >= REMEMBERED:
-                    self._words.clear()
-                ids = self._words[piece] = self.word_ids(piece)
+                ids = self.word_ids(piece)
+                if len(piece) <= LONGEST:
+                    self._words_held += 40 * len(ids) + len(piece) + ENTRY
+                    if self._words_held > REMEMBERED:
+                        self._words.clear()
+                        self._words_held = 0
+                    self._words[piece] = ids
             out += ids
         return out
 
@@ -218,9 +233,11 @@ class Coder:
         if known is None:
             ids = self.chunk_ids(chunk)
             known = (" ".join(map(str, ids)), self.decode(ids), len(ids))
-        if len(self._memo) >= REMEMBERED:
-            self._older, self._memo = self._memo, {}
-        self._memo[chunk] = known
+        if len(chunk) <= LONGEST:
+            self._held += len(chunk) + len(known[0]) + len(known[1]) + ENTRY
+            if self._held > REMEMBERED:
+                self._older, self._memo, self._held = self._memo, {}, 0
+            self._memo[chunk] = known
         return known
 
     def _parts_of(self, text: str) -> Iterator[tuple[str, str, int]]:
@@ -247,6 +264,78 @@ class Coder:
     def count(self, text: str | None) -> int:
         return sum([p[2] for p in self._parts_of(text or "")])
 
+    def count_rows(self, run: common.Run) -> np.ndarray:
+        """Each row's number of tokens, without encoding the rows.
+
+        Words of plain letters, digits and signs are split by their bytes, other words by the tokenizer's own pattern;
+        the tokens of each different piece are counted once and looked up by the piece's hash.
+        """
+        if not self.by_word:
+            return np.array([self.count(run.data[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(run.offsets[:-1], run.offsets[1:], strict=True)], dtype=np.int64)
+        total = np.zeros(run.rows, dtype=np.int64)
+        for piece in common.pieces(run):
+            data, offsets = piece.data, piece.offsets
+            words = common.words_of(piece)
+            if not len(words.starts):
+                continue
+            kind = _KIND[data]
+            other = kind == _OTHER
+            if len(data) > 1:
+                # Signs among the letters of two bytes, and the one whose lower case is two letters.
+                other[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) | (data[:-1] == 0xC4) & (data[1:] == 0xB0)
+            odd = np.zeros(len(words.starts), dtype=bool)
+            odd[np.searchsorted(words.starts, np.flatnonzero(other), side="right") - 1] = True
+            if odd.any():
+                # Bytes of odd words take no part in the plain pieces.
+                at = np.flatnonzero(odd)
+                kind = kind.copy()
+                lengths = words.ends[at] - words.starts[at]
+                first = np.cumsum(lengths) - lengths
+                kind[np.arange(lengths.sum()) - np.repeat(first, lengths) + np.repeat(words.starts[at], lengths)] = _OTHER
+                self._add(total, data, offsets, words.starts[at], words.ends[at], self.count)
+            lower = common.LOWER_BYTE[data]
+            for what, of in ((_LETTERS, self._tokens_of), (_SIGNS, self._tokens_of)):
+                found = common.spans(kind == what, offsets)
+                self._add(total, lower, offsets, found.starts, found.ends, of)
+            digits = np.flatnonzero(kind == _DIGITS)
+            if len(digits):
+                each = np.array([self._tokens_of(chr(b)) for b in range(48, 58)], dtype=np.int64)
+                total += _sums_by_row(each[data[digits] - 48], digits, offsets)
+        return total
+
+    def _tokens_of(self, piece: str) -> int:
+        return len(self.word_ids(self.normalise(piece)))
+
+    def _add(self, total: np.ndarray, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: Callable[[str], int]) -> None:
+        """Adds the tokens of the spans to their rows."""
+        if not len(starts):
+            return
+        h, first, inverse = np.unique(common.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+        counts = [self._counts.get(x, -1) for x in h.tolist()]
+        for k, n in enumerate(counts):
+            if n < 0:
+                if len(self._counts) > COUNTED:
+                    self._counts.clear()
+                counts[k] = self._counts[int(h[k])] = of(data[starts[first[k]] : ends[first[k]]].tobytes().decode("utf-8", "replace"))
+        total += _sums_by_row(np.array(counts, dtype=np.int64)[inverse], starts, offsets)
+
+
+def _sums_by_row(values: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[0], np.cumsum(values)])
+    bounds = np.searchsorted(starts, offsets)
+    return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+#: Kinds of bytes in a text that is split without the tokenizer's pattern.  Letters: a-z, A-Z and both bytes of the Latin letters
+#: U+00C0 to U+017F; digits; signs: other ASCII.  An apostrophe (contractions), "<" (special tokens), control characters that
+#: may separate, and all other bytes make a word odd.
+_SPACES, _LETTERS, _DIGITS, _SIGNS, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, dtype=np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = _SPACES
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = _LETTERS
+_KIND[48:58] = _DIGITS
+_KIND[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "'<"]] = _SIGNS
+
 
 _coders: dict[str, Coder] = {}
 
@@ -301,7 +390,15 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, id_col: str = "doc
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and n_tokens of every whole text."""
-    over = _over_texts(ship(docs.sparkSession, vocabulary), [("n_tokens", pa.int64())], lambda coder, text: (coder.count(text),))
+    shipped = ship(docs.sparkSession, vocabulary)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = coder_of(shipped.value)
+        for batch in batches:
+            for run in common.runs(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(run.first, run.rows), pa.array(coder.count_rows(run))], schema=schema)
+
     return _texts(docs, id_col, text_col).mapInArrow(over, "doc_id long, n_tokens long")
 
 

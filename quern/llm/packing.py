@@ -7,28 +7,35 @@ each carries a bitmap of its sources and clusters.  The successor search starts
 goes on until the tightest compatible bin is found; residuals that hold no bin without a given source
 are remembered, so hot sources do not search them again.  Full pieces need no search: a bin each.
 
-Packing runs in shards of about ``SHARD_ROWS`` documents, dealt by a hash of the id: an even share
-whatever the sources' sizes.  The number of shards follows the table's rows, and a shard's order is
-fixed, so a lost task is redone with the same result.
+Packing runs in shards of about ``SHARD_ROWS`` documents, dealt by a hash of the whole row: an even share
+whatever the sources' sizes, repeated ids or rows.  Then the bins that are left with a sixteenth of their room or more are
+dissolved and their items packed once more, in shards that mix those of the first round.  The number of
+shards follows the table's rows, and a shard's order is fixed, so a lost task is redone with the same result.
+
+Lengths are tokens of the byte-pair vocabulary; a word's tokens are counted once a worker and looked up by its hash.
 
 Defined cases: null or empty text is an item of length 0: it takes no room, but counts as its source's
 document in its bin.  Null source or cluster conflicts with nothing.  Repeated rows are items of their
-own (they share a cluster, so never a bin, but for null texts).  Extra columns are ignored; an empty
-table gives an empty result.
+own (they share a cluster, so never a bin, but for texts without a word).  Very long texts are read whole, in pieces.  Extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import common, neardup
+from quern.llm import bpe, common, neardup
 
-#: Tokens of a sequence, words unless lengths are given.
+#: Tokens of a sequence; documents of a shard; equal rows dealt at once.
 CAPACITY = 1024
-SHARD_ROWS = 4_000
+SHARD_ROWS, COPIES = 16_000, 64
+#: Bins with at least one such part of the capacity left are dissolved once.
+LOOSE = 16
 
 PACKED = "doc_id long, piece int, piece_start long, piece_tokens int, shard int, bin int, bin_offset int"
 
@@ -105,77 +112,126 @@ def pack_shard(ids: list, lengths: np.ndarray, sources: list, clusters: list, ca
     return out
 
 
+def _rooms(rows: list[tuple], capacity: int) -> dict[int, int]:
+    """By bin, what is left of it at the end."""
+    left: dict[int, int] = {}
+    for _, _, _, tokens, at, _ in rows:
+        left[at] = left.get(at, capacity) - tokens
+    return left
+
+
 def best_fit(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Packs rows of (doc_id, n_tokens, source, cluster), the last two of any kind that casts to string."""
-    common.prepare(items.sparkSession)
+    spark = items.sparkSession
+    common.prepare(spark)
     total = items.count()
     shards = max(1, -(-total // shard_rows))
-    shard = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(shards)).cast("int").alias("shard")
-    dealt = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col("n_tokens"), F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster"), shard)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col("n_tokens"), F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster")]
+    # Equal rows, however many, are counted first and dealt some at a time.
+    counted = items.select(*columns).groupBy("doc_id", "n_tokens", "source", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(COPIES)).cast("long"))).alias("k"))
+    dealt = counted.select("doc_id", "n_tokens", "source", "cluster", F.least(F.lit(COPIES), F.col("n") - F.col("k") * COPIES).cast("int").alias("copies"), F.pmod(F.xxhash64("doc_id", "n_tokens", "source", "cluster", "k"), F.lit(shards)).cast("int").alias("shard"))
 
     def pack(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_pylist()
-        rows = pack_shard(ids, table.column("n_tokens").to_numpy(), table.column("source").to_pylist(), table.column("cluster").to_pylist(), capacity)
-        columns = list(zip(*rows, strict=True))
-        return pa.table(
-            {
-                "doc_id": pa.array([ids[i] for i in columns[0]], pa.int64()),
-                "piece": pa.array(columns[1], pa.int32()),
-                "piece_start": pa.array(columns[2], pa.int64()),
-                "piece_tokens": pa.array(columns[3], pa.int32()),
-                "shard": pa.array([table.column("shard")[0].as_py()] * len(rows), pa.int32()),
-                "bin": pa.array(columns[4], pa.int32()),
-                "bin_offset": pa.array(columns[5], pa.int32()),
-            }
-        )
-
-    return dealt.groupBy("shard").applyInArrow(pack, PACKED)
+        copies = table.column("copies").to_numpy()
+        at = np.repeat(np.arange(len(copies)), copies)
+        ids, sources, clusters = ([column[i] for i in at] for column in (table.column(c).to_pylist() for c in ("doc_id", "source", "cluster")))
+        rows = pack_shard(ids, table.column("n_tokens").to_numpy()[at], sources, clusters, capacity)
+        return _table(rows, ids, sources, clusters, np.zeros(len(ids), np.int64), table.column("shard")[0].as_py(), capacity)
+
+    first = dealt.groupBy("shard").applyInArrow(pack, f"{PACKED}, room int, source string, cluster string").checkpoint()
+    if shards == 1:
+        return first.select(*_columns())
+    # What is left in loosely filled bins is dealt anew, to shards that mix those of the first round.
+    loose = first.where(F.col("room") >= capacity // LOOSE)
+    left = loose.count()
+    again = max(1, -(-left // shard_rows))
+    redealt = loose.withColumn("deal", F.pmod(F.xxhash64("shard", "bin", "bin_offset", "doc_id", "piece"), F.lit(again)).cast("int"))
+
+    def repack(table: pa.Table) -> pa.Table:
+        ids, sources, clusters = (table.column(c).to_pylist() for c in ("doc_id", "source", "cluster"))
+        rows = pack_shard(ids, table.column("piece_tokens").to_numpy().astype(np.int64), sources, clusters, capacity)
+        return _table(rows, ids, sources, clusters, table.column("piece").to_numpy().astype(np.int64), shards + table.column("deal")[0].as_py(), capacity)
+
+    second = redealt.groupBy("deal").applyInArrow(repack, f"{PACKED}, room int, source string, cluster string")
+    return first.where(F.col("room") < capacity // LOOSE).select(*_columns()).union(second.select(*_columns()))
+
+
+def _columns() -> list[str]:
+    return [field.split()[0] for field in PACKED.split(", ")]
+
+
+def _table(rows: list[tuple], ids: list, sources: list, clusters: list, pieces: np.ndarray, shard: int, capacity: int) -> pa.Table:
+    """Packed rows as a table; ``pieces`` are the numbers of the pieces that the items begin with."""
+    columns = list(zip(*rows, strict=True))
+    row, piece = np.array(columns[0]), np.array(columns[1])
+    left = _rooms(rows, capacity)
+    number = pieces[row] + piece
+    return pa.table(
+        {
+            "doc_id": pa.array([ids[i] for i in columns[0]], pa.int64()),
+            "piece": pa.array(number.astype(np.int32)),
+            "piece_start": pa.array(number.astype(np.int64) * capacity),
+            "piece_tokens": pa.array(columns[3], pa.int32()),
+            "shard": pa.array([shard] * len(rows), pa.int32()),
+            "bin": pa.array(columns[4], pa.int32()),
+            "bin_offset": pa.array(columns[5], pa.int32()),
+            "room": pa.array([left[b] for b in columns[4]], pa.int32()),
+            "source": pa.array([sources[i] for i in columns[0]], pa.string()),
+            "cluster": pa.array([clusters[i] for i in columns[0]], pa.string()),
+        }
+    )
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def words_hash(words: Column) -> Column:
-    return F.xxhash64(F.lower(F.array_join(words, " ")))
+def row_key(id_col: str, text_col: str) -> Column:
+    """A document's id or, where that is null, a hash of its lower-cased words (made for such rows only)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lower(F.array_join(words_of(text), " "))))
 
 
-def with_lengths(docs: DataFrame, length: Column | None = None, cluster: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Items of whole texts: their lengths, and as cluster, unless one is given, a hash of the text's words.
+def with_lengths(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Items of whole texts: key, doc_id, n_tokens (of the vocabulary), source, and as cluster a hash of the text's words.
 
-    ``length`` is any count of tokens; by default words count as tokens, which needs no tokenizer (join the
-    rows of ``bpe.token_counts`` for another unit).  The items stand after a checkpoint, as packing reads
-    them twice.
+    Texts without a word have no cluster.  The items stand after a checkpoint, as packing reads them twice.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = words_of(text)
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"), *([] if length is None else [length.cast("long").alias("n_tokens")]), F.col(source_col).cast("string").alias("source"), *([] if cluster is None else [cluster.cast("string").alias("cluster")]))
-    same = words_hash(F.col("words")).cast("string")
-    return read.select(
-        "doc_id", F.size("words").cast("long").alias("n_tokens") if length is None else F.col("n_tokens"), "source",
-        F.when(F.size("words") > 0, same if cluster is None else F.col("cluster")).alias("cluster"),
-    ).checkpoint()
+    shipped = bpe.ship(docs.sparkSession, vocabulary)
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("n_tokens", pa.int64()), ("cluster", pa.string())])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe.coder_of(shipped.value)
+        for batch in batches:
+            for run in common.runs(batch.column(3)):
+                h, bounds = common.word_hashes(run)
+                place = np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(h + common.mix(place.astype(np.uint64))))])
+                same = [str(v) if n else None for v, n in zip((sums[bounds[1:]] - sums[bounds[:-1]]).tolist(), np.diff(bounds).tolist(), strict=True)]
+                own = [batch.column(k).slice(run.first, run.rows) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(coder.count_rows(run)), pa.array(same, pa.string())], schema=schema)
+
+    read = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    return read.mapInArrow(over, "key long, doc_id long, source string, n_tokens long, cluster string").checkpoint()
 
 
 def near_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, near: the near-duplicate component of each text, keyed by its id or, where that is null, by its words' hash.
+    """key, near: the near-duplicate component of each document, keyed by ``row_key``.
 
     Rows of one id are one document, as in ``neardup``.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), words_hash(words_of(text))).alias("key"), text.alias("text"))
+    keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     return neardup.near_duplicates(keyed, "key").groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").cast("string").alias("near"))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, clusters: DataFrame | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, clusters: DataFrame | None = None, vocabulary: str | None = None) -> DataFrame:
     """Every document's pieces with their bins: ``PACKED``.
 
     ``clusters`` are rows of (key, near) as ``near_clusters`` makes them; without them only copies conflict.
     """
-    items = with_lengths(docs)
+    items = with_lengths(docs, vocabulary)
     if clusters is not None:
-        # The cluster of copies is their words' hash, so it is also the key of rows without an id.
-        items = items.withColumn("key", F.coalesce("doc_id", F.col("cluster").cast("long"))).join(clusters, "key", "left")
         near = F.when(F.col("cluster").isNotNull(), F.coalesce("near", "cluster"))
-        items = items.select("doc_id", "n_tokens", "source", near.alias("cluster")).checkpoint()
+        items = items.join(clusters, "key", "left").select("doc_id", "n_tokens", "source", near.alias("cluster")).checkpoint()
     return best_fit(items, capacity)
