@@ -134,9 +134,14 @@ def test_a_block_join_finds_every_pair_that_is_alike():
     base = pool[:60]
     sets = [np.sort(np.concatenate([np.delete(base, rng.choice(60, k % 14, replace=False)), rng.choice(pool[60:], k % 11, replace=False)])) for k in range(80)]
     sets += [np.sort(rng.choice(pool, rng.integers(1, 9), replace=False)) for _ in range(80)]
-    table = pa.table({"rep": list(range(160)), "label": list(range(160)), "shingles": [s.tobytes() for s in sets], "block": [0] * 160})
-    found = neardup.link_block(table)
-    got = components(list(zip(found.column("a").to_pylist(), found.column("b").to_pylist(), strict=True)), range(160))
+    blocks = [0] * 160
+    found = neardup.link_cell(list(range(160)), list(range(160)), blocks, sets)
+    few = [pair for lo in range(0, 160, 20) for pair in neardup.link_cell(list(range(lo, lo + 20)), list(range(lo, lo + 20)), blocks[:20], sets[lo : lo + 20])]
+    assert all(neardup.alike(sets[a], sets[b]) for a, b in found + few)
+    for lo in range(0, 160, 20):
+        inside = range(lo, lo + 20)
+        assert components([p for p in few if p[0] in inside], inside) == components([(a, b) for a in inside for b in range(lo, a) if neardup.alike(sets[a], sets[b])], inside)
+    got = components(found, range(160))
     want = components([(a, b) for a in range(160) for b in range(a) if neardup.alike(sets[a], sets[b])], range(160))
     assert got == want and len(set(want.values())) < 130
 
@@ -387,11 +392,16 @@ def test_rounds_of_packing_keep_every_piece(spark):
     assert count(one) <= count(with_shards) <= 1.1 * count(one)
 
 
-def test_tokens_are_counted_by_word():
+def test_tokens_are_counted_by_word(monkeypatch):
     coder = bpe.Coder(open(bpe.default_vocabulary(), "rb").read())
+    rng = random.Random(7)
+    letters = list("abcdefghijklmnoprstu éÉñÑüß×÷İıŉſÿĀ 0123456789 .,;!?-_()<>&'’ \n\t\x1c\x85\xa0 ΣςÅñ日本ไтд🙂½²ª") + ["'ll", "'s", "ing", "<|endoftext|>", "e\u0301", "i\u0307", "THE ", "the "]
     texts = [r[1] or "" for r in ROWS] + ["a\x1cb c\xa0d <|endoftext|>x <|endoftext|>", "é e\u0301 ΣΑΣ Σ", "日本 " * 40 + "x" * 2000]
-    run = next(common.runs(pa.array(texts)))
-    assert coder.count_rows(run).tolist() == [coder.count(t) for t in texts]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    for limit in (1 << 20, 700):
+        monkeypatch.setattr(common, "RUN_BYTES", limit)
+        got = np.concatenate([coder.count_rows(run) for run in common.runs(pa.array(texts), limit)])
+        assert got.tolist() == [coder.count(t) for t in texts]
 
 
 def test_near_copies_do_not_share_a_bin(spark, tmp_path):
@@ -433,6 +443,26 @@ def test_neighbours(spark):
     assert ann.nearest(few.limit(0), F.col("vec_id") == 0).collect() == []
 
 
+def test_large_and_small_components(spark):
+    """Finite vectors whose squares overflow or vanish still have their nearest."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 8))
+    x[:20] *= 1e200
+    x[20:40] *= 1e-200
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(60)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    for q, factor in ((0, 2.0**-660), (20, 2.0**300), (40, 1.0)):
+        # Brought near 1 by a power of two, which changes no digit; what overflows then is far.
+        with np.errstate(over="ignore"):
+            d = np.sqrt((((x - x[q]) * factor) ** 2).sum(1))
+        if q == 20:
+            d[:20], d[40:] = np.inf, np.inf
+        best = [i for _, i in sorted((d[i], i) for i in range(60) if i != q)[:10]]
+        assert all(np.isfinite(s) and s > 0 for s, _ in got[q]) and [i for _, i in got[q]] == best
+
+
 def test_far_vectors_still_have_ten_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((400, 16))
@@ -481,6 +511,53 @@ def test_extraction(spark):
     assert html_extract.extract(df.limit(0)).collect() == []
 
 
+def test_text_past_the_deepest_level_and_inside_a_page_wide_form(spark):
+    deep = "<body><article><p>first</p>" + "<div>" * 410 + "<p>inner</p>" + "</div>" * 410 + "<p>last</p></article><footer>end</footer></body>"
+    form = "<body><nav>menu</nav><form action='x'><p>The whole text of a page that is one form.</p><p>More of it.</p><input value='no'><button>Send</button></form><footer>end</footer></body>"
+    small = "<body><p>Some long text stands here, longer than the form.</p><form><label>Name</label><input></form></body>"
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame([(1, "http://d.example", deep), (2, "http://e.example", form), (3, "http://f.example", small)], "page_id long, url string, html string")).collect()}
+    assert got[1] == "first\n\ninner\n\nlast"
+    assert got[2] == "The whole text of a page that is one form.\n\nMore of it." and got[3] == "Some long text stands here, longer than the form."
+
+
+NAMES = ["notice-of-intent", "ad-hoc", "related-work", "comment-analysis", "banner-story", "alert", "share-price-report", "search-results-body", "reply"]
+
+
+def test_names_that_only_hint_are_judged_by_the_tree(spark):
+    """A block whose class holds such a word stays where its text is the page's own, and goes where it is alike on the host's pages."""
+    own = "<body><article><p>Start %d</p>" + "".join(f"<div class='{n}'>Own words of {n} %d</div>" for n in NAMES) + "</article></body>"
+    alike = "<body><article><p>Start %d</p><div class='promo-strip'>Sign up, sign up (%s)</div><p>End %d</p></article></body>"
+    pages = [(i, "http://own.example/", own % ((i,) * (1 + len(NAMES)))) for i in range(20)]
+    pages += [(100 + i, "http://alike.example/", alike % (i, "ab"[i % 2], i)) for i in range(20)]
+    pages += [(200, "http://one.example/", own % ((200,) * (1 + len(NAMES))))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in (0, 7, 200):
+        assert got[i] == "\n\n".join([f"Start {i}", *[f"Own words of {n} {i}" for n in NAMES]])
+    assert got[103] == "Start 3\n\nEnd 3"
+
+
+def test_importances_against_plain_entropies(spark):
+    """Each node's entropies over the pages of its host, by a plain count; paths on too few pages are left out."""
+    rng = random.Random(8)
+    pages = [("h", f"<body><div class='top'>{rng.choice(['x', 'x', 'x', 'y'])}</div><div class='text'>{'<p>a</p><b>c</b>' * rng.randint(0, 1)}words {i}</div></body>") for i in range(30)] + [("g", "<p>alone</p>")]
+    frame = spark.createDataFrame(pages, "host string, html string").repartition(3)
+    styles = frame.mapInArrow(html_extract.count_styles, "host string, path long, kind int, value long, n long")
+    got = {(r["host"], n["path"]): (n["looks"], n["reads"]) for r in html_extract.importances(styles).collect() for n in r["known"]}
+    seen = {}
+    for host, source in pages:
+        for path, kind, value in html_extract.style_values(html_extract.parse(source)):
+            seen.setdefault((host, path), ([], []))[kind].append(value)
+    want = {}
+    for key, kinds in seen.items():
+        m, found = len(kinds[0]), []
+        for values in kinds:
+            entropy = -sum(c / m * np.log(c / m) for c in Counter(values).values())
+            found.append((entropy + html_extract.PRIOR) / (np.log(m) + html_extract.PRIOR) if m > 1 else 1.0)
+        if min(found) < 1 - 1e-12:
+            want[key] = tuple(found)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
 def test_a_host_of_equal_pages_keeps_its_article(spark):
     pages = [(i, "http://a.example/x", PAGE % (1, 1, 1, 1, 1, "")) for i in range(20)]
     rows = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
