@@ -17,7 +17,7 @@ SECOND = 1_000_000
 MINUTE, HOUR, DAY = 60 * SECOND, 3600 * SECOND, 86400 * SECOND
 MONEY, TOTAL = T.DecimalType(18, 8), T.DecimalType(28, 8)
 
-#: The bar table's columns, in the order that readers rely on.
+#: The bar table's columns, in the order that readers rely on.
 BAR_COLUMNS = (
     "symbol", "bar_us", "bar_open_time_utc", "open", "high", "low", "close", "volume", "quote_volume", "n_ticks", "first_trade_id", "last_trade_id",
     "taker_buy_qty", "taker_buy_quote_qty", "all_best_match", "is_missing_bar", "is_first_bar", "is_last_bar",
@@ -153,10 +153,15 @@ def tie_groups(ticks: DataFrame) -> DataFrame:
 
 
 def fanout(ticks: DataFrame, *grains_us: int) -> DataFrame:
-    """The rows that a self-join on the event time would make at each grain, counted without joining."""
-    out = None
-    for grain in grains_us:
-        counted = ticks.groupBy(bucket("event_time_us", grain).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    """The rows that a self-join on the event time would make at each grain, counted without joining.
+
+    A grain that the one before divides is rolled up from its counts, so ticks are read once for a chain of grains.
+    """
+    out, before, finer = None, None, 0
+    for grain in sorted(grains_us):
+        source = ticks.select(F.col("event_time_us").alias("t"), F.lit(1).alias("n")) if before is None or grain % finer else before
+        counted, finer = source.groupBy(bucket("t", grain).alias("t")).agg(F.sum("n").alias("n")), grain
+        before = counted
         one = counted.agg(F.sum("n").alias("rows_in"), F.sum(F.col("n") * F.col("n")).alias("rows_joined"), F.max("n").alias("largest_key")).select(F.lit(grain).cast("bigint").alias("grain_us"), "rows_in", "rows_joined", "largest_key")
         out = one if out is None else out.unionByName(one)
     return out

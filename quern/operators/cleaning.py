@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Rows of a slice of a globally ordered table, and most slices.
-SLICE_ROWS, MOST_SLICES = 500_000, 10_000
+#: Rows of a slice of a globally ordered table.
+SLICE_ROWS = 500_000
 
 
 def lookup(mapping: dict, key: str | Column) -> Column:
@@ -44,14 +44,78 @@ def deduplicate(df: DataFrame, keys: list[str], keep_by: list[Column]) -> DataFr
     return df.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
 
 
-def fences(df: DataFrame, column: str, error: float = 0.0, reach: float = 1.5) -> tuple[float, float]:
-    """Lower and upper interquartile fences."""
-    q1, q3 = df.approxQuantile(column, [0.25, 0.75], error)
+def by_duplicate_policy(df: DataFrame, keys: list[str], keep_by: list[Column], policy: str = "drop") -> DataFrame:
+    """Repeated keys under a declared policy: ``drop`` all but the first, ``keep`` every row, or ``raise``."""
+    if policy == "keep":
+        return df
+    if policy == "drop":
+        return deduplicate(df, keys, keep_by)
+    if policy != "raise":
+        raise ValueError(f"{policy!r} is no policy for duplicates")
+    if not df.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError(f"{keys} repeat")
+    return df
+
+
+def percentiles(df: DataFrame, columns: list[str], points: list[float], by: str | None = None, between: bool = True, accuracy: int = 10_000) -> DataFrame:
+    """Exact percentiles: ``by`` (if given) and for each column an array of its values at ``points`` (NULLs do not count).
+
+    ``between`` interpolates linearly between neighbours; otherwise the smallest value is taken that at least
+    the share of rows does not exceed.  A sketch brackets each point within 1 / ``accuracy`` of the ranks; rows in the brackets
+    are counted by value, the others by the bracket before them, so no task holds a group's values and
+    nothing comes to the driver.
+    """
+    reach = 2.0 / accuracy
+    keys = [F.col(by)] if by else [F.lit(0).alias("_all")]
+    key = by or "_all"
+
+    def of(c: str, shift: float) -> Column:
+        """The sketch's values at the points moved by ``shift``; beyond the ends there is no bound."""
+        found = F.percentile_approx(F.col(c).cast("double"), [min(max(p + shift, 0.0), 1.0) for p in points], accuracy)
+        ends = [-float("inf") if p + shift <= 0 else float("inf") if p + shift >= 1 else None for p in points]
+        return F.array(*[F.get(found, k) if e is None else F.lit(e) for k, e in enumerate(ends)])
+
+    made = df.groupBy(*keys).agg(*[x for c in columns for x in (F.count(c).alias(f"_n_{c}"), of(c, -reach).alias(f"_lo_{c}"), of(c, reach).alias(f"_hi_{c}"))])
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_n_{c}").alias("n"), F.col(f"_lo_{c}").alias("lo"), F.col(f"_hi_{c}").alias("hi")) for k, c in enumerate(columns)])).alias("b")
+    brackets = made.select(F.col(key).alias("_g"), parts).select("_g", "b.*")
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.col(c).cast("double").alias("x")) for k, c in enumerate(columns)])).alias("v")
+    rows = df.select(keys[0].alias("_of"), values).select("_of", "v.*").where(F.col("x").isNotNull())
+    inside = F.exists(F.arrays_zip("lo", "hi"), lambda p: (F.col("x") >= p["lo"]) & (F.col("x") <= p["hi"]))
+    below = F.array_max(F.filter("hi", lambda h: h < F.col("x")))
+    near = rows.join(brackets, F.col("_of").eqNullSafe(F.col("_g")) & (F.col("_k") == F.col("k")))
+    # Rows between brackets stand together after the bracket below them; the neighbours of a bracket are the ends of such a stretch.
+    near = near.select("_g", "k", "n", "x", (~inside).alias("between"), F.when(inside, F.col("x")).otherwise(F.coalesce(below, F.lit(float("-inf")))).alias("place"))
+    counted = near.groupBy("_g", "k", "n", "place", "between").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("least"), F.max("x").alias("most"))
+    # A row a value inside the brackets: some 1 / 2,500 of a group's rows and point at most.
+    upto = F.sum("c").over(Window.partitionBy("_g", "k").orderBy("place", "between"))
+    placed = counted.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("c"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when(rank == F.col("before"), F.col("least")).when((rank > F.col("before")) & (rank < F.col("upto")), F.col("most")))
+
+    found = []
+    for p in points:
+        if between:
+            place = F.lit(float(p)) * (F.col("n") - 1)
+            low, share = F.floor(place), place - F.floor(place)
+            found += [at(low), at(F.least(low + 1, F.col("n") - 1)), F.max(share)]
+        else:
+            found.append(at(F.greatest(F.ceil(F.lit(float(p)) * F.col("n")) - 1, F.lit(0))))
+    picked = placed.groupBy("_g", "k").agg(*[f.alias(f"f{i}") for i, f in enumerate(found)])
+    mixed = [(1 - F.col(f"f{i + 2}")) * F.col(f"f{i}") + F.col(f"f{i + 2}") * F.col(f"f{i + 1}") for i in range(0, len(found), 3)] if between else [F.col(f"f{i}") for i in range(len(found))]
+    wide = picked.select("_g", "k", F.array(*mixed).alias("p")).groupBy("_g").pivot("k", list(range(len(columns)))).agg(F.first("p", ignorenulls=True))
+    return wide.select(*([F.col("_g").alias(by)] if by else []), *[F.col(str(k)).alias(c) for k, c in enumerate(columns)])
+
+
+def fences(df: DataFrame, column: str, reach: float = 1.5) -> tuple[float, float]:
+    """Lower and upper interquartile fences; of no values, none (NaN)."""
+    row = percentiles(df, [column], [0.25, 0.75], between=False).first()
+    q1, q3 = row[0] if row is not None else (float("nan"), float("nan"))
     return q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)
 
 
-def cap_at_fence(df: DataFrame, column: str, into: str, error: float = 0.0) -> DataFrame:
-    return df.withColumn(into, F.least(F.col(column), F.lit(fences(df, column, error)[1])))
+def cap_at_fence(df: DataFrame, column: str, into: str) -> DataFrame:
+    return df.withColumn(into, F.least(F.col(column), F.lit(fences(df, column)[1])))
 
 
 def outliers(df: DataFrame, column: str) -> DataFrame:
@@ -96,10 +160,10 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 def sliced(df: DataFrame, order: str) -> DataFrame:
     """``df`` with ``_slice``: ranges of ``order`` of some ``SLICE_ROWS`` rows each, in order, cut at its quantiles.
 
-    The cuts are looked up by binary search; there are at most ``MOST_SLICES``.
+    The cuts are looked up by binary search; a million slices (5e11 rows) are 8 MB of cuts.
     """
     rows = df.count()
-    n = min(MOST_SLICES, max(1, -(-rows // SLICE_ROWS)))
+    n = max(1, -(-rows // SLICE_ROWS))
     cuts = sorted(set(df.approxQuantile(order, [k / n for k in range(1, n)], 1 / (4 * n)))) if n > 1 else []
     if not cuts:
         return df.withColumn("_slice", F.lit(0.0))
@@ -108,7 +172,7 @@ def sliced(df: DataFrame, order: str) -> DataFrame:
 
 
 def _before() -> Window:
-    """All slices before one: a window over the table of slices, of at most ``MOST_SLICES`` rows."""
+    """All slices before one: a window over the table of slices, a row each."""
     return Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
 
 
@@ -132,6 +196,21 @@ def previous(df: DataFrame, order: str, column: str, into: str) -> DataFrame:
     return made.withColumn(into, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop("_slice", "_lag", "_first", "_carry")
 
 
+def following(df: DataFrame, by: str, order: str, column: str, into: str) -> DataFrame:
+    """The column's value in the next row of the same ``by`` in the order of ``order``, without one window over a whole group.
+
+    A slice's last row of a group takes the group's first value of the next slice that has one.
+    """
+    cut = sliced(df, order)
+    after = Window.partitionBy(by).orderBy("_slice")
+    heads = cut.groupBy(by, "_slice").agg(F.min_by(column, order).alias("_head")).select(F.col(by).alias("_by"), F.col("_slice").alias("_at"), F.lead("_head").over(after).alias("_carry"))
+    own = Window.partitionBy(by, "_slice").orderBy(order)
+    made = cut.withColumns({"_next": F.lead(column).over(own), "_end": F.row_number().over(own) == F.count(F.lit(1)).over(Window.partitionBy(by, "_slice"))})
+    # Groups times slices, a row each: left to Spark's own choice by size.
+    joined = made.join(heads, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_slice") == F.col("_at")), "left")
+    return joined.withColumn(into, F.when(F.col("_end"), F.col("_carry")).otherwise(F.col("_next"))).drop("_slice", "_next", "_end", "_by", "_at", "_carry")
+
+
 def mint_ids(df: DataFrame, order: str, into: str = "row_id") -> DataFrame:
     """Stable 1-based numbers in the order of a unique column."""
     return running_count(df, order, F.lit(True), into)
@@ -144,11 +223,20 @@ def rollovers(df: DataFrame, order: str, column: str, into: str) -> DataFrame:
 
 
 def join_small(df: DataFrame, small: DataFrame, on: str, most_rows: int = 100_000) -> DataFrame:
-    """A left join that may not change the row count: the small side is checked for size and unique keys, then broadcast."""
-    n, keys = small.agg(F.count(F.lit(1)), F.countDistinct(on)).first()
+    """A left join that may not change the row count: the small side is checked for size and unique keys, then broadcast.
+
+    A null key matches nothing, so rows of the small side without a key do not count.  ``unmatched`` counts what found no partner.
+    """
+    keyed = small.where(F.col(on).isNotNull())
+    n, keys = keyed.agg(F.count(F.lit(1)), F.countDistinct(on)).first()
     if n != keys:
         raise ValueError(f"{on} is not unique: the join would change the row count")
-    return df.join(F.broadcast(small) if n <= most_rows else small, on, "left")
+    return df.join(F.broadcast(keyed) if n <= most_rows else keyed, on, "left")
+
+
+def unmatched(df: DataFrame, small: DataFrame, on: str) -> int:
+    """Rows of ``df`` whose key (a null one too) the small side does not have."""
+    return df.join(small.where(F.col(on).isNotNull()).select(on).distinct(), on, "left_anti").count()
 
 
 def rename(df: DataFrame, mapping: dict[str, str | Column]) -> DataFrame:

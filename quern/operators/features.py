@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import cleaning
+
 #: Rank of the classes, which the classifier's labels keep.
 CLASSES = ("down", "flat", "up")
 MISSING_STATE = "SYSTEM_STATE_UNKNOWN"
@@ -91,9 +94,10 @@ def class_balance(df: DataFrame, column: str = "y_class") -> DataFrame:
 
 
 def fill_group_medians(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
-    """NULLs become their group's exact median; the medians are one row a group."""
-    medians = df.groupBy(group).agg(*[F.percentile(c, 0.5).alias(f"_median_{c}") for c in columns])
-    joined = df.join(medians, group, "left")
+    """NULLs become their group's exact median; the medians are one row a group, whose number decides whether they are broadcast."""
+    found = cleaning.percentiles(df, columns, [0.5], group)
+    medians = found.select(F.col(group).alias("_of"), *[F.get(c, 0).alias(f"_median_{c}") for c in columns])
+    joined = df.join(medians, F.col(group).eqNullSafe(F.col("_of")), "left").drop("_of")
     return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"_median_{c}")) for c in columns}).drop(*[f"_median_{c}" for c in columns])
 
 
@@ -146,8 +150,10 @@ def sign_flips(pooled: DataFrame, grouped: DataFrame) -> DataFrame:
 
 def density(df: DataFrame, column: str) -> DataFrame:
     """One row: moments (sample deviation, population skewness and kurtosis) and exact quantiles."""
-    q = F.percentile(column, [0.01, 0.25, 0.5, 0.75, 0.99])
-    made = df.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean"), F.stddev(column).alias("sd"), F.skewness(column).alias("skewness"), F.kurtosis(column).alias("kurtosis"), q.alias("q"))
+    known = df.where(F.col(column).isNotNull())
+    q = cleaning.percentiles(known, [column], [0.01, 0.25, 0.5, 0.75, 0.99]).select(F.col(column).alias("q"))
+    # Two tables of one row each.
+    made = known.agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean"), F.stddev(column).alias("sd"), F.skewness(column).alias("skewness"), F.kurtosis(column).alias("kurtosis")).join(q, how="left")
     return made.select("n", "mean", "sd", "skewness", "kurtosis", *[F.get("q", k).alias(n) for k, n in enumerate(("p01", "p25", "p50", "p75", "p99"))])
 
 
@@ -196,11 +202,25 @@ def rank_scale(df: DataFrame, column: str, into: str, group: str) -> DataFrame:
     return df.withColumn(into, F.percent_rank().over(Window.partitionBy(group).orderBy(F.col(column).asc_nulls_first())))
 
 
-def rank_scale_global(df: DataFrame, column: str, into: str, cuts: int = 1000) -> DataFrame:
-    """An approximate rank over all rows from fitted quantiles: no window over the whole table."""
-    points = df.approxQuantile(column, [k / cuts for k in range(cuts + 1)], 1 / (4 * cuts))
-    edges = F.lit(points)
-    return df.withColumn(into, F.when(F.col(column).isNotNull(), F.greatest(F.size(F.filter(edges, lambda c: c < F.col(column))) - 1, F.lit(0)) / F.lit(float(cuts))))
+def rank_cuts(df: DataFrame, columns: list[str], cuts: int = 1000) -> dict[str, list[float]]:
+    """The quantiles of some rows, ``cuts`` + 1 a column: what ``rank_by_cuts`` ranks other rows against."""
+    found = df.approxQuantile(columns, [k / cuts for k in range(cuts + 1)], 1 / (4 * cuts))
+    return dict(zip(columns, found, strict=True))
+
+
+def rank_by_cuts(df: DataFrame, column: str, into: str, points: list[float]) -> DataFrame:
+    """An approximate rank from fitted quantiles, by binary search: no window over the whole table."""
+    cuts = len(points) - 1
+    distinct = sorted(set(points))
+    if not distinct:
+        return df.withColumn(into, F.lit(None).cast("double"))
+    # Cuts below a value less one, for the values of each interval between distinct cuts; a value equal to a cut is above the ones before.
+    below = [sum(1 for p in points if p < v) for v in distinct]
+    shares = F.array(*[F.lit(max(n - 1, 0) / max(cuts, 1)) for n in [*below, len(points)]])
+    # Intervals are half-open at the left in Bucketizer, here at the right: the signs turn.
+    splits = [-float("inf"), *[-v for v in reversed(distinct)], float("inf")]
+    turned = Bucketizer(splits=splits, inputCol="_turned", outputCol="_interval", handleInvalid="keep").transform(df.withColumn("_turned", -F.col(column).cast("double")))
+    return turned.withColumn(into, F.when(F.col(column).isNotNull(), F.get(shares, (F.lit(len(distinct)) - F.col("_interval")).cast("int")))).drop("_turned", "_interval")
 
 
 def bp_per_sd(coefficient: Column, deviation: Column) -> Column:
