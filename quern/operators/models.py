@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, MinMaxScaler, OneHotEncoder, QuantileDiscretizer, StandardScaler, StringIndexer, VarianceThresholdSelector, VectorAssembler
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import Bucketizer, Imputer, MinMaxScaler, OneHotEncoder, StandardScaler, StringIndexer, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import features
+from quern.operators import cleaning, features
 
 #: Grids of regularisation strength and share of the absolute penalty.
 CONTINUOUS_GRID = ((1e-8, 1e-6, 1e-4), (0.25, 0.5, 1.0))
@@ -67,27 +69,106 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def discretise(df: DataFrame, column: str, buckets: int, into: str) -> DataFrame:
-    """Quantile buckets; fewer where quantiles coincide."""
-    return QuantileDiscretizer(numBuckets=buckets, inputCol=column, outputCol=into, relativeError=0.0).fit(df).transform(df)
+    """Quantile buckets, cut at exact quantiles; fewer where quantiles coincide.  Without a value there is one bucket."""
+    row = cleaning.percentiles(df, [column], [k / buckets for k in range(buckets + 1)], between=False).first()
+    cuts = sorted(set(row[0][1:-1])) if row is not None else []
+    return Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol=column, outputCol=into).transform(df)
 
 
-def elastic_net(df: DataFrame, columns: list[str], target: str, fold: str = "fold", folds: int = 5, parallelism: int = 4) -> tuple[DataFrame, float]:
-    """Coefficients (with the basis points a deviation moves) of the best elastic net by RMSE over given time folds."""
-    made = assemble(df.where(F.col(target).isNotNull()), columns).withColumn("label", F.col(target).cast("double"))
-    # Every fit reads this frame again.
-    made = sized(made.select("features", "label", fold)).persist()
-    try:
-        line = LinearRegression(standardization=True, maxIter=100)
-        grid = ParamGridBuilder().addGrid(line.regParam, CONTINUOUS_GRID[0]).addGrid(line.elasticNetParam, CONTINUOUS_GRID[1]).build()
-        search = CrossValidator(estimator=line, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="rmse"), numFolds=folds, foldCol=fold, parallelism=parallelism).fit(made)
-        best = int(min(range(len(grid)), key=lambda k: search.avgMetrics[k]))
-        coefficients = [float(c) for c in search.bestModel.coefficients]
-    finally:
-        made.unpersist()
-    deviations = df.agg(*[F.stddev(c).alias(c) for c in columns]).first()
-    rows = [(c, w, float(deviations[c] or 0.0), bool(w != 0.0), float(grid[best][line.regParam]), float(grid[best][line.elasticNetParam]), float(search.avgMetrics[best])) for c, w in zip(columns, coefficients, strict=True)]
-    ledger = df.sparkSession.createDataFrame(rows, "feature string, coefficient double, deviation double, kept boolean, reg_param double, elastic_net double, cv_rmse double")
-    return ledger.withColumn("bp_per_sd", features.bp_per_sd(F.col("coefficient"), F.col("deviation"))), float(search.avgMetrics[best])
+def moments(df: DataFrame, columns: list[str], fold: str) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray]:
+    """By fold, the sums of products of (1, ``columns`` to a common scale), with the centres and scales; two passes over the data.
+
+    Each partition makes one matrix product a fold and batch; the driver sees folds x columns squared numbers.
+    """
+    row = df.agg(*[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns]).first()
+    centre = np.array([row[k] or 0.0 for k in range(len(columns))])
+    spread = np.array([row[len(columns) + k] or 0.0 for k in range(len(columns))])
+    scale = np.where(spread > 0, spread, 1.0)
+
+    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            z = (batch[columns].to_numpy(dtype=float) - centre) / scale
+            z = np.concatenate([np.ones((len(z), 1)), z], axis=1)
+            where = batch[fold].to_numpy()
+            for f in np.unique(where):
+                some = z[where == f]
+                sums[int(f)] = sums.get(int(f), 0.0) + some.T @ some
+        for f, m in sums.items():
+            yield pd.DataFrame({"fold": f, "at": np.arange(m.size), "v": m.reshape(-1)})
+
+    rows = df.select(fold, *[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(over, "fold int, at int, v double").groupBy("fold", "at").agg(F.sum("v").alias("v")).collect()
+    size = len(columns) + 1
+    found: dict[int, np.ndarray] = {}
+    for r in rows:
+        found.setdefault(r["fold"], np.zeros(size * size))[r["at"]] = r["v"]
+    return {f: m.reshape(size, size) for f, m in sorted(found.items())}, centre, scale
+
+
+def descend(sums: np.ndarray, reg: float, net: float, unit: float) -> np.ndarray:
+    """(intercept, coefficients) of the elastic net on summed products whose last column is the target, by coordinate descent.
+
+    The penalties are those of Spark's linear regression: on coefficients of standardised columns, the target
+    standardised too; ``unit`` is the size of the target's scale in its own unit.
+    """
+    n = sums[0, 0]
+    mean = sums[0, 1:] / n
+    cov = sums[1:, 1:] / n - np.outer(mean, mean)
+    spread = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    live = np.flatnonzero(spread[:-1] > 1e-12)
+    beta = np.zeros(len(spread) - 1)
+    if spread[-1] > 1e-12 and len(live):
+        a = cov[np.ix_(live, live)] / np.outer(spread[live], spread[live])
+        r = cov[live, -1] / (spread[live] * spread[-1])
+        strength = reg / (spread[-1] * unit)
+        l1, l2 = strength * net, strength * (1.0 - net)
+        w = np.zeros(len(live))
+        for _ in range(20_000):
+            moved = 0.0
+            for j in range(len(live)):
+                rest = r[j] - a[j] @ w + a[j, j] * w[j]
+                new = np.sign(rest) * max(abs(rest) - l1, 0.0) / (a[j, j] + l2)
+                moved, w[j] = max(moved, abs(new - w[j])), new
+            if moved < 1e-9:
+                break
+        beta[live] = w * spread[-1] / spread[live]
+    return np.concatenate([[mean[-1] - beta @ mean[:-1]], beta])
+
+
+#: The columns of the coefficient ledger, in order.
+COEFFICIENTS = "feature string, coefficient double, survived_step9 boolean, mu double, sigma double, bp_per_sd double, reg_param double, elastic_net_param double, intercept double, cv_rmse double, target_sd double, n_rows double"
+
+
+def elastic_net(df: DataFrame, columns: list[str], target: str, fold: str = "fold") -> tuple[DataFrame, float]:
+    """The coefficient ledger (with the basis points a deviation moves) of the best elastic net by RMSE over given time folds.
+
+    All fits of the grid and folds work on the folds' sums of products, so the data are read twice in all.
+    """
+    known = df.where(F.col(target).isNotNull())
+    sums, centre, scale = moments(known, [*columns, target], fold)
+    total = sum(sums.values())
+    unit = float(scale[-1])
+
+    def error(held: int, reg: float, net: float) -> float:
+        b = descend(total - sums[held], reg, net, unit)
+        v = np.concatenate([-b, [1.0]])
+        return float(np.sqrt(max(v @ sums[held] @ v, 0.0) / sums[held][0, 0])) * unit
+
+    usable = [f for f in sums if total[0, 0] - sums[f][0, 0] > 0]
+    scores = {(reg, net): float(np.mean([error(f, reg, net) for f in usable])) for reg in CONTINUOUS_GRID[0] for net in CONTINUOUS_GRID[1]}
+    (reg, net), rmse = min(scores.items(), key=lambda p: p[1])
+    b = descend(total, reg, net, unit)
+    n = total[0, 0]
+    sample = np.sqrt(n / max(n - 1, 1))
+    beta = b[1:] * unit / scale[:-1]
+    intercept = float(centre[-1] + b[0] * unit - beta @ centre[:-1])
+    live = np.sqrt(np.maximum(np.diag(total)[1:] / n - (total[0, 1:] / n) ** 2, 0.0)) > 1e-12
+    rows = []
+    for k, c in enumerate(columns):
+        kept = bool(beta[k] != 0.0)
+        sigma = float(scale[k] * sample) if live[k] else 0.0
+        rows.append((c, float(beta[k]), kept, float(centre[k]) if kept else None, sigma if kept else None, float(10000.0 * beta[k] * sigma) if kept else None, reg, net, intercept, rmse, unit * float(sample), float(n)))
+    return df.sparkSession.createDataFrame(rows, COEFFICIENTS), rmse
 
 
 def label(column: str = "y_class"):
@@ -133,14 +214,25 @@ def multinomial(df: DataFrame, columns: list[str], time: str = "bar_us") -> Data
     return df.sparkSession.createDataFrame(rows, "reg_param double, elastic_net double, cv_time_ordered double, cv_random double, holdout double, majority double")
 
 
+def multinomial_coefficients(df: DataFrame, columns: list[str], reg: float, net: float, baseline: float, time: str = "bar_us") -> DataFrame:
+    """One row a feature and class of the classifier at one grid point, fitted on the development rows."""
+    made = sized(assemble(df.withColumn("label", label()).where(F.col("label").isNotNull()), columns, invalid="skip").select("features", "label", time))
+    lo, hi = made.agg(F.min(time), F.max(time)).first()
+    dev = made.where(F.col(time) < features.fold_cut(HOLDOUT, lo, hi))
+    matrix = LogisticRegression(family="multinomial", regParam=reg, elasticNetParam=net, maxIter=50).fit(dev).coefficientMatrix.toArray()
+    largest = np.abs(matrix).max(axis=0)
+    rows = [(c, features.CLASSES[k], float(matrix[k, j]), float(largest[j]), bool(largest[j] > 0), reg, net, baseline) for j, c in enumerate(columns) for k in range(len(matrix))]
+    return df.sparkSession.createDataFrame(rows, "feature string, class_name string, coefficient double, max_abs_across_classes double, survived_step9 boolean, reg_param double, elastic_net_param double, baseline_accuracy double")
+
+
 def scaling_search(df: DataFrame, columns: list[str], time: str = "bar_us", reg: float = 0.01, net: float = 0.5) -> DataFrame:
     """One row a scaling (standard, signed log, rank): held-out accuracy of the same classifier; scalers see development rows only."""
     known = df.withColumn("label", label()).where(F.col("label").isNotNull()).na.drop(subset=columns).select(time, "label", *[F.col(c).cast("double").alias(c) for c in columns])
     lo, hi = known.agg(F.min(time), F.max(time)).first()
     cut = features.fold_cut(HOLDOUT, lo, hi)
-    ranked = known
+    ranked, points = known, features.rank_cuts(known.where(F.col(time) < cut), columns, 200)
     for c in columns:
-        ranked = features.rank_scale_global(ranked, c, c, 200)
+        ranked = features.rank_by_cuts(ranked, c, c, points[c])
     ways = {"standard": known, "signed_log1p": known.withColumns({c: features.signed_log1p(F.col(c)) for c in columns}), "percent_rank": ranked}
     rows = []
     for name, frame in ways.items():
@@ -164,6 +256,11 @@ def association_rules(baskets: DataFrame, min_support: float = 0.003, min_confid
     return model.associationRules.orderBy(F.desc("lift"), F.asc("support"))
 
 
+def strongest(pairs: DataFrame, column: str = "r", n: int = 1) -> DataFrame:
+    """The ``n`` rows largest by absolute value (NULLs out), ties by the other columns: a top-k, not a sort."""
+    return pairs.where(F.col(column).isNotNull()).orderBy(F.desc(F.abs(F.col(column))), *[c for c in pairs.columns if c != column]).limit(n)
+
+
 def token_path(baskets: DataFrame, target: DataFrame, on: str, tokens: list[str], strengths: tuple[float, ...]) -> DataFrame:
     """How many one-hot tokens keep a weight as the absolute penalty grows (no standardisation)."""
     wide = baskets.join(target, on).select("label", *[F.array_contains("items", t).cast("double").alias(f"t{k}") for k, t in enumerate(tokens)])
