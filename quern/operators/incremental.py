@@ -74,6 +74,16 @@ def advance(first_value: str | None, values: list[str], last: str | None) -> str
     return first_value
 
 
+def guarded_watermark(extracted: DataFrame, load_column: str, last: str | None) -> str | None:
+    """``next_watermark`` under ``advance``'s guard: the first row by the column's own order must hold the largest text.
+
+    A number column whose values differ in length (9 and 10) fails here, before anything is written.
+    """
+    largest = next_watermark(extracted, load_column, last)
+    first = extracted.where(F.col(load_column).isNotNull()).orderBy(F.desc(load_column)).select(F.col(load_column).cast("string")).first()
+    return last if first is None else advance(first[0], [largest], last)
+
+
 @dataclass
 class StateStore:
     """Load states as a JSON list of table_name, load_column, last_extracted_value; rewritten as a whole."""
@@ -120,8 +130,23 @@ def replace_run(target: DataFrame, rows: DataFrame, run_id: str) -> DataFrame:
     return target.where(F.col("run_id") != run_name(run_id)).unionByName(rows.select(*target.columns))
 
 
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path``; if a swap was cut off between its two renames, the table it had moved aside, put back first."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at, old = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    fs = at.getFileSystem(hadoop)
+    if not fs.exists(at) and fs.exists(old) and not fs.rename(old, at):
+        raise OSError(f"{old} could not be moved back to {path}")
+    return spark.read.parquet(path)
+
+
 def swap_in(df: DataFrame, path: str) -> None:
-    """Writes beside the table at ``path`` and renames: readers see the old table or the new one."""
+    """Writes beside the table at ``path`` and renames twice.
+
+    Nothing is lost at any point: until the new table is in place the old one stands at ``path`` or, between the
+    renames, at ``path``.old, from where ``current`` puts it back.  A reader that does not go through ``current`` may meet the gap
+    between the renames.
+    """
     spark = df.sparkSession
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     new, old = f"{path}.new", f"{path}.old"
@@ -139,9 +164,77 @@ def swap_in(df: DataFrame, path: str) -> None:
 
 
 def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: list[str]) -> None:
-    """Merge into a Parquet table: checked first, then swapped in whole."""
+    """Merge into a Parquet table: checked first, then swapped in whole (for tables without partitions, such as dimensions)."""
+    assert_unique(source, keys)
+    swap_in(merge(current(spark, path), source, keys, check=False), path)
+
+
+def merge_partitions(spark: SparkSession, path: str, source: DataFrame, keys: list[str], partition: str) -> None:
+    """Merge into a Parquet table partitioned by one of ``keys``: only the partitions that the source touches are read and replaced.
+
+    The touched values are few (a source is one extract's waves), so they become literals that prune the scan.
+    """
+    if partition not in keys:
+        raise ValueError(f"{partition} must be a key: else a row could leave its partition")
     assert_unique(source, keys)
-    swap_in(merge(spark.read.parquet(path), source, keys, check=False), path)
+    touched = [r[0] for r in source.select(partition).distinct().collect()]
+    if not touched:
+        return
+    names = [*[c for c in source.columns if c != partition], partition]
+    rows = source.select(*names)
+    if exists(spark, path):
+        rows = merge(spark.read.parquet(path).where(F.col(partition).isin(touched)).select(*names), rows, keys, check=False)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(hadoop).exists(at))
+
+
+def upsert_through_stage(df: DataFrame, path: str, keys: list[str]) -> int:
+    """Rows by key into the table at ``path`` through a ``tmp_`` table beside it; returns the rows staged.
+
+    The stage is written and counted before the table is touched, and dropped at the end, whatever happens: a
+    fault before the swap leaves the table as it was.
+    """
+    spark = df.sparkSession
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, _, name = path.rstrip("/").rpartition("/")
+    stage = f"{folder}/tmp_{name}"
+    at = jvm.org.apache.hadoop.fs.Path(stage)
+    wanted = df.count()
+    try:
+        df.write.mode("overwrite").parquet(stage)
+        staged = spark.read.parquet(stage)
+        if staged.count() != wanted:
+            raise ValueError(f"{stage} has {staged.count()} rows, not {wanted}: nothing was merged")
+        if exists(spark, path):
+            merge_into(spark, path, staged, keys)
+        else:
+            assert_unique(staged, keys)
+            staged.write.parquet(path)
+    finally:
+        at.getFileSystem(hadoop).delete(at, True)
+    return wanted
+
+
+def seed(rows: DataFrame, path: str, expected: int, check: dict[str, int] | None = None) -> None:
+    """Writes declared rows once; checks on every call that the table has ``expected`` rows and, in ``check``, so many by each expression."""
+    spark = rows.sparkSession
+    if not exists(spark, path):
+        rows.write.parquet(path)
+    found = spark.read.parquet(path)
+    row = found.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.expr(e)).alias(f"c{k}") for k, e in enumerate(check or {})]).first()
+    wanted = (expected, *(check or {}).values())
+    if tuple(row) != wanted:
+        raise ValueError(f"{path} holds {tuple(row)} rows by check, not {wanted}: it was seeded in part")
+
+
+def offenders(df: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
+    """The ``n`` keys that repeat most, with their rows: what a refused merge reports."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), *keys).limit(n)
 
 
 def replace_run_into(rows: DataFrame, path: str) -> None:
@@ -150,9 +243,18 @@ def replace_run_into(rows: DataFrame, path: str) -> None:
 
 
 def newest_window(spine: DataFrame, loaded: DataFrame, column: str) -> DataFrame:
-    """Spine rows from the newest loaded value on: the newest is merged again, which its key makes harmless."""
-    newest = loaded.agg(F.coalesce(F.max(column), F.lit(0)).alias("_newest"))
-    return spine.join(newest, F.col(column) >= F.col("_newest")).drop("_newest")
+    """Spine rows from the newest loaded value on: the newest is merged again, which its key makes harmless.
+
+    The one value is read first and stands as a literal, so the spine's scan is filtered and pruned by it.
+    """
+    newest = loaded.agg(F.max(column)).first()[0]
+    return spine if newest is None else spine.where(F.col(column) >= F.lit(newest))
+
+
+def stage_waves(df: DataFrame, wave: str, folder: str) -> dict[int, int]:
+    """The table by wave below ``folder`` (``wave=1`` and so on), as the source's loads come; the rows of each."""
+    df.write.mode("overwrite").partitionBy(wave).parquet(folder)
+    return {r[wave]: r["count"] for r in df.sparkSession.read.parquet(folder).groupBy(wave).count().collect()}
 
 
 def type_disagreements(frames: dict[str, DataFrame]) -> list[tuple[str, dict[str, str]]]:

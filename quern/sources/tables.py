@@ -32,13 +32,28 @@ def read_contacts(spark: SparkSession, path: str, schema: T.StructType, order: s
     return spark.read.schema(schema).option("sep", ";").option("header", True).csv(path).withColumn(order, F.monotonically_increasing_id())
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType, null: str = "\\N", sha256: str | None = None) -> DataFrame:
-    """Tab-separated values, plain or gzip; a digest, if given, is checked against the file first."""
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType, null: str = "\\N", sha256: str | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Tab-separated values, plain or gzip; a digest and a shape (rows, columns), if given, are checked first.
+
+    A digest is that of one file: a path of several files is refused.
+    """
     if sha256 is not None:
-        found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
-        if found != sha256:
-            raise ValueError(f"{path} has digest {found}")
-    return spark.read.schema(schema).option("sep", "\t").option("header", True).option("nullValue", null).csv(path)
+        found = [r[0] for r in spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).limit(2).collect()]
+        if found != [sha256]:
+            raise ValueError(f"{path} has the digests {found}, not the one of {sha256}")
+    out = spark.read.schema(schema).option("sep", "\t").option("header", True).option("nullValue", null).option("mode", "FAILFAST").csv(path)
+    if shape is not None:
+        header = spark.read.option("sep", "\t").option("header", True).csv(path)
+        if (out.count(), len(header.columns)) != tuple(shape):
+            raise ValueError(f"{path} has {out.count()} rows and {len(header.columns)} columns, not {shape}")
+    return out
+
+
+def read_copy(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
+    """A bulk load's conventions: a header line, and empty fields, quoted or not, are NULL."""
+    read = spark.read.schema(schema).option("sep", sep).option("header", True).option("mode", "FAILFAST").option("nullValue", "").csv(path)
+    text = {f.name: F.when(F.col(f.name) != "", F.col(f.name)) for f in schema.fields if isinstance(f.dataType, T.StringType)}
+    return read.withColumns(text) if text else read
 
 
 def check_header(spark: SparkSession, path: str, expected: list[str], sep: str = ";") -> None:
@@ -62,6 +77,11 @@ def present(spark: SparkSession, paths: list[str]) -> dict[str, bool]:
     return out
 
 
+def all_present(spark: SparkSession, paths: list[str]) -> bool:
+    """All or nothing: whether every path is there and holds bytes; the branch of a job that needs them all."""
+    return all(present(spark, paths).values())
+
+
 def read_parquet(spark: SparkSession, path: str, required: list[str] = ()) -> DataFrame:
     df = spark.read.parquet(path)
     if missing := [c for c in required if c not in df.columns]:
@@ -94,9 +114,15 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False, null: str = "
     return rows
 
 
-def write_rates(df: DataFrame, path: str, rates: list[str], null: str = "\\N") -> None:
+def write_rates(df: DataFrame, path: str, rates: list[str], null: str = "\\N") -> int:
     """As ``write_csv``, rates with two decimals and NULL as a token."""
-    write_csv(df.withColumns({c: F.format_string("%.2f", F.col(c).cast("double")) for c in rates}), path, null=null)
+    return write_csv(df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.col(c).cast("double"))) for c in rates}), path, null=null)
+
+
+def write_waves(df: DataFrame, folder: str, wave: str, rates: list[str], null: str = "\\N") -> dict[int, int]:
+    """One export a wave (a few declared ones), named after it; the rows of each."""
+    waves = sorted(r[0] for r in df.select(wave).distinct().collect() if r[0] is not None)
+    return {w: write_rates(df.where(F.col(wave) == w), f"{folder.rstrip('/')}/{wave}_{w}", rates, null) for w in waves}
 
 
 def read_kpis(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -104,6 +130,20 @@ def read_kpis(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return spark.read.schema(schema).option("header", True).csv(path).select(*schema.fieldNames())
 
 
+def place_file(spark: SparkSession, folder: str, target: str) -> None:
+    """The single part file of ``folder`` under a fixed name, over what stood there; the folder goes."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    of = jvm.org.apache.hadoop.fs.Path
+    fs = of(folder).getFileSystem(hadoop)
+    parts = [s.getPath() for s in fs.listStatus(of(folder)) if s.getPath().getName().startswith("part-")]
+    if len(parts) != 1:
+        raise ValueError(f"{folder} holds {len(parts)} part files, not one")
+    fs.delete(of(target), False)
+    if not fs.rename(parts[0], of(target)):
+        raise OSError(f"{parts[0].toString()} could not be moved to {target}")
+    fs.delete(of(folder), True)
+
+
 def archive(spark: SparkSession, source: str, into: str) -> str:
     """Moves a processed file into a folder; returns its new place."""
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
