@@ -107,7 +107,7 @@ QUERIES = {
         lambda spark, d: inputs.facts(spark, d).select("offer_id", "wave", "risk_band", "rate", "took_up", "arm_id", "arm_index"),
         f"WITH {FACTS} SELECT offer_id, wave, risk_band, rate, took_up, arm_id, arm_index FROM facts",
     ),
-    "arm_bisect": (arm_bisect, f"WITH {FACTS} SELECT risk_band, arm_index AS counted, count(*) AS n, 0::BIGINT AS disagree FROM facts GROUP BY 1, 2"),
+    "arm_bisect": (arm_bisect, f"WITH {FACTS}, c AS (SELECT risk_band, arm_index, (SELECT count(*) FROM arms a WHERE a.risk_band = f.risk_band AND a.rate_floor <= f.rate) AS counted FROM facts f) SELECT risk_band, CAST(counted AS INTEGER) AS counted, count(*) AS n, count(*) FILTER (WHERE counted <> arm_index) AS disagree FROM c GROUP BY 1, 2"),
     "wave_arm_cells": (lambda spark, d: bandit.cells(inputs.facts(spark, d)), f"WITH {CELLS} SELECT wave, risk_band, arm_id, arm_index, pulls, rewards, min_rate, max_rate FROM cells"),
     "posterior_by_wave": (beliefs, f"WITH {CELLS} SELECT through_wave, arm_id, risk_band, arm_index, {_BELIEF} FROM belief"),
     "snips_value": (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import bars
+from quern.operators import bars, cleaning
 from quern.plans import inputs
 from quern.plans.inputs import DENSE, HOURLY, SYMBOLS, TICKS, bars_sql
 
@@ -32,18 +32,16 @@ def taker_imbalance(spark, sf_dir):
 
 
 def tick_direction_given_flag(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("symbol").orderBy("trade_id")
-    made = inputs.ticks(spark, sf_dir).withColumn("next_price", F.lead("price").over(w)).where("next_price IS NOT NULL AND next_price <> price")
+    made = cleaning.following(inputs.ticks(spark, sf_dir), "symbol", "trade_id", "price", "next_price").where("next_price IS NOT NULL AND next_price <> price")
     return made.groupBy("symbol", "is_buyer_maker").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("next_price") > F.col("price")).cast("double")), 9).alias("p_up"))
 
 
 def interval_sweep(spark, sf_dir):
-    """Non-empty bars and the largest bar at each interval."""
-    ticks, out = inputs.ticks(spark, sf_dir), None
+    """Non-empty bars and the largest bar at each interval; ticks are counted once, at the finest, and rolled up."""
+    finest = inputs.ticks(spark, sf_dir).groupBy("symbol", bars.bucket("event_time_us", bars.HOUR).alias("t")).agg(F.count(F.lit(1)).alias("n")).persist()
+    out = None
     for interval in (bars.HOUR, 2 * bars.HOUR, 6 * bars.HOUR, bars.DAY):
-        made = ticks.groupBy("symbol", bars.bucket("event_time_us", interval).alias("bar_us")).agg(F.count(F.lit(1)).alias("n"))
+        made = finest.groupBy("symbol", bars.bucket("t", interval).alias("bar_us")).agg(F.sum("n").alias("n"))
         one = made.agg(F.count(F.lit(1)).alias("filled"), F.max("n").alias("largest")).select(F.lit(interval).cast("bigint").alias("interval_us"), F.lit(30 * bars.DAY // interval * len(SYMBOLS)).cast("bigint").alias("slots"), "filled", "largest")
         out = one if out is None else out.unionByName(one)
     return out

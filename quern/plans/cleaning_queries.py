@@ -110,8 +110,8 @@ def split_extract_text(spark, d):
 
 def quantile_profile(spark, d):
     points = [0.01, 0.25, 0.5, 0.75, 0.99]
-    values = table(spark, d, "lineitem").approxQuantile("l_extendedprice", points, 0.0)
-    return spark.createDataFrame(list(zip(points, values, strict=True)), "p double, value double")
+    found = cleaning.percentiles(table(spark, d, "lineitem"), ["l_extendedprice"], points, between=False)
+    return found.select(F.explode(F.arrays_zip(F.array(*map(F.lit, points)).alias("p"), F.col("l_extendedprice").alias("value"))).alias("z")).select(F.col("z.p").alias("p"), F.col("z.value").alias("value"))
 
 
 QUERIES = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import incremental, kv
+from quern.operators import cleaning, incremental, kv
 from quern.plans import inputs
 from quern.plans.inputs import FACTS, GRID, table
 
@@ -22,7 +22,7 @@ def watermark_next(spark, d):
     rows, last = [], None
     for run, (upto, full) in enumerate(((1996, False), (1998, False), (2001, False), (2001, False)), 1):
         got = incremental.extract(offers(spark, d).where(F.col("wave") <= upto), "wave", last, full)
-        new = incremental.next_watermark(got, "wave", last)
+        new = incremental.guarded_watermark(got, "wave", last)
         rows.append((run, got.count(), last, new))
         last = new
     return spark.createDataFrame(rows, "run int, extracted bigint, watermark_before string, watermark_after string")
@@ -58,7 +58,7 @@ def fact_parity(spark, d):
 def kv_items(spark, d):
     made = inputs.GRID.frame(spark).withColumns({"run": F.lit("r1"), "version": F.lit(3)})
     items = kv.items(made, "r1#arms", ["risk_band", "arm_index"], artifact="arms")
-    return items.select("pk", "sk", F.array_join(F.array_sort(F.transform(F.map_entries("attrs"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("attrs"))
+    return items.select("pk", "sk", F.array_join(F.array_sort(F.transform(F.map_entries("attrs"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["value"]))), ";").alias("attrs"))
 
 
 def orphan_sweep(spark, d):
@@ -86,6 +86,24 @@ def catalog_time_columns(spark, d):
     return spark.createDataFrame(rows, "table_name string, column_name string")
 
 
+def duplicate_offenders(spark, d):
+    """The ten keys of line items that repeat most: what a refused merge reports."""
+    return incremental.offenders(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+def duplicates_kept(spark, d):
+    """Rows left by each policy for repeated keys."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    one = lambda policy: cleaning.by_duplicate_policy(lines, ["l_orderkey", "l_linenumber"], [F.col("l_orderkey")], policy).agg(F.lit(policy).alias("policy"), F.count(F.lit(1)).alias("n"))
+    return one("keep").union(one("drop"))
+
+
+def kv_item_types(spark, d):
+    """Attributes of customers' items by name and store type."""
+    made = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", (F.col("c_acctbal") > 0).alias("in_credit"), F.when(F.col("c_nationkey") > 3, F.col("c_nationkey")).alias("nation"))
+    return kv.items(made, "r1#customers", ["c_custkey"], lift=False).where("sk <> '#model'").select(F.explode("attrs").alias("name", "a")).groupBy("name", F.col("a.type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _TOTAL = "(SELECT count(*) FROM offers WHERE wave <= {})"
 QUERIES = {
     "incremental_extract": (lambda spark, d: incremental.extract(offers(spark, d), "wave", "1998"), f"WITH {_OFFERS} SELECT * FROM offers WHERE CAST(wave AS VARCHAR) > '1998'"),
@@ -100,19 +118,25 @@ QUERIES = {
     ),
     "kv_items": (
         kv_items,
-        f"WITH {inputs.grid_sql()}, shown AS (SELECT *, CASE WHEN rate_ceil IS NULL THEN '' ELSE 'rate_ceil=' || rate_ceil::DECIMAL(12,1) || ';' END AS c, CASE WHEN rate_floor IS NULL THEN '' ELSE 'rate_floor=' || rate_floor::DECIMAL(12,1) || ';' END AS f FROM arms) "
+        f"WITH {inputs.grid_sql()}, shown AS (SELECT *, CASE WHEN rate_ceil IS NULL THEN '' ELSE 'rate_ceil=' || rate_ceil::DECIMAL(12,0) || ';' END AS c, CASE WHEN rate_floor IS NULL THEN '' ELSE 'rate_floor=' || rate_floor::DECIMAL(12,0) || ';' END AS f FROM arms) "
         f"SELECT 'r1#arms' AS pk, 'risk_band#' || risk_band || '#arm_index#' || arm_index AS sk, 'arm_id=' || arm_id || ';arm_index=' || arm_index || ';' || c || f || 'risk_band=' || risk_band AS attrs FROM shown UNION ALL SELECT 'r1#arms', '#model', 'artifact=arms;artifact_rows={len(GRID.rows())};run=r1;version=3'",
     ),
     "orphan_sweep": (orphan_sweep, f"WITH {_OFFERS} SELECT 'run#' || wave AS pk, 'o#' || o_orderkey AS sk FROM offers WHERE wave IN (1996, 1997) AND o_orderkey % 3 = 0"),
-    "star_stage_fact": (star_stage_fact, f"WITH {FACTS} SELECT offer_id, wave, arm_id, took_up = 1 AS took_up FROM facts WHERE wave >= 2"),
+    "star_stage_fact": (star_stage_fact, f"WITH {FACTS} SELECT offer_id, wave, arm_id, took_up = 1 AS took_up FROM facts WHERE wave >= (SELECT max(wave) FROM facts WHERE wave <= 2)"),
     "fact_parity": (
         fact_parity,
         f"WITH {FACTS} SELECT (SELECT count(*) FROM orders) AS spine, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) AS matched, count(*) FILTER (WHERE arm_id IS NULL) AS without_arm FROM facts",
     ),
+    "duplicate_offenders": (duplicate_offenders, "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY 3 DESC, 1, 2 LIMIT 10"),
+    "duplicates_kept": (duplicates_kept, "SELECT 'keep' AS policy, count(*) AS n FROM lineitem UNION ALL SELECT 'drop', count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)"),
+    "kv_item_types": (
+        kv_item_types,
+        "SELECT 'c_custkey' AS name, 'N' AS type, count(c_custkey) AS n FROM customer UNION ALL SELECT 'c_name', 'S', count(c_name) FROM customer UNION ALL SELECT 'c_acctbal', 'N', count(c_acctbal) FROM customer UNION ALL SELECT 'in_credit', 'BOOL', count(c_acctbal) FROM customer UNION ALL SELECT 'nation', 'N', count(*) FILTER (WHERE c_nationkey > 3) FROM customer",
+    ),
     "union_by_name": (union_by_name, "SELECT 'supplier' AS kind, s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 2 UNION ALL SELECT 'customer', c_nationkey, count(*) FROM customer GROUP BY 2"),
-    "except_all_equality": (except_all_equality, "SELECT count(*) FILTER (WHERE NOT l_linenumber < 7) AS only_left, 0::BIGINT AS only_right FROM lineitem"),
+    "except_all_equality": (except_all_equality, "WITH a AS (SELECT l_orderkey, l_linenumber FROM lineitem), b AS (SELECT * FROM a WHERE l_linenumber < 7) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_left, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_right"),
     "catalog_time_columns": (
         catalog_time_columns,
-        "SELECT table_name, column_name FROM (VALUES ('events', 'ts'), ('orders', 'o_orderdate'), ('lineitem', 'l_shipdate')) AS v(table_name, column_name)",
+        "SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ('events', 'orders', 'lineitem', 'customer') AND (data_type LIKE 'TIMESTAMP%' OR data_type = 'DATE')",
     ),
 }
