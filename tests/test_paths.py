@@ -33,7 +33,7 @@ def test_continuous_path(spark, bar_table, tmp_path):
 def test_bandit_path(spark, bar_table, tmp_path):
     made = paths.online(spark, bar_table, str(tmp_path), replicates=8)
     assert made["frame"].count() == 300 and made["arms"].count() == 2
-    assert made["arms"].agg(F.sum("ended_best")).first()[0] == 8 and abs(made["arms"].agg(F.sum("share_mean")).first()[0] - 1) < 1e-9
+    assert abs(made["arms"].agg(F.sum("won_final_argmax")).first()[0] - 1) < 1e-9 and made["arms"].columns == paths.ARMS and abs(made["arms"].agg(F.sum("share_mean")).first()[0] - 1) < 1e-9
 
 
 def test_categorical_path(spark, bar_table, tmp_path):
