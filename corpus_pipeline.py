@@ -8,10 +8,16 @@ is written as Parquet and read again as the next stage's ``docs``.  All but the
 2. quality: a text goes if the quality classifier gives it less than ``MIN_QUALITY``.
 3. near_dedup: of each group of near duplicates the document with the smallest id stays (of rows with
    the same id and text, one).
-4. packing: the pieces of what is left, with their sequences.
+4. packing: the pieces of what is left, with their sequences (of tokens of the vocabulary of ``bpe``).
 
 The classifiers are trained on the tables in ``sf_dir`` (the labelled rows they learn from elsewhere), not on
 the stage's input, so each stage is the same function of a text whatever came before.
+
+Defined cases: a null, empty or letterless text has no language and goes in stage 1 (a table without a labelled language
+keeps every text with a letter).  A null id is judged like any other; it is no one's copy and stays in stage 3.  Rows that are
+equal in id and text are one document: one stays.  Texts of any length are read whole.  Ties of copies go to the
+smallest id.  Columns beside those of ``documents`` stay, whatever their names, until stage 4, which has its own.  Without a
+label of quality every text scores 0.5 and stays.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
