@@ -217,19 +217,27 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     lengths = ends - starts
-    bounds = np.zeros(len(starts) + 1, dtype=np.int64)
-    np.cumsum(lengths, out=bounds[1:])
-    shift = np.repeat(bounds[:-1], lengths)
-    position = np.arange(bounds[-1])
-    position -= shift
-    letter = data[position + np.repeat(starts, lengths)]
-    values = _VALUES[(np.minimum(position, _NEAR - 1) << 8) | letter]
-    far = np.flatnonzero(position >= _NEAR)
+    total = int(lengths.sum())
+    if 2 * total < len(data):
+        # Few bytes of many: the spans' own are brought together first.
+        bounds = np.zeros(len(starts) + 1, dtype=np.int64)
+        np.cumsum(lengths, out=bounds[1:])
+        starts, ends, data = bounds[:-1], bounds[1:], data[np.arange(total) + np.repeat(starts - bounds[:-1], lengths)]
+    # Each byte's place in its span; those between spans count on, and are left out of the sums.
+    first, n = int(starts[0]), len(data)
+    position = np.arange(n - first, dtype=np.int32)
+    position -= np.repeat((starts - first).astype(np.int32), np.diff(np.append(starts, n)))
+    letter = data[first:]
+    far = np.flatnonzero(position >= _NEAR) if int(np.diff(np.append(starts, n)).max()) > _NEAR else ()
+    index = np.minimum(position, _NEAR - 1)
+    index <<= 8
+    index |= letter
+    sums = np.zeros(n - first + 1, dtype=np.uint64)
+    values = _VALUES[index]
     if len(far):
         values[far] = _letter_values(position[far], letter[far].astype(np.uint64))
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values, out=sums[1:])
-    return mix(sums[bounds[1:]] - sums[bounds[:-1]] + lengths.astype(np.uint64) * _MULT)
+    return mix(sums[ends - first] - sums[starts - first] + lengths.astype(np.uint64) * _MULT)
 
 
 def pieces(run: Run, limit: int | None = None) -> Iterator[Run]:
