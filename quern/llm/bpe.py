@@ -37,8 +37,8 @@ from quern.llm import common
 REMEMBERED, LONGEST = 96 << 20, 256
 #: What a remembered chunk takes beside its texts, about.
 ENTRY = 400
-#: Words whose counts are remembered; pairs of tokens.
-COUNTED, FITS = 1_000_000, 1_600_000
+#: Places of the table of pieces' counts (a power of two, ten bytes each); pairs of tokens remembered.
+COUNTED, FITS = 1 << 22, 1_600_000
 #: The symbol after a word's last byte.
 _END = 256
 #: White space that str.split() knows beyond the Unicode property.
@@ -97,7 +97,8 @@ class Coder:
         self._older: dict[str, tuple[str, str, int]] = {}
         self._words: dict[str, list[int]] = {}
         self._held = self._words_held = 0
-        self._counts: dict[int, int] = {}
+        self._known = np.zeros(COUNTED, dtype=np.uint64)
+        self._counts = np.zeros(COUNTED, dtype=np.uint16)
         #: Whether a text's tokens are those of its words: no special token holds a space.
         self.by_word = not any(any(c.isspace() for c in t) for t in self.special)
 
@@ -310,14 +311,22 @@ class Coder:
         """Adds the tokens of the spans to their rows."""
         if not len(starts):
             return
-        h, first, inverse = np.unique(common.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-        counts = [self._counts.get(x, -1) for x in h.tolist()]
-        for k, n in enumerate(counts):
-            if n < 0:
-                if len(self._counts) > COUNTED:
-                    self._counts.clear()
-                counts[k] = self._counts[int(h[k])] = of(data[starts[first[k]] : ends[first[k]]].tobytes().decode("utf-8", "replace"))
-        total += _sums_by_row(np.array(counts, dtype=np.int64)[inverse], starts, offsets)
+        h = common.hash_spans(data, starts, ends)
+        # A hash has one place in the table; the latest piece there is the one remembered.
+        slot = (h & np.uint64(COUNTED - 1)).astype(np.int64)
+        counts = self._counts[slot].astype(np.int64)
+        missing = np.flatnonzero(self._known[slot] != h)
+        if len(missing):
+            new, first, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
+            at = missing[first]
+            made = np.array([of(data[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], dtype=np.int64)
+            counts[missing] = made[inverse]
+            # Larger counts are made anew each time.
+            small = made < np.iinfo(np.uint16).max
+            self._known[slot[at][small]] = new[small]
+            # Of two new pieces with one place numpy keeps the last in both tables alike.
+            self._counts[slot[at][small]] = made[small]
+        total += _sums_by_row(counts, starts, offsets)
 
 
 def _sums_by_row(values: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -392,6 +392,30 @@ def test_rounds_of_packing_keep_every_piece(spark):
     assert count(one) <= count(with_shards) <= 1.1 * count(one)
 
 
+def test_clusters_of_a_shard(spark):
+    """Near copies are one cluster, whatever the rows' order; strangers that share a passage are not; verified components can be given."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(vocabulary) for _ in range(200)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        copy[rng.randrange(200)] = "changed"
+        rows.append((i, " ".join(copy), None))
+    rows += [(100 + i, " ".join(base[:60] + [rng.choice(vocabulary) for _ in range(140)]), None) for i in range(40)]
+    rows += [(200 + i, " ".join(rng.choice(vocabulary) for _ in range(30)), None) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    items = packing.with_lengths(frame).collect()
+    for order in (items, items[::-1]):
+        found = packing.alike_clusters([r["cluster"] for r in order], [r["signature"] for r in order])
+        names = {r["doc_id"]: c for r, c in zip(order, found, strict=True)}
+        assert len({names[i] for i in range(60)}) == 1 and len(set(names.values())) == 81
+    for packed in (packing.pack_documents(frame), packing.pack_documents(frame, clusters=packing.near_clusters(frame))):
+        bins = [(r["shard"], r["bin"]) for r in packed.where("doc_id < 60 AND piece_tokens < 1024").collect()]
+        assert len(set(bins)) == len(bins) == 60
+    assert packing.alike_clusters([None, "1", "1"], [None, None, None]) == [None, "1", "1"]
+
+
 def test_tokens_are_counted_by_word(monkeypatch):
     coder = bpe.Coder(open(bpe.default_vocabulary(), "rb").read())
     rng = random.Random(7)
