@@ -1,7 +1,8 @@
-"""Connected components of an edge table, without ever holding the graph in one place.
+"""Connected components of an edge table, without ever holding a large graph in one place.
 
 Each partition first contracts its edges by union-find to stars (a partition's forest has no more edges
-than nodes it has seen).  Then large-star and small-star rounds follow until no edge changes: each
+than nodes it has seen).  If at most ``HELD`` edges are left, one task contracts them all.  Of more, partitions
+of ``HELD`` edges are contracted once more and large-star and small-star rounds follow until no edge changes: each
 joins a node's larger, or smaller, neighbours to the smallest one, so every component ends as a star
 around its smallest node.  Rounds grow with the logarithm of a component's size.
 """
@@ -15,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EDGE = "u long, v long"
+#: Edges that one task holds; more are joined in rounds.  Either way gives the same components.
+HELD = 500_000
 
 
-def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over a partition's edges: every node but the roots, with its root (the smallest)."""
+def contract(batches: Iterator[pa.RecordBatch], with_roots: bool = False) -> Iterator[pa.RecordBatch]:
+    """Union-find over a partition's edges: every node but the roots (unless they are asked for), with its root (the smallest)."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -36,6 +39,8 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if p != q:
                 root[max(p, q)] = min(p, q)
     nodes = list(root)
+    if with_roots:
+        nodes += sorted({find(x) for x in nodes})
     for lo in range(0, len(nodes), 100_000):
         part = nodes[lo : lo + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
@@ -66,7 +71,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns[:2]
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    edges = edges.mapInArrow(contract, EDGE).distinct().checkpoint()
+    edges = edges.mapInArrow(contract, EDGE).checkpoint()
+    parts = -(-edges.count() // HELD)
+    if parts <= 1:
+        return edges.repartition(1).mapInArrow(lambda held: contract(held, True), "node long, root long").checkpoint()
+    edges = edges.repartition(parts).mapInArrow(contract, EDGE).distinct().checkpoint()
     before = _state(edges)
     while before[0]:
         edges = _small_star(_large_star(edges)).distinct().checkpoint()

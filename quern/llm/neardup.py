@@ -346,7 +346,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ordered = dealt.select(*cell, "block", "rep", "label", "shingles").repartition(*cell).sortWithinPartitions(*cell, "rep")
         more = ordered.mapInArrow(link_cells, "a long, b long").distinct().checkpoint()
         if not more.isEmpty():
-            labels = connected_components(links.union(more))
+            # Each node's edge to its root stands for the links found so far.
+            labels = connected_components(labels.union(more))
 
     placed_classes = classes.select("fp1", "fp2", "rep").join(labels, classes.rep == labels.node, "left")
     placed_classes = placed_classes.select(F.col("fp1").alias("c1"), F.col("fp2").alias("c2"), F.coalesce("root", "rep").alias("component"))
