@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from multiprocessing.pool import ThreadPool
 
@@ -14,8 +15,9 @@ from pyspark.ml.feature import Bucketizer, Imputer, MinMaxScaler, OneHotEncoder,
 from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.operators import cleaning, features
 
@@ -28,6 +30,9 @@ HOLDOUT = 0.8
 #: Seeds of the random folds, fits run at once, rows of a partition when fitting.
 SHUFFLES, PARALLEL_FITS, FIT_ROWS = (11, 22, 33), 4, 100_000
 
+#: Tokens whose bits one long holds.
+BITS = 62
+
 
 def sized(df: DataFrame) -> DataFrame:
     """As many partitions as the rows ask for, so that small frames are not scheduled as large ones."""
@@ -250,10 +255,40 @@ def scaling_search(df: DataFrame, columns: list[str], time: str = "bar_us", reg:
     return df.sparkSession.createDataFrame([(*r, r[1] == best) for r in rows], "scaling string, holdout double, majority double, n_features int, best boolean")
 
 
-def association_rules(baskets: DataFrame, min_support: float = 0.003, min_confidence: float = 0.5, items: str = "items") -> DataFrame:
-    """Rules by FP-growth, strongest lift first, then rarest."""
-    model = FPGrowth(itemsCol=items, minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    return model.associationRules.orderBy(F.desc("lift"), F.asc("support"))
+def association_rules(baskets: DataFrame, min_support: float = 0.003, min_confidence: float = 0.5, items: str = "items", ordered: bool = True) -> DataFrame:
+    """Rules by FP-growth with their antecedents in the tokens' order; if ``ordered``, strongest lift first, then rarest.
+
+    Baskets are mined once, in as many parts as the session shuffles to.  A frequent set is known by its bits (some longs):
+    each set meets its supersets by one token under its own bits, so no set of strings is shuffled or compared.
+    """
+    held = baskets.where(F.col(items).isNotNull()).select(F.col(items).alias("items"))
+    total = held.count()
+    least = math.ceil(min_support * total)
+    token = held.schema["items"].dataType.elementType
+    # At most as many as the baskets' tokens over ``least``, in order.
+    counts = held.select(F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy("token").collect()
+    names = F.array(*[F.lit(r["token"]) for r in counts]).cast(T.ArrayType(token))
+    coded = held.select(F.filter(F.transform("items", lambda x: F.array_position(names, x).cast("int") - 1), lambda x: x >= 0).alias("items"))
+    parts = int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=max(parts, 1)).fit(coded).freqItemsets
+    sets = often.select(F.array_sort("items").alias("ids"), "freq")
+    bits = [f"bits{lo}" for lo in range(0, max(len(counts), 1), BITS)]
+    bit = lambda x, lo: f"if({x} >= {lo} AND {x} < {lo + BITS}, shiftleft(1L, {x} - {lo}), 0L)"
+    sets = sets.withColumns({c: F.expr(f"aggregate(ids, 0L, (held, x) -> held | {bit('x', k * BITS)})") for k, c in enumerate(bits)})
+    # The set itself (token -1) and the set without each of its tokens, but for the empty one.
+    split = sets.select("*", F.explode(F.when(F.size("ids") > 1, F.concat(F.array(F.lit(-1)), F.col("ids"))).otherwise(F.array(F.lit(-1)))).alias("token"))
+    split = split.select("freq", "token", F.when(F.col("token") < 0, F.col("ids")).alias("ids"), *[F.expr(f"{c} ^ {bit('token', k * BITS)}").alias(c) for k, c in enumerate(bits)])
+    # Groups of one set and at most a row a token.
+    same = Window.partitionBy(*bits)
+    met = split.withColumns({"below": F.max(F.when(F.col("token") < 0, F.col("freq"))).over(same), "antecedent": F.max("ids").over(same)})
+    confidence = F.col("freq") / F.col("below")
+    at = lambda values, x: F.element_at(values, x + 1)
+    singles = F.array(*[F.lit(r["n"]) for r in counts]).cast("array<bigint>")
+    rules = met.where((F.col("token") >= 0) & (confidence >= min_confidence)).select(
+        F.transform("antecedent", lambda x: at(names, x)).alias("antecedent"), F.array(at(names, F.col("token"))).alias("consequent"), confidence.alias("confidence"),
+        (confidence / (at(singles, F.col("token")) / F.lit(float(total)))).alias("lift"), (F.col("freq") / F.lit(float(total))).alias("support"),
+    )
+    return rules.orderBy(F.desc("lift"), F.asc("support")) if ordered else rules
 
 
 def strongest(pairs: DataFrame, column: str = "r", n: int = 1) -> DataFrame:

@@ -40,7 +40,7 @@ def median_imputer(spark, d):
 
 def fpgrowth_rules(spark, d):
     made = bandit.baskets(inputs.hourly(spark, d))
-    rules = models.association_rules(made).select(F.array_join(F.array_sort("antecedent"), ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"), "confidence", "lift", "support")
+    rules = models.association_rules(made, ordered=False).select(F.array_join("antecedent", ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"), "confidence", "lift", "support")
     return rules.withColumns({c: F.round(c, 9) for c in ("confidence", "lift", "support")})
 
 
