@@ -18,9 +18,11 @@ marks its article (``article``, ``main`` or such a role), the main text is what
 left of the body.
 
 Counting is a map over pages with a bounded table of partial counts, then grouped sums, so a hot host
-is combined before it moves.  Of a host's nodes those on at least ``LEAST_SHARE`` of its pages go back to its pages: by
+is combined before it moves.  Of a host's nodes those on at least ``LEAST_SHARE`` of its pages go back to all its pages: by
 that share they are at most 1 / ``LEAST_SHARE`` times the nodes of a page, however many pages and labels it has.  They
-go as a table of known size: broadcast if it is small, else joined by host with hot hosts split.
+go as a table of known size: broadcast if it is small, else joined by host with hot hosts split.  The rarer nodes of a host
+(of at least two pages, and so only of a host with over 2 / ``LEAST_SHARE``) go to those pages alone that have them, joined by
+host and path: every node that says something counts, whatever its share.
 
 Defined cases: null html is the empty page: empty text.  A null url is a host of its own, shared by all
 such pages.  Broken markup is read as browsers do in the main: unclosed elements end with their parents,
@@ -81,6 +83,7 @@ _ABOUT = frozenset({"has", "with", "no", "without", "hide"})
 MAIN = frozenset({"article", "main"})
 #: Deeper elements become siblings, as in browsers.
 DEEPEST = 400
+_NODES = "array<struct<path:bigint,looks:double,reads:double>>"
 _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -335,17 +338,50 @@ def main_text(root: Node, known: dict[int, tuple[float, float]]) -> str:
     return "\n\n".join(blocks)
 
 
-def importances(styles: DataFrame) -> DataFrame:
-    """host and an array of (path, looks, reads): the importance of presentation and content of the nodes that many of its pages have."""
+def node_importances(styles: DataFrame) -> DataFrame:
+    """host, path, looks, reads of the nodes with an importance below 1, and whether many of the host's pages have them."""
     values = styles.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("c"))
     nodes = values.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
     entropy = F.log("m") - F.col("s") / F.col("m")
     raised = F.when(F.col("m") > 1, (entropy + PRIOR) / (F.log("m") + PRIOR)).otherwise(1.0)
     both = nodes.groupBy("host", "path").agg(F.max("m").alias("m"), F.max(F.when(F.col("kind") == 0, raised)).alias("looks"), F.max(F.when(F.col("kind") == 1, raised)).alias("reads"))
+    # Read twice below, but the pages are parsed once for it.
+    both = common.shared_table(both, "style-counts")
     # The root is on every page of its host.
     pages = both.where("path = 0").select(F.col("host").alias("of"), F.col("m").alias("pages"))
-    often = both.join(pages, both.host == pages.of).where((F.col("m") >= F.col("pages") * LEAST_SHARE) & (F.least("looks", "reads") < 1.0))
-    return often.groupBy("host").agg(F.collect_list(F.struct("path", "looks", "reads")).alias("known"))
+    known = both.where(F.least("looks", "reads") < 1.0).join(pages, both.host == pages.of)
+    return known.select("host", "path", "looks", "reads", (F.col("m") >= F.col("pages") * LEAST_SHARE).alias("often"))
+
+
+def by_host(nodes: DataFrame) -> DataFrame:
+    """host, an array of (path, looks, reads) of the nodes that many of its pages have, and whether it has others."""
+    return nodes.groupBy("host").agg(F.collect_list(F.when(F.col("often"), F.struct("path", "looks", "reads"))).alias("known"), F.max(~F.col("often")).alias("more"))
+
+
+def importances(styles: DataFrame) -> DataFrame:
+    return by_host(node_importances(styles))
+
+
+def paths_beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, key, path) of each page's nodes that are not among its host's known ones."""
+    schema = pa.schema([("host", pa.string()), ("key", pa.string()), ("path", pa.int64())])
+    held: dict[str, set[int]] = {}
+    for batch in batches:
+        hosts, keys, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), ([], [], [])
+        for host, key, source, nodes in zip(hosts, keys, batch.column(2), batch.column(3), strict=True):
+            if host not in held:
+                if len(held) >= 1000:
+                    held.clear()
+                held[host] = {n["path"] for n in nodes.as_py() or ()}
+            found, todo = set(), [parse(source.as_py() or "")]
+            while todo:
+                node = todo.pop()
+                found.add(node.path)
+                todo += [part for part in node.parts if isinstance(part, Node)]
+            found -= held[host]
+            for column, values in zip(out, ([host] * len(found), [key] * len(found), sorted(found)), strict=True):
+                column += values
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -354,21 +390,35 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#]*)", 1))
     read = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
     styles = read.select("host", "html").mapInArrow(count_styles, "host string, path long, kind int, value long, n long")
-    trees = common.shared_table(importances(styles).withColumnRenamed("host", "of"), "style-trees")
+    nodes = common.shared_table(node_importances(styles), "style-nodes")
+    trees = common.shared_table(by_host(nodes).withColumnRenamed("host", "of"), "style-trees")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict[int, tuple[float, float]]] = {}
         for batch in batches:
             texts = []
-            for host, source, nodes in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+            for host, source, nodes, own in zip(*(batch.column(k) for k in (2, 3, 4, 5)), strict=True):
                 name = host.as_py()
                 if name not in known:
                     if len(known) >= 1000:
                         known.clear()
                     known[name] = {n["path"]: (n["looks"], n["reads"]) for n in nodes.as_py() or ()}
-                texts.append(main_text(parse(source.as_py() or ""), known[name]))
+                rarer = {n["path"]: (n["looks"], n["reads"]) for n in own.as_py() or ()}
+                texts.append(main_text(parse(source.as_py() or ""), known[name] | rarer if rarer else known[name]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
-    joined = read.join(trees, read.host == trees.of, "left").select("page_id", "url", "host", "html", "known")
-    return joined.mapInArrow(over, "page_id long, url string, text string, n_chars long")
+    joined = read.join(trees, read.host == trees.of, "left")
+    columns = ["page_id", "url", "host", "html", "known"]
+    rarer = nodes.where("NOT often")
+    if rarer.isEmpty():
+        found = joined.select(*columns, F.lit(None).cast(_NODES).alias("own"))
+    else:
+        # Equal pages of a host have equal nodes, so a page's key is its content; one that has several rows is asked once.
+        apart = joined.where("more").select(*columns, F.md5(F.coalesce("html", F.lit(""))).alias("key"))
+        beyond = apart.select("host", "key", "html", "known").mapInArrow(paths_beyond, "host string, key string, path long")
+        own = beyond.join(rarer, ["host", "path"]).groupBy("host", "key").agg(F.collect_set(F.struct("path", "looks", "reads")).alias("own"))
+        own = common.shared_table(own, "style-rarer")
+        rest = joined.where("more IS NULL OR NOT more").select(*columns, F.lit(None).cast(_NODES).alias("own"))
+        found = rest.union(apart.join(own, ["host", "key"], "left").select(*columns, "own"))
+    return found.mapInArrow(over, "page_id long, url string, text string, n_chars long")

@@ -582,6 +582,21 @@ def test_importances_against_plain_entropies(spark):
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
 
 
+def test_a_small_section_of_a_large_host_has_its_own_frame(spark):
+    """Nodes on few of a host's pages count there: the frame that twelve of 2,602 pages share goes, also from repeated rows, and from no other page."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(rng.choice("alpha beta gamma delta omega sigma kappa theta".split()) + str(rng.randrange(1000)) for _ in range(n))
+    bodies = {i: words(12) for i in range(2600)}
+    frame = "<div class='strip'><div class='inner'>Letters to the editor office hours</div></div>"
+    pages = [(i, "http://large.example/x", f"<html><body>{frame if i < 10 else ''}<div class='text'><p>{b}</p></div></body></html>") for i, b in bodies.items()]
+    pages += [(3000 + i, "http://large.example/x", pages[i][2]) for i in range(2)] + [(4000, "http://other.example/", f"<body>{frame}<div class='text'><p>alone</p></div></body>")]
+    rows = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
+    got = {r["page_id"]: r["text"] for r in rows}
+    assert len(rows) == len(pages) == len(got)
+    assert all(got[i] == b for i, b in bodies.items()) and got[3000] == bodies[0] and got[3001] == bodies[1]
+    assert got[4000] == "Letters to the editor office hours\n\nalone"
+
+
 def test_a_host_of_equal_pages_keeps_its_article(spark):
     pages = [(i, "http://a.example/x", PAGE % (1, 1, 1, 1, 1, "")) for i in range(20)]
     rows = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
