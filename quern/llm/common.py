@@ -70,13 +70,17 @@ def prepare(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
+def shared_table(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """``df`` written to the checkpoint folder and read again: unlike after a checkpoint, its size is known.
 
     A join then broadcasts it if that size is under the session's limit, without moving the other side.
+    ``few``: for tables much smaller than the input, in two files a core at most, not one a shuffle partition.  Without
+    native libraries Spark starts a process to set each file's rights, and an executor counts twice while it does.
     """
     spark = df.sparkSession
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    if few:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return spark.read.parquet(path)
 

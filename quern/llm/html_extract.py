@@ -346,7 +346,7 @@ def node_importances(styles: DataFrame) -> DataFrame:
     raised = F.when(F.col("m") > 1, (entropy + PRIOR) / (F.log("m") + PRIOR)).otherwise(1.0)
     both = nodes.groupBy("host", "path").agg(F.max("m").alias("m"), F.max(F.when(F.col("kind") == 0, raised)).alias("looks"), F.max(F.when(F.col("kind") == 1, raised)).alias("reads"))
     # Read twice below, but the pages are parsed once for it.
-    both = common.shared_table(both, "style-counts")
+    both = common.shared_table(both, "style-counts", few=True)
     # The root is on every page of its host.
     pages = both.where("path = 0").select(F.col("host").alias("of"), F.col("m").alias("pages"))
     known = both.where(F.least("looks", "reads") < 1.0).join(pages, both.host == pages.of)
@@ -390,8 +390,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#]*)", 1))
     read = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
     styles = read.select("host", "html").mapInArrow(count_styles, "host string, path long, kind int, value long, n long")
-    nodes = common.shared_table(node_importances(styles), "style-nodes")
-    trees = common.shared_table(by_host(nodes).withColumnRenamed("host", "of"), "style-trees")
+    # Found from the written counts, so the pages are not parsed again where both are read.
+    nodes = node_importances(styles)
+    trees = common.shared_table(by_host(nodes).withColumnRenamed("host", "of"), "style-trees", few=True)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,15 +411,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     joined = read.join(trees, read.host == trees.of, "left")
     columns = ["page_id", "url", "host", "html", "known"]
-    rarer = nodes.where("NOT often")
-    if rarer.isEmpty():
+    if trees.where("more").isEmpty():
         found = joined.select(*columns, F.lit(None).cast(_NODES).alias("own"))
     else:
         # Equal pages of a host have equal nodes, so a page's key is its content; one that has several rows is asked once.
         apart = joined.where("more").select(*columns, F.md5(F.coalesce("html", F.lit(""))).alias("key"))
         beyond = apart.select("host", "key", "html", "known").mapInArrow(paths_beyond, "host string, key string, path long")
-        own = beyond.join(rarer, ["host", "path"]).groupBy("host", "key").agg(F.collect_set(F.struct("path", "looks", "reads")).alias("own"))
-        own = common.shared_table(own, "style-rarer")
+        own = beyond.join(nodes.where("NOT often"), ["host", "path"]).groupBy("host", "key").agg(F.collect_set(F.struct("path", "looks", "reads")).alias("own"))
+        own = common.shared_table(own, "style-rarer", few=True)
         rest = joined.where("more IS NULL OR NOT more").select(*columns, F.lit(None).cast(_NODES).alias("own"))
         found = rest.union(apart.join(own, ["host", "key"], "left").select(*columns, "own"))
     return found.mapInArrow(over, "page_id long, url string, text string, n_chars long")

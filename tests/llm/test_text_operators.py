@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -597,6 +598,24 @@ def test_a_small_section_of_a_large_host_has_its_own_frame(spark):
     assert got[4000] == "Letters to the editor office hours\n\nalone"
 
 
+def test_the_tables_between_have_few_files_whatever_the_shuffle(spark):
+    """A task a shuffle partition wrote a file in each table; the rights of each file cost a process as large as the executor."""
+    pages = [(i, f"http://h{i % 50}.example/x", PAGE % (i, i, i, i, i, "")) for i in range(200)]
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, old = set(folder.glob("style-*")), {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    made = set(folder.glob("style-*")) - before
+    assert len(rows) == 200 and rows[7].startswith("Title & more 7\n\n") and made
+    assert all(len(list(table.glob("part-*"))) <= 2 * spark.sparkContext.defaultParallelism for table in made)
+
+
 def test_a_host_of_equal_pages_keeps_its_article(spark):
     pages = [(i, "http://a.example/x", PAGE % (1, 1, 1, 1, 1, "")) for i in range(20)]
     rows = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
