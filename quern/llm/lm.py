@@ -45,6 +45,8 @@ ROUNDS, SHARD_ROWS, BATCH, CHUNK, RATE = 2, 4096, 2048, 1 << 16, 0.1
 SEED = 7
 #: Parameters travel in pieces of this many numbers; sums join this many shards at a time.
 PIECE, FAN_IN = 1 << 14, 16
+#: Bytes of text hashed at a time: what is computed a byte stays in a core's cache.
+RUN_BYTES = 1 << 18
 #: Words scored by one matrix product; scores that exp may take as they are.
 BLOCK, MOST_SCORE = 2048, 60.0
 
@@ -55,7 +57,7 @@ def buckets_of(run: common.Run) -> tuple[np.ndarray, np.ndarray]:
     """Each word's bucket, and the rows' bounds."""
     made = []
     for piece in common.pieces(run):
-        data = common.LOWER_BYTE[piece.data]
+        data = common.each_byte(common.LOWER_BYTE, piece.data)
         words = common.words_of(piece)
         h = common.hash_spans(data, words.starts, words.ends)
         if len(h):
@@ -75,7 +77,7 @@ def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Counts of the buckets, and as bucket -1 that of the texts with a word."""
     counts, rows = np.zeros(BUCKETS, dtype=np.int64), 0
     for batch in batches:
-        for run in common.runs(batch.column(0)):
+        for run in common.runs(batch.column(0), RUN_BYTES):
             buckets, bounds = buckets_of(run)
             rows += int(np.count_nonzero(np.diff(bounds)))
             counts += np.bincount(buckets, minlength=BUCKETS)
@@ -140,9 +142,14 @@ class Network:
 
 @dataclass
 class Forward:
-    """A batch's activations: its rows below a class of endings, and each choice's hidden values and scores (up to a row's constant)."""
+    """A batch's activations: its rows below a class of endings and their classes and nodes, and each choice's hidden values and scores (up to a row's constant).
+
+    The first hidden values end in a column of ones, for the biases of the classes.
+    """
 
     below: np.ndarray
+    ranges: np.ndarray
+    nodes: np.ndarray
     inputs: np.ndarray
     hidden: list[np.ndarray]
     scores: list[np.ndarray]
@@ -158,7 +165,7 @@ class Choices:
 
     @staticmethod
     def of(buckets: np.ndarray, vocabulary: Vocabulary) -> Choices:
-        single = vocabulary.single[buckets]
+        single = vocabulary.single.take(buckets)
         return Choices(np.where(single >= 0, single, SINGLES + buckets // (BUCKETS // RANGES)), buckets // (DIGIT * TAILS) % DIGIT, buckets // TAILS % DIGIT)
 
     def take(self, at) -> Choices:
@@ -167,22 +174,28 @@ class Choices:
 
 def forward(network: Network, vocabulary: Vocabulary, context: np.ndarray, chosen: Choices) -> Forward:
     embed, w1, b1, w2, b2, e2, u2, e3, u3 = network.parts
-    x = embed[context].reshape(len(context), -1)
-    pre = x @ w1 + b1
+    # Rows by take(), many times faster than by [].
+    x = embed.take(context, axis=0).reshape(len(context), -1)
+    pre = x @ w1
+    pre += b1
     below = np.flatnonzero(chosen.classes >= SINGLES)
-    ranges = chosen.classes[below] - SINGLES
-    nodes = ranges * DIGIT + chosen.first[below]
-    part = pre[below]
-    hidden = [np.tanh(pre), np.tanh(part + e2[ranges]), np.tanh(part + e3[nodes])]
-    scores = [hidden[0] @ w2, hidden[1] @ u2, hidden[2] @ u3]
-    scores[0] += b2 + vocabulary.classes
-    scores[1] += vocabulary.first[ranges]
-    scores[2] += vocabulary.second[nodes]
+    ranges = chosen.classes.take(below).astype(np.int64) - SINGLES
+    nodes = ranges * DIGIT + chosen.first.take(below)
+    part = pre.take(below, axis=0)
+    whole = np.ones((len(context), HIDDEN + 1), dtype=np.float32)
+    np.tanh(pre, out=whole[:, :HIDDEN])
+    hidden = [whole]
+    for rows in (e2.take(ranges, axis=0), e3.take(nodes, axis=0)):
+        rows += part
+        hidden.append(np.tanh(rows, out=rows))
+    scores = [whole @ np.concatenate([w2, (b2 + vocabulary.classes)[None]]), hidden[1] @ u2, hidden[2] @ u3]
+    scores[1] += vocabulary.first.take(ranges, axis=0)
+    scores[2] += vocabulary.second.take(nodes, axis=0)
     for s, out, extra in zip(scores, (w2, u2, u3), (float(np.abs(b2).max()), 0.0, 0.0), strict=True):
         # Hidden values lie in [-1, 1] and log shares below 0, so scores seldom can be too large for exp.
         if np.abs(out).sum(axis=0).max() + extra > MOST_SCORE:
             s -= s.max(axis=1, keepdims=True)
-    return Forward(below, x, hidden, scores)
+    return Forward(below, ranges, nodes, x, hidden, scores)
 
 
 _ONES = np.ones(max(CLASSES, DIGIT), dtype=np.float32)
@@ -193,21 +206,31 @@ def _sums(values: np.ndarray) -> np.ndarray:
     return values @ _ONES[: values.shape[1]]
 
 
+def _places(values: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Where each row's wanted value stands in the flat array."""
+    return np.arange(0, values.size, values.shape[1]) + want
+
+
 def log_likelihood(network: Network, vocabulary: Vocabulary, context: np.ndarray, chosen: Choices) -> np.ndarray:
     """The log-probability of each word's three choices."""
     made = forward(network, vocabulary, context, chosen)
     out = np.zeros(len(context))
-    for k, (at, want) in enumerate(((slice(None), chosen.classes), (made.below, chosen.first[made.below]), (made.below, chosen.second[made.below]))):
+    for k, (at, want) in enumerate(((slice(None), chosen.classes), (made.below, chosen.first.take(made.below)), (made.below, chosen.second.take(made.below)))):
         scores = made.scores[k]
-        found = scores[np.arange(len(want)), want]
+        found = scores.reshape(-1).take(_places(scores, want))
         out[at] += found - np.log(_sums(np.exp(scores, out=scores)))
     return out
 
 
 def _by_row(ids: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The rows met, and the sums of ``values`` by row; a count a column is many times faster than adding row by row."""
-    rows = np.flatnonzero(np.bincount(ids, minlength=size))
-    return rows, np.stack([np.bincount(ids, weights=column, minlength=size)[rows] for column in values.T], axis=1).astype(np.float32)
+    met = np.zeros(size, dtype=bool)
+    met[ids] = True
+    rows = np.flatnonzero(met)
+    place = np.empty(size, dtype=np.int64)
+    place[rows] = np.arange(len(rows))
+    at = place.take(ids)
+    return rows, np.array([np.bincount(at, weights=column, minlength=len(rows)) for column in values.astype(np.float64).T], dtype=np.float32).T
 
 
 def step(network: Network, vocabulary: Vocabulary, context: np.ndarray, chosen: Choices, squares: list[np.ndarray]) -> None:
@@ -215,27 +238,37 @@ def step(network: Network, vocabulary: Vocabulary, context: np.ndarray, chosen:
     embed, w1, b1, w2, b2, e2, u2, e3, u3 = network.parts
     made = forward(network, vocabulary, context, chosen)
     below, n = made.below, np.float32(len(context))
-    slopes = []
-    for scores, want in zip(made.scores, (chosen.classes, chosen.first[below], chosen.second[below]), strict=True):
+    back, onto = [], []
+    for scores, want, out, h in zip(made.scores, (chosen.classes, chosen.first.take(below), chosen.second.take(below)), (w2, u2, u3), made.hidden, strict=True):
+        # A row's slopes are (exp - sum where wanted) / (n * sum); the division is left to the narrow sides of the products.
         np.exp(scores, out=scores)
-        scores *= (1.0 / (n * _sums(scores)))[:, None]
-        scores[np.arange(len(want)), want] -= 1.0 / n
-        slopes.append(scores)
-    back = [(slope @ out.T) * (1.0 - h * h) for slope, out, h in zip(slopes, (w2, u2, u3), made.hidden, strict=True)]
+        sums = _sums(scores)
+        scores.reshape(-1)[_places(scores, want)] -= sums
+        share = (1.0 / (n * sums))[:, None]
+        onto.append((h * share).T @ scores)
+        h = h[:, :HIDDEN]
+        slope = scores @ out.T
+        slope *= share
+        slope *= 1.0 - h * h
+        back.append(slope)
     whole = back[0]
     whole[below] += back[1] + back[2]
     into = (whole @ w1.T).reshape(-1, WIDTH)
-    ranges = chosen.classes[below] - SINGLES
-    grads = {1: made.inputs.T @ whole, 2: whole.sum(0), 3: made.hidden[0].T @ slopes[0], 4: slopes[0].sum(0), 6: made.hidden[1].T @ slopes[1], 8: made.hidden[2].T @ slopes[2]}
+    grads = {1: made.inputs.T @ whole, 2: whole.sum(0), 3: onto[0][:HIDDEN], 4: onto[0][HIDDEN], 6: onto[1], 8: onto[2]}
     for k, grad in grads.items():
         squares[k] += grad**2
         network.parts[k] -= RATE * grad / (np.sqrt(squares[k]) + 1e-6)
-    met = ((0, context.reshape(-1), into), (5, ranges, back[1]), (7, ranges * DIGIT + chosen.first[below], back[2]))
+    met = ((0, context.reshape(-1), into), (5, made.ranges, back[1]), (7, made.nodes, back[2]))
     for k, ids, values in met:
         rows, grad = _by_row(ids, values, len(network.parts[k]))
-        square = squares[k][rows] + grad**2
+        square = squares[k].take(rows, axis=0)
+        square += grad**2
         squares[k][rows] = square
-        network.parts[k][rows] -= RATE * grad / (np.sqrt(square) + 1e-6)
+        np.sqrt(square, out=square)
+        square += 1e-6
+        grad *= RATE
+        grad /= square
+        network.parts[k][rows] = network.parts[k].take(rows, axis=0) - grad
 
 
 def padded(buckets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +281,7 @@ def padded(buckets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def around(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The ids of the words around those at some places."""
-    return ids[at[:, None] + np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])]
+    return ids.take(at[:, None] + np.array([*range(-SIDE, 0), *range(1, SIDE + 1)]))
 
 
 class Learner:
@@ -313,8 +346,8 @@ class Model:
     def score(self, run: common.Run) -> tuple[np.ndarray, np.ndarray]:
         """Words and log-likelihood of each row."""
         buckets, bounds = buckets_of(run)
-        single = self.vocabulary.single[buckets] >= 0
-        values = np.where(single, 0.0, self.vocabulary.tails[buckets].astype(np.float64))
+        # The tails of single words are 0.
+        values = self.vocabulary.tails.take(buckets).astype(np.float64)
         ids, at = padded(buckets, bounds)
         for lo in range(0, len(buckets), BLOCK):
             some = slice(lo, lo + BLOCK)
@@ -352,7 +385,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
                         if learner is not None:
                             yield from learner.finish()
                         learner = Learner(int(shard[lo]), start, known)
-                    for run in common.runs(batch.column(1).slice(lo, hi - lo)):
+                    for run in common.runs(batch.column(1).slice(lo, hi - lo), RUN_BYTES):
                         found, bounds = buckets_of(run)
                         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                             learner.add(found[a:b])
@@ -384,7 +417,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         vocabulary, flat = shipped.value
         known = Model(vocabulary, Network(flat))
         for batch in batches:
-            for run in common.runs(batch.column(1)):
+            for run in common.runs(batch.column(1), RUN_BYTES):
                 n, total = known.score(run)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(run.first, run.rows), pa.array(n.astype(np.int64)), pa.array(total)], schema=schema)
 

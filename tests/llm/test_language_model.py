@@ -1,6 +1,7 @@
 """The language model against plain sums over words and contexts, and under other partitionings."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,68 @@ def test_a_step_follows_the_slope():
         at += size
 
 
+def test_a_step_moves_every_part_as_plain_slopes_do():
+    """One step in double precision, with each softmax's slopes written out and summed row by row."""
+    rng = np.random.default_rng(3)
+    buckets = rng.integers(0, lm.BUCKETS, 300).astype(np.int32)
+    buckets[:100] = buckets[0]
+    vocabulary = lm.Vocabulary.of(*np.unique(buckets[:250], return_counts=True))
+    context, chosen = rng.integers(0, 40, (300, 2 * lm.SIDE)), lm.Choices.of(buckets, vocabulary)
+    moved = lm.Network(lm.Network.start().flat)
+    lm.step(moved, vocabulary, context, chosen, [np.full(s, 1e-4, dtype=np.float32) for s in lm.Network.SHAPES])
+    old = [p.astype(np.float64) for p in lm.Network.start().parts]
+    embed, w1, b1, w2, b2, e2, u2, e3, u3 = old
+    grads = [np.zeros_like(p) for p in old]
+    for near, kind, first, second in zip(context, chosen.classes, chosen.first, chosen.second, strict=True):
+        x, into = embed[near].reshape(-1), np.zeros(lm.HIDDEN)
+        pre, group = x @ w1 + b1, int(kind) - lm.SINGLES
+        node = group * lm.DIGIT + int(first)
+        levels = [(None, None, w2, 3, b2 + vocabulary.classes, kind)]
+        if group >= 0:
+            levels += [(5, group, u2, 6, vocabulary.first[group], first), (7, node, u3, 8, vocabulary.second[node], second)]
+        for part, row, out, k, share, want in levels:
+            h = np.tanh(pre + (old[part][row] if part else 0.0))
+            slope = softmax(h @ out + share)
+            slope[want] -= 1.0
+            slope /= len(context)
+            grads[k] += np.outer(h, slope)
+            back = (out @ slope) * (1 - h * h)
+            into += back
+            if part:
+                grads[part][row] += back
+            else:
+                grads[4] += slope
+        grads[1] += np.outer(x, into)
+        grads[2] += into
+        np.add.at(grads[0], near, (w1 @ into).reshape(len(near), -1))
+    for new, before, grad in zip(moved.parts, old, grads, strict=True):
+        want = before - lm.RATE * grad / (np.sqrt(1e-4 + grad**2) + 1e-6)
+        assert np.abs(new - want).max() < 1e-5
+
+
+def test_hashing_holds_what_a_core_keeps_near():
+    """Beyond the counts, a batch of 2 MB is hashed in little memory: what is computed a byte, some 30 bytes, used to leave the cache."""
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"word{(i + k) % 97}" for k in range(300)) for i in range(1000)])], ["text"])
+    list(lm.count_buckets(iter([batch])))
+    tracemalloc.start()
+    try:
+        found = list(lm.count_buckets(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert batch.nbytes > 2_000_000 and sum(sum(b.column(1).to_pylist()) for b in found) == 1000 + 300_000
+    # The counts, and those of a run that are added to them.
+    assert most < 2 * 8 * lm.BUCKETS + 40 * lm.RUN_BYTES
+
+
+def test_bytes_looked_up_at_once():
+    data = np.random.default_rng(4).integers(0, 256, 5000).astype(np.uint8)
+    for table in (common.LOWER_BYTE, common.WORD_BYTE):
+        for some in (data, data[1::2], data[:0]):
+            got = common.each_byte(table, some)
+            assert got.dtype == table.dtype and np.array_equal(got, table[some])
+
+
 def test_partitions_do_not_move_scores(spark, monkeypatch):
     monkeypatch.setattr(lm, "SHARD_ROWS", 40)
     rows = corpus()
