@@ -4,7 +4,8 @@ For every prefix of a word the last token of the prefix's encoding is unique.  I
 vocabulary's tokens that end there (found by a suffix-link automaton over all tokens) and is the one
 that is *compatible* with the last token of the prefix before it: encoding the two tokens' joined text
 gives back just these two.  The table of last tokens is filled from left to right; following it back
-from the word's end gives the exact ids, with no merge queue.
+from the word's end gives the exact ids, with no merge queue.  The tables of many words are filled
+together, a position at a time.
 
 Compatibility is decided by running the merges of both tokens in rank order along their common border:
 the right spine of the left token's merge tree and the left spine of the right token's.  If a merge
@@ -23,9 +24,14 @@ import re
 import unicodedata
 from collections import deque
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +45,18 @@ REMEMBERED, LONGEST = 96 << 20, 256
 ENTRY = 400
 #: Places of the table of pieces' counts (a power of two, ten bytes each); pairs of tokens remembered.
 COUNTED, FITS = 1 << 22, 1_600_000
+#: Bits of the places of the table of pairs that many words are looked up in at once (eight bytes each).
+FIT_BITS = 21
+#: Texts are encoded together up to so many bytes and rows, and a longer text alone; pieces of one table of last tokens, and the
+#: longest one's bytes.  Fewer pieces than ``FEW``, and longer ones, are encoded one by one.
+TOGETHER, ROWS_TOGETHER, ABREAST, LONG, FEW = 1 << 20, 500, 1 << 16, 64, 48
 #: The symbol after a word's last byte.
 _END = 256
 #: White space that str.split() knows beyond the Unicode property.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _NEVER = 1 << 60
+#: Of a chunk's part: the decimal ids and the decoded text, each joined by one space, and the number of ids.
+_IDS, _DECODED, _NUMBER = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
 def default_vocabulary() -> str:
@@ -74,6 +87,7 @@ class Coder:
         self._specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._pieces = regex.compile(split["pattern"]["Regex"]).findall
+        self._pieces_of_lines = regex.compile(f"(?:{split['pattern']['Regex']})|\n").findall
         letters = byte_letters()
         texts: dict[int, list[int]] = {}
         for name, i in model["vocab"].items():
@@ -93,10 +107,14 @@ class Coder:
         self._fits: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self._build({i: text for i, text in texts.items() if self._stands(i)})
-        self._memo: dict[str, tuple[str, str, int]] = {}
+        #: Special tokens stand among chunks with a space before them, which no chunk has.
+        self._fixed = {f" {t}": (str(i), t, 1) for t, i in self.special.items()}
+        self._memo: dict[str, tuple[str, str, int]] = dict(self._fixed)
         self._older: dict[str, tuple[str, str, int]] = {}
         self._words: dict[str, list[int]] = {}
         self._held = self._words_held = 0
+        #: Whether a chunk without ids was met.
+        self._some_empty = False
         self._known = np.zeros(COUNTED, dtype=np.uint64)
         self._counts = np.zeros(COUNTED, dtype=np.uint16)
         #: Whether a text's tokens are those of its words: no special token holds a space.
@@ -108,7 +126,7 @@ class Coder:
         A step's key is the state times 512 plus the symbol.
         """
         step: dict[int, int] = {}
-        token = [-1]
+        token, depth = [-1], [0]
         children: list[list[tuple[int, int]]] = [[]]
         for i, text in texts.items():
             node = 0
@@ -117,6 +135,7 @@ class Coder:
                 if nxt is None:
                     nxt = step[node << 9 | c] = len(token)
                     token.append(-1)
+                    depth.append(depth[node] + 1)
                     children.append([])
                     children[node].append((c, nxt))
                 node = nxt
@@ -132,7 +151,7 @@ class Coder:
                     up = link[up]
                 link[child] = step.get(up << 9 | c, 0)
                 todo.append(child)
-        self._step, self._link, self._token, self._shorter = step, link, token, shorter
+        self._step, self._link, self._token, self._shorter, self._depth = step, link, token, shorter, depth
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """From the border symbol up to the token: each piece with the rank of the merge that ends it."""
@@ -206,6 +225,119 @@ class Coder:
             end -= self._length[last[end]]
         return out[::-1]
 
+    @cached_property
+    def _tables(self) -> _Tables:
+        """The automaton with its suffix links followed, as arrays; made when many words come together for the first time."""
+        depth, link = np.array(self._depth), np.array(self._link)
+        keys, child = np.fromiter(self._step.keys(), np.int64, len(self._step)), np.fromiter(self._step.values(), np.int32, len(self._step))
+        parent, symbol = keys >> 9, keys & 511
+        # A state without onward steps of its own has those of its link.
+        own = np.full(len(depth), -1, dtype=np.int64)
+        owners = np.union1d(parent[symbol != _END], [0])
+        own[owners] = np.arange(len(owners))
+        row, onward, end = np.zeros(len(depth), np.int64), np.zeros((len(owners), 256), np.int32), np.zeros(len(depth), np.int32)
+        by_depth, edges = np.argsort(depth, kind="stable"), np.argsort(depth[parent], kind="stable")
+        levels = range(int(depth.max()) + 2)
+        cut, cut_edges = np.searchsorted(depth[by_depth], levels), np.searchsorted(depth[parent][edges], levels)
+        for d in levels[:-1]:
+            states, at = by_depth[cut[d] : cut[d + 1]], edges[cut_edges[d] : cut_edges[d + 1]]
+            if d:
+                row[states], end[states] = row[link[states]], end[link[states]]
+            mine = states[own[states] >= 0]
+            onward[own[mine]] = onward[row[mine]]
+            row[mine] = own[mine]
+            last = symbol[at] == _END
+            end[parent[at[last]]] = child[at[last]]
+            at = at[~last]
+            onward[own[parent[at]], symbol[at]] = child[at]
+        token, shorter = np.array(self._token), np.array(self._shorter)
+        length = np.zeros(max(self.names) + 1, dtype=np.int64)
+        length[list(self._length)] = list(self._length.values())
+        ids = range(len(length))
+        return _Tables(
+            onward.ravel(), row * 256, end, np.where(token >= 0, np.arange(len(token)), shorter), shorter, token, depth, length,
+            np.full(1 << FIT_BITS, -1, dtype=np.int64), pa.array([str(i) for i in ids]), pa.array([self.names.get(i) for i in ids]),
+        )
+
+    def _fit_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each pair are compatible."""
+        table, fits = self._tables.fits, self._fits
+        key = a << 20 | b
+        # A pair has one place in the table; the latest pair there is the one remembered.
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FIT_BITS)
+        slot = slot.astype(np.int64)
+        known = table.take(slot)
+        out = (known & 1).astype(bool)
+        missing = np.flatnonzero(known >> 1 != key)
+        if len(missing):
+            new, first, inverse = np.unique(key[missing], return_index=True, return_inverse=True)
+            found = [fits.get(k) for k in new.tolist()]
+            made = np.array([self._compatible(k >> 20, k & 0xFFFFF) if fit is None else fit for k, fit in zip(new.tolist(), found, strict=True)])
+            out[missing] = made[inverse]
+            table[slot[missing[first]]] = new << 1 | made
+        return out
+
+    def words_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many pre-tokens, one word's after the other's, and the bounds of each word's."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(-sizes, kind="stable")
+        alone = max(int((sizes > LONG).sum()), min(len(words), FEW))
+        which, made, counts = [order[:alone]], [], []
+        each = [self.word_ids(words[k]) for k in order[:alone].tolist()]
+        made.append(np.fromiter(chain.from_iterable(each), np.int64))
+        counts.append(np.fromiter(map(len, each), np.int64, len(each)))
+        for lo in range(alone, len(words), ABREAST):
+            which.append(order[lo : lo + ABREAST])
+            ids, n = self._abreast([raw[k] for k in which[-1].tolist()], sizes[which[-1]])
+            made.append(ids)
+            counts.append(n)
+        at, n = np.concatenate(which), np.concatenate(counts)
+        starts = np.empty(len(words), dtype=np.int64)
+        starts[at] = np.cumsum(n) - n
+        count = np.empty(len(words), dtype=np.int64)
+        count[at] = n
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        return np.concatenate(made)[_ranges(starts, count)], bounds
+
+    def _abreast(self, raw: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words given as bytes, longest first, and the number of each word's.  ``last[e, w]``: as in ``word_ids``."""
+        tables, n, longest = self._tables, len(raw), int(sizes[0])
+        data, starts = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum(sizes) - sizes
+        last = np.full((longest + 2, n), -1, dtype=np.int64)
+        last[0] = -2
+        flat, state = last.ravel(), np.zeros(n, dtype=np.int64)
+        for p in range(longest + 1):
+            # Words with a byte here, and after them those that end here.
+            inside, here = np.searchsorted(-sizes, -p, side="left"), np.searchsorted(-sizes, -p, side="right")
+            state[:inside] = tables.onward.take(tables.row.take(state[:inside]) + data.take(starts[:inside] + p))
+            state[inside:here] = tables.end.take(state[inside:here])
+            at, who = tables.first.take(state[:here]), np.arange(here)
+            while len(who):
+                t = tables.token.take(at)
+                before = flat.take((p + 1 - tables.depth.take(at)) * n + who)
+                good = before == -2
+                ask = np.flatnonzero(before >= 0)
+                good[ask] = self._fit_all(before.take(ask), t.take(ask))
+                # The root, which has no token, ends a word's search.
+                good &= at > 0
+                last[p + 1, who[good]] = t[good]
+                left = np.flatnonzero(~good & (at > 0))
+                at, who = tables.shorter.take(at.take(left)), who.take(left)
+        count, steps, who, end = np.zeros(n, dtype=np.int64), [], np.arange(n), sizes + 1
+        while len(who):
+            t = flat.take(end * n + who)
+            if (t < 0).any():
+                raise ValueError("the vocabulary lacks a token for a byte")
+            steps.append((who, t))
+            count[who] += 1
+            end = end - tables.length.take(t)
+            who, end = who[end > 0], end[end > 0]
+        out, ends = np.empty(int(count.sum()), dtype=np.int64), np.cumsum(count)
+        for k, (who, t) in enumerate(steps):
+            out[ends[who] - 1 - k] = t
+        return out, count
+
     def chunk_ids(self, chunk: str) -> list[int]:
         out: list[int] = []
         for piece in self._pieces(chunk):
@@ -228,27 +360,69 @@ class Coder:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
-    def _chunk(self, chunk: str) -> tuple[str, str, int]:
-        """The chunk's part, from the older half of what is remembered or else made."""
-        known = self._older.get(chunk)
-        if known is None:
-            ids = self.chunk_ids(chunk)
-            known = (" ".join(map(str, ids)), self.decode(ids), len(ids))
-        if len(chunk) <= LONGEST:
-            self._held += len(chunk) + len(known[0]) + len(known[1]) + ENTRY
-            if self._held > REMEMBERED:
-                self._older, self._memo, self._held = self._memo, {}, 0
-            self._memo[chunk] = known
-        return known
-
-    def _parts_of(self, text: str) -> Iterator[tuple[str, str, int]]:
+    def _made(self, chunks: list[str]) -> list[tuple[str, str, int]]:
+        """The parts of chunks, none of them twice."""
+        if len(chunks) < FEW:
+            each = [self.chunk_ids(c) for c in chunks]
+            self._some_empty |= not all(each)
+            return [(" ".join(map(str, ids)), self.decode(ids), len(ids)) for ids in each]
+        if max(map(len, chunks)) > LONGEST:
+            short = [c for c in chunks if len(c) <= LONGEST]
+            made = dict(zip(short, self._made(short), strict=True))
+            return [made.get(c) or self._made([c])[0] for c in chunks]
+        index = {"\n": 0}
+        codes = np.array([index.setdefault(p, len(index)) for p in self._pieces_of_lines("\n".join(chunks))])
+        ids, bounds = self.words_ids(list(index)[1:])
+        lines = codes == 0
+        chunk, code = np.cumsum(lines)[~lines], codes[~lines] - 1
+        counts = np.diff(bounds)[code]
+        ids = ids[_ranges(bounds[code], counts)]
+        sums = np.bincount(chunk, weights=counts, minlength=len(chunks)).astype(np.int64)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sums)]).astype(np.int32))
+        self._some_empty |= not sums.all()
+        numbers, names = (pc.binary_join(pa.ListArray.from_arrays(offsets, of.take(pa.array(ids))), " ").to_numpy(zero_copy_only=False).tolist() for of in (self._tables.numbers, self._tables.names))
+        return list(zip(numbers, names, sums.tolist(), strict=True))
+
+    def _look_up(self, chunks: list[str]) -> list[tuple[str, str, int]]:
+        """Each chunk's part: one remembered, from the older half of these, or else made."""
+        parts = list(map(self._memo.get, chunks))
+        if None in parts:
+            at = [k for k, p in enumerate(parts) if p is None]
+            missing: dict = dict.fromkeys(map(chunks.__getitem__, at))
+            names = list(missing)
+            for lo in range(0, len(names), ABREAST):
+                some = names[lo : lo + ABREAST]
+                found = dict(zip(some, map(self._older.get, some), strict=True))
+                new = [c for c, p in found.items() if p is None]
+                found.update(zip(new, self._made(new), strict=True))
+                missing.update(found)
+                self._remember(found)
+            for k in at:
+                parts[k] = missing[chunks[k]]
+        return parts
+
+    def _remember(self, found: dict[str, tuple[str, str, int]]) -> None:
+        if max(map(len, found)) > LONGEST:
+            found = {c: p for c, p in found.items() if len(c) <= LONGEST}
+        held = sum([len(c) + len(p[0]) + len(p[1]) for c, p in found.items()]) + ENTRY * len(found)
+        if self._held + held > REMEMBERED:
+            self._older, self._memo, self._held = self._memo, dict(self._fixed), 0
+        self._held += held
+        self._memo.update(found)
+
+    def _chunks(self, text: str) -> list[str]:
+        """What stands between white space, and the special tokens."""
+        out: list[str] = []
         for part in self._specials.split(text) if self._specials else (text,):
-            if (i := self.special.get(part)) is not None:
-                yield str(i), part, 1
+            if part in self.special:
+                out.append(f" {part}")
                 continue
             part = self.normalise(part)
-            for chunk in self._pieces(part) if _SEPARATORS.search(part) else part.split():
-                yield self._memo.get(chunk) or self._chunk(chunk)
+            out += self._pieces(part) if _SEPARATORS.search(part) else part.split()
+        return out
+
+    def _parts_of(self, text: str) -> list[tuple[str, str, int]]:
+        return self._look_up(self._chunks(text))
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for ids, _, n in self._parts_of(text or "") if n for i in ids.split(" ")]
@@ -259,8 +433,18 @@ class Coder:
 
     def both(self, text: str | None) -> tuple[str, str, int]:
         """Decimal ids and decoded text, each joined by one space, and the number of ids."""
-        parts = [p for p in self._parts_of(text or "") if p[2]]
-        return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts])
+        return next(self.both_all([text]))
+
+    def both_all(self, texts: list[str | None]) -> Iterator[tuple[str, str, int]]:
+        """``both`` of each text, where the words of all of them that are not remembered are encoded together."""
+        each = [self._chunks(x or "") for x in texts]
+        parts, first = self._look_up(list(chain.from_iterable(each)) if len(each) > 1 else each[0] if each else []), 0
+        for chunks in each:
+            of = parts[first : first + len(chunks)]
+            first += len(chunks)
+            if self._some_empty:
+                of = [p for p in of if p[2]]
+            yield " ".join(map(_IDS, of)), " ".join(map(_DECODED, of)), sum(map(_NUMBER, of))
 
     def count(self, text: str | None) -> int:
         return sum([p[2] for p in self._parts_of(text or "")])
@@ -329,6 +513,30 @@ class Coder:
         total += _sums_by_row(counts, starts, offsets)
 
 
+@dataclass
+class _Tables:
+    """What a state's row number times 256 plus a byte leads to, and a word's end; the first state upward that ends a token, and the next;
+    each state's token and depth; each token's length; pairs' keys times two plus whether they fit; the ids as text and the tokens' names."""
+
+    onward: np.ndarray
+    row: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    shorter: np.ndarray
+    token: np.ndarray
+    depth: np.ndarray
+    length: np.ndarray
+    fits: np.ndarray
+    numbers: pa.Array
+    names: pa.Array
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``starts[i], starts[i] + 1, ...``, ``counts[i]`` of them, for each i in turn."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
 def _sums_by_row(values: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sums = np.concatenate([[0], np.cumsum(values)])
     bounds = np.searchsorted(starts, offsets)
@@ -413,11 +621,26 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
 
 def round_trip_digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the written ids and of the decoded text, of every whole text."""
+    shipped = ship(docs.sparkSession, vocabulary)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-    def digests(coder: Coder, text: str | None) -> tuple:
-        ids, decoded, n = coder.both(text)
-        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = coder_of(shipped.value)
+        for batch in batches:
+            for part in _together(batch):
+                rows = [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()) for ids, decoded, n in coder.both_all(part.column(1).to_pylist())]
+                columns = [pa.array([r[k] for r in rows], field.type) for k, field in enumerate(list(schema)[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema=schema)
 
-    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    over = _over_texts(ship(docs.sparkSession, vocabulary), fields, digests)
     return _texts(docs, id_col, text_col).mapInArrow(over, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _together(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of some ``TOGETHER`` bytes of text (column 1); a longer text stands alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(sizes[lo - 1]) if lo else 0
+        hi = min(max(int(np.searchsorted(sizes, before + TOGETHER, side="right")), lo + 1), lo + ROWS_TOGETHER)
+        yield batch.slice(lo, min(hi, batch.num_rows) - lo)
+        lo = hi

@@ -206,6 +206,42 @@ def test_encoding_matches_the_library(spark, docs, none):
     assert bpe.round_trip_digests(none).collect() == []
 
 
+def test_words_are_encoded_together(spark, monkeypatch):
+    """Words of many texts fill one table, not each its own, with the library's ids: long and odd words, forgotten and repeated ones."""
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
+    raw = open(bpe.default_vocabulary(), "rb").read()
+    rng = random.Random(12)
+    letters = list("abcdefghijklmnoprstuvwy" * 3 + "éñß日ไд🙂0 1,.'!-") + ["'ll", "ing", "tion", "ΣΑΣ ", "\x1c", "\x85", "\n", "<|ENDOFTEXT|>", " <|endoftext|>", "</w>"]
+    texts = [None, "", " \n", "x" * 700 + " " + "ñ" * 90, "日本" * 200, "q " * 5000] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 400))) for _ in range(300)]
+    expected = [(" ".join(map(str, e.ids)), library.decode(e.ids, skip_special_tokens=False), len(e.ids)) for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for remembered, abreast, fit_bits in ((bpe.REMEMBERED, bpe.ABREAST, bpe.FIT_BITS), (20_000, 100, 4)):
+        for name, value in (("REMEMBERED", remembered), ("ABREAST", abreast), ("FIT_BITS", fit_bits)):
+            monkeypatch.setattr(bpe, name, value)
+        coder = bpe.Coder(raw)
+        for _ in range(2):
+            assert list(coder.both_all(texts)) == expected
+        assert [coder.both(t) for t in texts] == expected and list(coder.both_all([])) == []
+    monkeypatch.undo()
+    words = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randint(1, 70))) for _ in range(3000)})
+    coder = bpe.Coder(raw)
+    ids, bounds = coder.words_ids(words)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [coder.word_ids(w) for w in words]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    one_by_one = []
+    plain = bpe.Coder.word_ids
+    monkeypatch.setattr(bpe.Coder, "word_ids", lambda self, word: one_by_one.append(word) or plain(self, word))
+    monkeypatch.setattr(bpe, "ship", lambda spark, vocabulary: type("Shipped", (), {"value": raw}))
+    taken = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, over, schema: taken.append(over))
+    bpe._coders.clear()
+    bpe.round_trip_digests(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    rows = [r for part in taken[0](iter([batch, batch.slice(0, 0)])) for r in part.to_pylist()]
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert [tuple(r.values()) for r in rows] == [(k, n, digest(a), digest(b)) for k, (a, b, n) in enumerate(expected)]
+    assert len(one_by_one) < 300 < len({w for t in texts for w in (t or "").lower().split()})
+
+
 def test_language_on_hard_rows(spark, docs, none):
     model = langid.train(docs.where("doc_id IS NOT NULL"))
     assert model.langs == ["de", "en"]
